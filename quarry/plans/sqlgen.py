@@ -94,3 +94,94 @@ def datetime_profile_sql(table: str, cols: dict[str, str], order: list[str] | No
             f"CAST(max({q(c)}) AS TIMESTAMP) AS max_timestamp, "
             f"{r6(f'CAST(count(*) - count({q(c)}) AS DOUBLE) * 100 / count(*)')} AS missing_percent{ac} FROM {table}")
     return "\nUNION ALL\n".join(parts)
+
+
+def inner_edges_sql(raw: str) -> str:
+    """Merge near-duplicate edges of the list column ``raw`` and drop the outer two."""
+    kept = f"list_filter({raw}, lambda e, i: i = 1 OR e - {raw}[i - 1] > 1e-8)"
+    return f"list_slice({kept}, 2, len({kept}) - 1)"
+
+
+def _probs(b: int) -> str:
+    return "[" + ", ".join(f"{i}/{b}" for i in range(b + 1)) + "]"
+
+
+def stable_mi_sql(table: str, target: str, features: dict[str, str], target_binned: bool,
+                  bin_counts=(10, 20, 30), top_k: int = 20, max_card: int = 50, per_run: bool = False) -> str:
+    """features: name -> branch (onehot | lowcard | numeric)."""
+    meds, edge_cols, other = [], [], []
+    for f, kind in features.items():
+        if kind == "numeric":
+            meds.append(f"quantile_cont({q(f)}, 0.5) AS med_{f}")
+            for b in bin_counts:
+                edge_cols.append(f"quantile_cont(coalesce(CAST({q(f)} AS DOUBLE), med_{f}), {_probs(b)}) AS e_{f}_{b}")
+        elif kind == "onehot":
+            v = f"coalesce({q(f)}, 'Missing')"
+            other.append(f"(SELECT list(v) FROM (SELECT v, count(*) AS n FROM (SELECT {v} AS v FROM {table}) "
+                         f"GROUP BY v ORDER BY n DESC, v ASC LIMIT {top_k})) AS top_{f}")
+            other.append(f"(SELECT count(DISTINCT {v}) FROM {table}) AS card_{f}")
+    if target_binned:
+        for b in bin_counts:
+            edge_cols.append(f"quantile_cont(CAST({q(target)} AS DOUBLE), {_probs(b)}) AS t_{b}")
+    meds_cte = f"SELECT {', '.join(meds)} FROM {table}" if meds else "SELECT 1 AS dummy_m"
+    edges_cte = f"SELECT {', '.join(edge_cols)} FROM {table}, meds" if edge_cols else "SELECT 1 AS dummy_e"
+    tops_cte = f"SELECT {', '.join(other)}" if other else "SELECT 1 AS dummy_t"
+    branches = []
+    for b in bin_counts:
+        if target_binned:
+            y = f"CAST(len(list_filter({inner_edges_sql(f't_{b}')}, lambda e: e <= {q(target)})) AS VARCHAR)"
+        else:
+            y = f"CAST({q(target)} AS VARCHAR)"
+        for f, kind in features.items():
+            if kind == "numeric":
+                filled = f"coalesce(CAST({q(f)} AS DOUBLE), med_{f})"
+                x = f"CAST(len(list_filter({inner_edges_sql(f'e_{f}_{b}')}, lambda e: e <= {filled})) AS VARCHAR)"
+            elif kind == "lowcard":
+                x = f"coalesce(CAST({q(f)} AS VARCHAR), 'Missing')"
+            else:
+                v = f"coalesce({q(f)}, 'Missing')"
+                x = f"CASE WHEN card_{f} <= {max_card} OR list_contains(top_{f}, {v}) THEN {v} ELSE 'Other' END"
+            branches.append(f"SELECT '{f}' AS feature, '{kind}' AS branch, {b} AS bins, {x} AS x, {y} AS y "
+                            f"FROM {table}, meds, edges, tops")
+    long = "\nUNION ALL\n".join(branches)
+    return f"""WITH meds AS ({meds_cte}),
+edges AS ({edges_cte}),
+tops AS ({tops_cte}),
+long AS ({long}),
+tot AS (SELECT count(*) AS total_n FROM {table}),
+cont AS (SELECT feature, branch, bins, x, y, count(*) AS n FROM long GROUP BY ALL),
+c AS (SELECT * FROM cont WHERE y IS NOT NULL),
+nx AS (SELECT feature, bins, x, sum(n) AS nx FROM c GROUP BY ALL),
+ny AS (SELECT feature, bins, y, sum(n) AS ny FROM c GROUP BY ALL),
+std AS (SELECT c.feature, c.bins, sum((CAST(n AS DOUBLE) / total_n) * log2(CAST(n AS DOUBLE) * total_n / (nx * ny))) AS mi
+  FROM c JOIN nx USING (feature, bins, x) JOIN ny USING (feature, bins, y), tot
+  WHERE c.branch <> 'onehot' GROUP BY ALL),
+cats AS (SELECT feature, bins, x, sum(CASE WHEN y IS NOT NULL THEN n ELSE 0 END) AS n1 FROM cont WHERE branch = 'onehot' GROUP BY ALL),
+ys AS (SELECT feature, bins, y, sum(n) AS ny FROM c WHERE branch = 'onehot' GROUP BY ALL),
+nyt AS (SELECT feature, bins, sum(ny) AS ny_total FROM ys GROUP BY ALL),
+grid AS (SELECT cats.feature, cats.bins, cats.x, ys.y, ys.ny, cats.n1, nyt.ny_total - cats.n1 AS n0,
+  coalesce(c.n, 0) AS ndy FROM cats JOIN ys USING (feature, bins) JOIN nyt USING (feature, bins)
+  LEFT JOIN c ON c.feature = cats.feature AND c.bins = cats.bins AND c.x = cats.x AND c.y = ys.y),
+oh AS (SELECT feature, bins, sum(
+  CASE WHEN ndy > 0 THEN (CAST(ndy AS DOUBLE) / total_n) * log2(CAST(ndy AS DOUBLE) * total_n / (n1 * ny)) ELSE 0 END
+  + CASE WHEN ny - ndy > 0 THEN (CAST(ny - ndy AS DOUBLE) / total_n) * log2(CAST(ny - ndy AS DOUBLE) * total_n / (n0 * ny)) ELSE 0 END) AS mi
+  FROM grid, tot GROUP BY ALL),
+runs AS (SELECT * FROM std UNION ALL SELECT * FROM oh)
+""" + ("SELECT feature, bins, round(mi, 6) AS mi FROM runs" if per_run else
+       """SELECT feature, round_even(avg(mi), 6) AS avg_mi, round_even(stddev_pop(mi), 6) AS std_mi,
+  CASE WHEN stddev_pop(mi) > 0.01 THEN 'Unstable' ELSE 'Stable' END AS stability,
+  CASE WHEN avg(mi) < 0.0001 THEN 'Near-Zero' ELSE 'Informative' END AS mi_flag
+FROM runs GROUP BY feature""")
+
+
+def pearson_sql(table: str, cols: list[str], digits: int = 4) -> str:
+    means = ", ".join(f"avg(CAST({q(c)} AS DOUBLE)) AS m_{i}" for i, c in enumerate(cols))
+    zs = {c: f"coalesce(CAST({q(c)} AS DOUBLE) - m_{i}, 0.0)" for i, c in enumerate(cols)}
+    sums = ", ".join(f"sum({zs[a]} * {zs[b]}) AS s_{i}_{j}" for i, a in enumerate(cols) for j, b in enumerate(cols))
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            rows.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, CASE WHEN s_{i}_{i} > 0 AND s_{j}_{j} > 0 THEN "
+                        f"round_even(s_{i}_{j} / sqrt(s_{i}_{i} * s_{j}_{j}), {digits}) ELSE 0.0 END AS corr FROM s")
+    return (f"WITH m AS (SELECT {means} FROM {table}), s AS (SELECT {sums} FROM {table}, m)\n"
+            + "\nUNION ALL\n".join(rows))
