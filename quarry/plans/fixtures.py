@@ -50,3 +50,28 @@ LINEITEM_NULLS_TYPES = {
     "l_returnflag": "string", "l_linestatus": "string", "l_is_discounted": "boolean",
     "l_shipdate": "timestamp_ntz",
 }
+
+
+# conversations with deterministic gaps (ordered per-key fills)
+def conversations_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    cv = load(spark, sf, "conversations")
+    return cv.select("conv_id", "turn", "role",
+                     F.when(_pmod("turn", 3) == 1, F.lit(None)).otherwise(F.col("role")).alias("role_gap"),
+                     F.when(_pmod("turn", 4) == 2, F.lit(None)).otherwise(F.char_length("text")).alias("len_gap"))
+
+
+CONVERSATIONS_GAPS_SQL = """(SELECT conv_id, turn, role, CASE WHEN turn % 3 = 1 THEN NULL ELSE role END AS role_gap,
+  CASE WHEN turn % 4 = 2 THEN NULL ELSE length(text) END AS len_gap FROM conversations)"""
+
+
+# events with NaN / infinities injected
+def events_nan(spark: SparkSession, sf: str) -> DataFrame:
+    ev = load(spark, sf, "events")
+    m = _pmod("event_id", 10)
+    v = (F.when(m == 0, F.lit(float("nan"))).when(m == 1, F.lit(float("inf")))
+         .when(m == 2, F.lit(float("-inf"))).otherwise(F.col("value")))
+    return ev.select("event_id", v.alias("value"), F.array(v, F.col("value")).alias("pair"))
+
+
+EVENTS_NAN_SQL = """(SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'nan'::DOUBLE WHEN event_id % 10 = 1 THEN 'inf'::DOUBLE
+  WHEN event_id % 10 = 2 THEN '-inf'::DOUBLE ELSE value END AS value FROM events)"""
