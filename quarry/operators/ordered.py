@@ -147,10 +147,13 @@ def segmented_scan(df: DataFrame, keys: list[str], order: list[str], specs: dict
                 pdf[name] = grp[src].ffill() if key_cols else s.ffill()
             elif kind == "bfill":
                 pdf[name] = grp[src].bfill() if key_cols else s.bfill()
-            elif kind == "cummax":
-                pdf[name] = grp[src].cummax() if key_cols else s.cummax()
-            elif kind == "cummin":
-                pdf[name] = grp[src].cummin() if key_cols else s.cummin()
+            elif kind in ("cummax", "cummin"):
+                # pandas leaves NULL where the input is NULL; the running value carries on
+                run = getattr(grp[src], kind)() if key_cols else getattr(s, kind)()
+                if key_cols:
+                    pdf[name] = run.groupby([pdf[k] for k in key_cols], sort=False, dropna=False).ffill()
+                else:
+                    pdf[name] = run.ffill()
         yield pdf
 
     local = ranged.mapInPandas(local_scan, schema).checkpoint(eager=True)

@@ -163,7 +163,8 @@ FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
 
 
 def spark_table(spark: SparkSession, sf: str, builder, source: str) -> DataFrame:
-    return spark.sql(builder("spark", "{src}"), src=load(spark, sf, source))
+    text = builder("spark", "__SRC__").replace("{", "{{").replace("}", "}}").replace("__SRC__", "{src}")
+    return spark.sql(text, src=load(spark, sf, source))
 
 
 def datasets(spark, sf):
@@ -202,3 +203,23 @@ def predictions(spark, sf):
 def duck(builder) -> str:
     """DuckDB text of a derived table, as a parenthesised subquery."""
     return "(" + builder("duckdb") + ")"
+
+
+def scores_sql(engine: str, events: str = "events") -> str:
+    """events -> benchmark score rows (run, task, metric function, value text, seq)."""
+    fn = ("CASE event_type WHEN 'click' THEN 'predictive_accuracy' WHEN 'view' THEN 'area_under_roc_curve' "
+          "WHEN 'purchase' THEN 'f_measure' WHEN 'signup' THEN 'root_mean_squared_error' ELSE 'usercpu_time' END")
+    return f"""SELECT CASE WHEN event_id % 97 = 0 THEN NULL ELSE user_id END AS run_id,
+  CAST(user_id % 7 + (event_id % 3) * 10 AS BIGINT) AS task_id,
+  'ds_' || CAST(user_id % 5 AS STRING) AS dataset,
+  {fn} AS function,
+  CASE WHEN event_id % 17 = 0 THEN 'n/a' ELSE CAST(round(value / 50.0, 4) AS STRING) END AS value,
+  event_id AS seq,
+  CASE WHEN event_id % 3 = 0 THEN '{{"task_id": ' || CAST(user_id AS STRING) || '}}'
+       WHEN event_id % 3 = 1 THEN '[{{"id": ' || CAST(user_id AS STRING) || '}}, {{"task_id": ' || CAST(user_id + 1000 AS STRING) || '}}]'
+       ELSE '{{"id": ' || CAST(event_id AS STRING) || '}}' END AS tasks_json
+FROM {events}"""
+
+
+def scores(spark, sf):
+    return spark_table(spark, sf, lambda e, t: scores_sql(e, t), "events")
