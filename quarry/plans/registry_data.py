@@ -223,3 +223,9 @@ FROM {events}"""
 
 def scores(spark, sf):
     return spark_table(spark, sf, lambda e, t: scores_sql(e, t), "events")
+
+
+def spark_stream_table(spark: SparkSession, source: DataFrame, builder) -> DataFrame:
+    """The same derivation over a (streaming) source DataFrame."""
+    text = builder("spark", "__SRC__").replace("{", "{{").replace("}", "}}").replace("__SRC__", "{src}")
+    return spark.sql(text, src=source)
