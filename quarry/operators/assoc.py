@@ -12,7 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.freq import exact_quantiles, numeric_frequency, ranked_frequency, value_frequency
+from quarry.operators.freq import (exact_quantiles, fill_shifted_ranks, numeric_frequency, ranked_frequency,
+                                   value_frequency)
 from quarry.operators.profile import columns_by_kind
 
 # Fixed values of the reference's mutual-information report.
@@ -142,18 +143,18 @@ def quantile_edges(freq: DataFrame, bin_counts=BIN_COUNTS, ranked: DataFrame | N
 
     Returns ``(column, bins, edges array<double>, inner array<double>)``;
     ``inner`` excludes the outer edges, as used by the right-side search.
+    All bin counts come from one quantile pass (the union of their probabilities).
     """
     probs = sorted({i / b for b in bin_counts for i in range(b + 1)})
     qs = exact_quantiles(freq, probs, ranked=ranked)
-    per_bins = []
-    for b in bin_counts:
-        ps = [i / b for i in range(b + 1)]
-        per_bins.append(qs.filter(F.col("p").isin(ps)).withColumn("bins", F.lit(b)))
-    allq = per_bins[0]
-    for x in per_bins[1:]:
-        allq = allq.unionByName(x)
-    edges = allq.groupBy("column", "bins").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("p", "q"))), lambda s: s["q"]).alias("raw"))
+    allq = qs.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("p", "q"))).alias("pq"))
+    def on_grid(b):  # probability i/b for some integer i (a one-argument lambda: no index)
+        return lambda s: F.abs(s["p"] * b - F.round(s["p"] * b)) < 1e-9
+
+    per_bins = F.array(*[F.struct(F.lit(b).alias("bins"),
+                                  F.transform(F.filter(F.col("pq"), on_grid(b)), lambda s: s["q"]).alias("raw"))
+                         for b in bin_counts])
+    edges = allq.select("column", F.inline(per_bins))
     # keep edge i when it exceeds the previous edge by more than the tolerance
     kept = F.filter(F.col("raw"), lambda e, i: (i == 0) | (e - F.col("raw")[i - 1] > EDGE_TOLERANCE))
     edges = edges.withColumn("edges", kept)
@@ -239,51 +240,63 @@ def histogram_mi(df: DataFrame, x: str, y: str) -> DataFrame:
     return mi_from_contingency(cont, ["g"], total).drop("g")
 
 
-def _feature_plan(df: DataFrame, target: str, max_cardinality: int = MAX_CARDINALITY):
-    """Per-feature branch: onehot (string), lowcard (bool / <=5 distinct), numeric (binned)."""
-    kinds = columns_by_kind(df, exclude=(target,))
-    strings = kinds["categorical"]
-    cand = kinds["bool"] + kinds["numeric"] + kinds["datetime"]
-    nun = {}
-    if cand:
-        row = df.agg(*[F.count_distinct(c).alias(c) for c in cand]).first()  # p numbers
-        nun = {c: row[c] for c in cand}
-    lowcard = [c for c in cand if c in kinds["bool"] or nun[c] <= LOW_CARDINALITY]
-    numeric = [c for c in kinds["numeric"] if c not in lowcard]
-    return strings, lowcard, numeric
-
-
 def stable_mi(df: DataFrame, target: str, bin_counts=BIN_COUNTS, near_zero: float = NEAR_ZERO,
               max_cardinality: int = MAX_CARDINALITY, top_k: int = TOP_K_CATEGORIES,
               drop_null_target: bool = False, per_run: bool = False) -> DataFrame:
     """MI per feature at several bin counts -> avg, population std, flags.
 
-    One unpivot of all features, one explode over the bin counts and one
-    shuffle into the ``(feature, bins, x, y)`` contingency table, whose size is
-    bounded by features x bins x categories x classes.
+    One frequency table of the numeric columns (target included) gives their
+    distinct counts, medians and every quantile edge (median-filled ranks are
+    derived by shifting, not recomputed); one unpivot of all features, one
+    explode over the bin counts and one shuffle build the ``(feature, bins,
+    x, y)`` contingency table, bounded by features x bins x categories x classes.
     """
+    from pyspark.sql import Window
     bins_arr = F.array(*[F.lit(b) for b in bin_counts])
-    tdt = df.schema[target].dataType.simpleString()
-    t_numeric = tdt in ("tinyint", "smallint", "int", "bigint", "float", "double") or tdt.startswith("decimal")
     if drop_null_target:
         df = df.filter(F.col(target).isNotNull())
-    strings, lowcard, numeric = _feature_plan(df, target, max_cardinality)
+    kinds = columns_by_kind(df, exclude=(target,))
+    strings, bools, dates = kinds["categorical"], kinds["bool"], kinds["datetime"]
+    tdt = df.schema[target].dataType.simpleString()
+    t_numeric = tdt in ("tinyint", "smallint", "int", "bigint", "float", "double") or tdt.startswith("decimal")
+    num_cols = kinds["numeric"] + ([target] if t_numeric else [])
     total = df.agg(F.count(F.lit(1))).scalar()
 
-    # target per bins: binned when numeric with > 5 distinct values
-    y_bins_expr = F.transform(bins_arr, lambda b: F.col(target).cast("string"))
-    tgt_edges = None
-    if t_numeric and df.agg(F.count_distinct(target)).first()[0] > LOW_CARDINALITY:
-        if df.filter(F.col(target).isNull()).limit(1).count() > 0:
-            raise ValueError("numeric target with NULLs cannot be binned; pass drop_null_target=True")
-        tgt_edges = (quantile_edges(numeric_frequency(df, [target]), bin_counts)
-                     .groupBy().agg(F.map_from_entries(F.collect_list(F.struct("bins", "inner")))).scalar())
-
-    parts = []
+    nfreq = numeric_frequency(df, num_cols) if num_cols else None
+    nun = {}
+    if nfreq is not None:
+        nun = {r["column"]: r["n"] for r in nfreq.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}  # p rows
+    if dates:
+        row = df.agg(*[F.count_distinct(c).alias(c) for c in dates]).first()
+        nun.update({c: row[c] for c in dates})
+    lowcard = bools + [c for c in kinds["numeric"] + dates if nun.get(c, 0) <= LOW_CARDINALITY]
+    numeric = [c for c in kinds["numeric"] if nun.get(c, 0) > LOW_CARDINALITY]
+    t_binned = t_numeric and nun.get(target, 0) > LOW_CARDINALITY
+    if t_binned and df.filter(F.col(target).isNull()).limit(1).count() > 0:
+        raise ValueError("numeric target with NULLs cannot be binned; pass drop_null_target=True")
+
+    edges_feat = tgt_edges = None
+    ranked_cols = numeric + ([target] if t_binned else [])
+    if ranked_cols:
+        ranked = ranked_frequency(nfreq.filter(F.col("column").isin(*ranked_cols)))
+        if numeric:
+            med = exact_quantiles(None, [0.5], ranked=ranked.filter(F.col("column").isin(*numeric)), detail=True)
+            fills = (med.join(ranked.filter(F.col("column").isin(*numeric)).groupBy("column").agg(F.max("total").alias("total")), "column")
+                     .select("column", F.col("q").alias("m"), (F.lit(total) - F.col("total")).alias("k"),
+                             (F.col("v_lo") != F.col("v_hi")).alias("new"), "total"))
+            fills = F.broadcast(fills)  # one row per numeric feature
+            filled = fill_shifted_ranks(ranked.filter(F.col("column").isin(*numeric)), fills)
+            edges_feat = quantile_edges(None, bin_counts, ranked=filled).select(F.col("column").alias("feature"), "bins", "inner")
+            medians = fills.select(F.col("column").alias("feature"), F.col("m").alias("median"))
+        if t_binned:
+            te = quantile_edges(None, bin_counts, ranked=ranked.filter(F.col("column") == target))
+            tgt_edges = te.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("bins", "inner")))).scalar()
+
+    # target per bin count: binned when numeric with > 5 distinct values
     base = df
+    y_bins_expr = F.transform(bins_arr, lambda b: F.col(target).cast("string"))
     if tgt_edges is not None:
-        # bin count -> target edges, a one-row scalar subquery projected next to each row
-        base = df.withColumn("_tedges", tgt_edges)
+        base = df.withColumn("_tedges", tgt_edges)  # one-row scalar subquery next to each row
         y_bins_expr = F.transform(bins_arr, lambda b: bin_index(F.col(target).cast("double"),
                                                                 F.col("_tedges")[b]).cast("string"))
     base = base.withColumn("_ys", F.arrays_zip(bins_arr.alias("bins"), y_bins_expr.alias("y")))
@@ -292,16 +305,15 @@ def stable_mi(df: DataFrame, target: str, bin_counts=BIN_COUNTS, near_zero: floa
         return d.select("feature", "branch", "x", F.explode("_ys").alias("_b")).select(
             "feature", "branch", "x", F.col("_b.bins").alias("bins"), F.col("_b.y").alias("y"))
 
+    parts = []
     if strings:
         s_long = base.select("_ys", F.explode(F.array(*[
             F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c), F.lit(MISSING)).alias("x")) for c in strings])).alias("kv")
         ).select("_ys", "kv.*")
-        # top-k categories of high-cardinality string features (<= top_k rows per feature: broadcast)
         sfreq = value_frequency(df.select(*[F.coalesce(F.col(c), F.lit(MISSING)).alias(c) for c in strings]), strings)
         card = sfreq.groupBy("column").agg(F.count(F.lit(1)).alias("card"))
-        from pyspark.sql import Window
         w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc())
-        keep = (sfreq.join(card, "column").withColumn("rk", F.row_number().over(w))
+        keep = (sfreq.join(F.broadcast(card), "column").withColumn("rk", F.row_number().over(w))
                 .filter((F.col("card") <= max_cardinality) | (F.col("rk") <= top_k))
                 .select(F.col("column").alias("feature"), F.col("value").alias("x"), F.lit(True).alias("_keep")))
         highs = card.filter(F.col("card") > max_cardinality).select(F.col("column").alias("feature"), F.lit(True).alias("_high"))
@@ -317,23 +329,14 @@ def stable_mi(df: DataFrame, target: str, bin_counts=BIN_COUNTS, near_zero: floa
             for c in lowcard])).alias("kv")).select("_ys", "kv.*").withColumn("branch", F.lit("lowcard"))
         parts.append(explode_bins(l_long))
     if numeric:
-        nfreq = numeric_frequency(df, numeric)
-        nranked = ranked_frequency(nfreq)
-        med = exact_quantiles(nfreq, [0.5], ranked=nranked).select(F.col("column").alias("feature"), F.col("q").alias("median"))
-        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in numeric]).select(
-            F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("nulls")) for c in numeric])))
-        filled = (nfreq.unionByName(med.join(nulls, "feature").filter(F.col("nulls") > 0).select(
-            F.col("feature").alias("column"), F.col("median").alias("value"), F.col("nulls").alias("n")))
-            .groupBy("column", "value").agg(F.sum("n").alias("n")))
-        edges = quantile_edges(filled, bin_counts).select(F.col("column").alias("feature"), "bins", "inner")
         n_long = base.select("_ys", F.explode(F.array(*[
             F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in numeric])).alias("kv")
         ).select("_ys", "kv.*")
-        n_long = (n_long.join(F.broadcast(med), "feature")
+        n_long = (n_long.join(medians, "feature")
                   .withColumn("v", F.coalesce("v", "median"))
                   .select("feature", "v", F.explode("_ys").alias("_b"))
                   .select("feature", "v", F.col("_b.bins").alias("bins"), F.col("_b.y").alias("y"))
-                  .join(F.broadcast(edges), ["feature", "bins"])  # features x bins rows
+                  .join(F.broadcast(edges_feat), ["feature", "bins"])  # features x bins rows
                   .select("feature", F.lit("numeric").alias("branch"),
                           bin_index(F.col("v"), F.col("inner")).cast("string").alias("x"), "bins", "y"))
         parts.append(n_long)

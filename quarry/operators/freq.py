@@ -9,8 +9,8 @@ quantiles.
 ``exact_quantiles`` is exact at any scale: the frequency table is range
 partitioned on (column, value), every task computes local running counts, the
 per-partition totals (columns x partitions rows, bounded by configuration, not
-data) give each task its global offset, and the requested ranks are found by a
-broadcast equi-join on column with a rank-interval condition. No task ever
+data) give each task its global offset, and each ranked row keeps only the
+requested probabilities whose rank falls into its interval. No task ever
 holds all values of a column, unlike the ``percentile`` aggregate whose buffer
 keeps every distinct value of a group.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import ensure_checkpoint_dir, materialize
 
 
 def value_frequency(df: DataFrame, cols: list[str] | None = None, value_type: str = "string",
@@ -46,61 +46,98 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
 
 
 def ranked_frequency(freq: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Attach global rank intervals ``[rank_lo, rank_hi)`` to a ``(column, value, n)`` table.
+    """Attach global rank intervals ``[rank_lo, rank_hi)`` and the column ``total`` to ``(column, value, n)``.
 
     Ranks are 0-based positions in ascending value order within each column.
-    The range-partitioned table is checkpointed so partition ids stay fixed for
-    both of its uses (and lineage is cut on the way).
+    The range-partitioned table with its local running counts is materialised
+    (Parquet under the shared checkpoint folder) so partition ids stay fixed
+    for both of its uses; the per-partition totals are a (#columns x
+    #partitions) table, bounded by configuration, that is collected once and
+    broadcast back as offsets.
     """
     ensure_checkpoint_dir(freq.sparkSession)
+    spark = freq.sparkSession
     p = _partitions(freq, partitions)
-    ranged = (freq.filter(F.col("value").isNotNull())
+    ranked = (freq.filter(F.col("value").isNotNull())
               .repartitionByRange(p, "column", "value")
               .withColumn("pid", F.spark_partition_id()))
-    local = ranged.withColumn(
+    local = ranked.withColumn(
         "local_end",
         F.sum("n").over(Window.partitionBy("column", "pid").orderBy("value")
                         .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    local = local.checkpoint(eager=True)
-    per_part = local.groupBy("column", "pid").agg(F.sum("n").alias("part_n"))
-    offsets = per_part.withColumn(
-        "offset",
-        F.coalesce(F.sum("part_n").over(Window.partitionBy("column").orderBy("pid")
-                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # offsets has (#columns x #partitions) rows: bounded by configuration.
-    out = local.join(F.broadcast(offsets.select("column", "pid", "offset")), ["column", "pid"])
+    local = materialize(local, "ranked")
+    parts = local.groupBy("column", "pid").agg(F.sum("n").alias("part_n")).collect()  # <= columns x partitions
+    acc: dict[str, int] = {}
+    rows = []
+    for r in sorted(parts, key=lambda r: (r["column"], r["pid"])):
+        off = acc.get(r["column"], 0)
+        rows.append((r["column"], r["pid"], off))
+        acc[r["column"]] = off + r["part_n"]
+    offsets = spark.createDataFrame([(c, pid, off, acc[c]) for c, pid, off in rows],
+                                    "column string, pid int, offset long, total long")
+    out = local.join(F.broadcast(offsets), ["column", "pid"])
     return out.select("column", "value", "n",
                       (F.col("offset") + F.col("local_end") - F.col("n")).alias("rank_lo"),
-                      (F.col("offset") + F.col("local_end")).alias("rank_hi"))
+                      (F.col("offset") + F.col("local_end")).alias("rank_hi"), "total")
+
+
+def column_totals(ranked: DataFrame) -> DataFrame:
+    """Per-column non-null totals of a ranked table (small)."""
+    return ranked.groupBy("column").agg(F.max("total").alias("total"))
 
 
 def exact_quantiles(freq: DataFrame, probs: list[float], partitions: int | None = None,
-                    ranked: DataFrame | None = None) -> DataFrame:
+                    ranked: DataFrame | None = None, detail: bool = False) -> DataFrame:
     """Linear-interpolation quantiles (numpy default / SQL ``percentile_cont``).
 
     Input ``(column, value, n)``; output ``(column, p, q)``; NULL values ignored.
+    One pass over the ranked table: each row checks the (#columns x #probs x 2)
+    target ranks of its column (broadcast) and only the rows holding them survive.
     """
     ranked = ranked if ranked is not None else ranked_frequency(freq, partitions)
-    totals = ranked.groupBy("column").agg(F.max("rank_hi").alias("total"))
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (totals.select("column", "total", F.explode(probs_arr).alias("p"))
-               .withColumn("h", (F.col("total") - 1) * F.col("p"))
-               .withColumn("lo", F.floor("h").cast("long"))
-               .withColumn("hi", F.ceil("h").cast("long"))
-               .withColumn("frac", F.col("h") - F.col("lo")))
-    ranks = targets.select("column", "p", F.explode(F.array(
-        F.struct(F.lit("lo").alias("which"), F.col("lo").alias("rank")),
-        F.struct(F.lit("hi").alias("which"), F.col("hi").alias("rank")))).alias("t")).select(
-        "column", "p", "t.which", "t.rank")
-    # targets: (#columns x #probs x 2) rows -> broadcast, equi-join on column + interval check.
-    hit = ranked.join(F.broadcast(ranks), "column").filter(
-        (F.col("rank") >= F.col("rank_lo")) & (F.col("rank") < F.col("rank_hi")))
+    tm1 = F.col("total") - 1
+
+    def holds(p):  # this value's rank interval holds floor(h) or ceil(h) of probability p
+        h = tm1 * p
+        return (((F.floor(h) >= F.col("rank_lo")) & (F.floor(h) < F.col("rank_hi")))
+                | ((F.ceil(h) >= F.col("rank_lo")) & (F.ceil(h) < F.col("rank_hi"))))
+
+    hit = (ranked.select("column", "value", "rank_lo", "rank_hi", "total",
+                         F.explode(F.filter(probs_arr, holds)).alias("p"))
+           .withColumn("h", tm1 * F.col("p"))
+           .withColumn("lo", F.floor("h").cast("long")).withColumn("hi", F.ceil("h").cast("long")))
     picked = hit.groupBy("column", "p").agg(
-        F.max(F.when(F.col("which") == "lo", F.col("value"))).alias("v_lo"),
-        F.max(F.when(F.col("which") == "hi", F.col("value"))).alias("v_hi"))
-    return (targets.join(picked, ["column", "p"], "left")
-            .select("column", "p",
-                    (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("q")))
+        F.max(F.when((F.col("lo") >= F.col("rank_lo")) & (F.col("lo") < F.col("rank_hi")), F.col("value"))).alias("v_lo"),
+        F.max(F.when((F.col("hi") >= F.col("rank_lo")) & (F.col("hi") < F.col("rank_hi")), F.col("value"))).alias("v_hi"),
+        F.first("h").alias("h"))
+    frac = F.col("h") - F.floor("h")
+    extra = ["v_lo", "v_hi"] if detail else []
+    return picked.select("column", "p", (F.col("v_lo") + frac * (F.col("v_hi") - F.col("v_lo"))).alias("q"), *extra)
+
+
+def fill_shifted_ranks(ranked: DataFrame, fills: DataFrame) -> DataFrame:
+    """Ranks of the distribution with ``k`` extra copies of ``m`` per column (NULL -> median fill).
+
+    ``fills``: (column, m, k, new) with ``new`` true when m is not an existing
+    value (even count with distinct middle values: it then sits at rank N/2).
+    Values above m shift by k; an existing m grows by k; a new m is added.
+    Narrow: one broadcast join of a one-row-per-column table, no new shuffle.
+    """
+    j = ranked.join(F.broadcast(fills.select("column", "m", "k")), "column", "left")
+    k = F.coalesce(F.col("k"), F.lit(0))
+    above = F.col("value") > F.col("m")
+    at = F.col("value") == F.col("m")
+    shifted = j.select(
+        "column", "value",
+        (F.col("n") + F.when(at, k).otherwise(0)).alias("n"),
+        (F.col("rank_lo") + F.when(above, k).otherwise(0)).alias("rank_lo"),
+        (F.col("rank_hi") + F.when(above | at, k).otherwise(0)).alias("rank_hi"),
+        (F.col("total") + k).alias("total"))
+    added = fills.filter(F.col("new") & (F.col("k") > 0)).select(
+        "column", F.col("m").alias("value"), F.col("k").alias("n"), F.floor(F.col("total") / 2).cast("long").alias("rank_lo"),
+        (F.floor(F.col("total") / 2) + F.col("k")).cast("long").alias("rank_hi"), (F.col("total") + F.col("k")).alias("total"))
+    return shifted.unionByName(added)
 
 
 def quantiles_wide(quant: DataFrame, names: dict[float, str]) -> DataFrame:
