@@ -267,3 +267,56 @@ def hyperparameter_check(df: DataFrame) -> DataFrame:
         bad.append(F.when(flag, F.lit("optimizer")))
     out.append(F.filter(F.array(*bad), lambda x: x.isNotNull()).alias("violations"))
     return df.select(*out)
+
+
+# ---------------------------------------------------------------------------
+# H4-H6: image folder validation over listings (root/<split>/<class>/<file>)
+# ---------------------------------------------------------------------------
+
+def _split_class(listing: DataFrame) -> DataFrame:
+    parts = F.col("parts")
+    return listing.filter(F.size(parts) >= 3).select(F.lower(parts[0]).alias("split"), parts[1].alias("class"), "path")
+
+
+def validate_image_classes(listing: DataFrame, min_per_class: int = MIN_IMAGES_PER_CLASS) -> tuple[DataFrame, DataFrame]:
+    """H4: >= 2 classes, equal train/test class sets, >= 10 training images per class (test not checked).
+
+    Returns (per-class counts, one-row verdict).
+    """
+    sc = _split_class(listing).filter(F.col("split").isin("train", "test"))
+    per_class = (sc.groupBy("class").pivot("split", ["train", "test"]).count().fillna(0)
+                 .withColumn("total", F.col("train") + F.col("test")))
+    v = per_class.agg(
+        F.count(F.lit(1)).alias("n_classes"),
+        F.count_if(F.col("train") == 0).alias("missing_in_train"),
+        F.count_if(F.col("test") == 0).alias("missing_in_test"),
+        F.count_if(F.col("train") < min_per_class).alias("too_small"))
+    reason = (F.when(F.col("n_classes") < MIN_CLASSES, F.lit("need at least 2 classes"))
+              .when((F.col("missing_in_train") > 0) | (F.col("missing_in_test") > 0), F.lit("train and test class sets differ"))
+              .when(F.col("too_small") > 0, F.lit(f"need at least {min_per_class} training images per class")))
+    return per_class, v.select(reason.isNull().alias("valid"), reason.alias("reason"), "n_classes")
+
+
+def validate_image_detection(images: DataFrame, files: DataFrame) -> DataFrame:
+    """H5: >= 20 training images; annotations.json, labels/ or *.xml present in both splits."""
+    parts = F.col("parts")
+    img = images.filter(F.size(parts) >= 2).select(F.lower(parts[0]).alias("split"))
+    f = files.filter(F.size(parts) >= 2).select(F.lower(parts[0]).alias("split"), F.col("rel"))
+    ann = (F.lower(F.col("rel")).endswith("annotations.json") | F.col("rel").contains("/labels/")
+           | F.lower(F.col("rel")).endswith(".xml"))
+    a = f.groupBy().agg(F.max(F.when((F.col("split") == "train") & ann, 1).otherwise(0)).alias("ann_train"),
+                        F.max(F.when((F.col("split") == "test") & ann, 1).otherwise(0)).alias("ann_test"))
+    n_train = img.filter(F.col("split") == "train").agg(F.count(F.lit(1))).scalar()
+    reason = (F.when(n_train < MIN_DETECTION_IMAGES, F.lit(f"need at least {MIN_DETECTION_IMAGES} training images"))
+              .when((F.col("ann_train") == 0) | (F.col("ann_test") == 0), F.lit("annotations missing in a split")))
+    return a.select(reason.isNull().alias("valid"), reason.alias("reason"), n_train.alias("train_images"))
+
+
+def validate_vision(images: DataFrame, task: str | None = None) -> DataFrame:
+    """H6: train and test folders needed; without a task, >= 1 image in each."""
+    parts = F.col("parts")
+    s = images.filter(F.size(parts) >= 2).groupBy().agg(
+        F.count_if(F.lower(parts[0]) == "train").alias("train_images"),
+        F.count_if(F.lower(parts[0]) == "test").alias("test_images"))
+    reason = F.when((F.col("train_images") == 0) | (F.col("test_images") == 0), F.lit("need train and test folders with images"))
+    return s.select(reason.isNull().alias("valid"), reason.alias("reason"), "train_images", "test_images")

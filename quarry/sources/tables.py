@@ -166,10 +166,7 @@ def class_root(spark: SparkSession, root: str) -> DataFrame:
 
 def read_registry_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Legacy JSON arrays; a malformed file yields no rows instead of failing."""
-    return (spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt").schema(
-                T.StructType(schema.fields + [T.StructField("_corrupt", T.StringType())]))
-            .json(path).filter(F.col("_corrupt").isNull()).drop("_corrupt"))
+    return spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").schema(schema).json(path)
 
 
 def restore_catalog(spark: SparkSession, root: str) -> DataFrame:
