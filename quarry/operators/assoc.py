@@ -313,12 +313,14 @@ def stable_mi(df: DataFrame, target: str, bin_counts=BIN_COUNTS, near_zero: floa
         sfreq = value_frequency(df.select(*[F.coalesce(F.col(c), F.lit(MISSING)).alias(c) for c in strings]), strings)
         card = sfreq.groupBy("column").agg(F.count(F.lit(1)).alias("card"))
         w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc())
-        keep = (sfreq.join(F.broadcast(card), "column").withColumn("rk", F.row_number().over(w))
-                .filter((F.col("card") <= max_cardinality) | (F.col("rk") <= top_k))
-                .select(F.col("column").alias("feature"), F.col("value").alias("x"), F.lit(True).alias("_keep")))
+        # high-cardinality columns keep their top k: a pure row_number() <= k lets Spark run a
+        # partial WindowGroupLimit before the shuffle (no column's values gather in one task)
+        top = (sfreq.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= top_k)
+               .select(F.col("column").alias("feature"), F.col("value").alias("x")))
+        keep = top.withColumn("_keep", F.lit(True))
         highs = card.filter(F.col("card") > max_cardinality).select(F.col("column").alias("feature"), F.lit(True).alias("_high"))
         s_long = (s_long.join(F.broadcast(highs), "feature", "left")
-                  .join(keep, ["feature", "x"], "left")
+                  .join(F.broadcast(keep), ["feature", "x"], "left")  # <= features x top_k rows
                   .withColumn("x", F.when(F.col("_high").isNull() | F.col("_keep").isNotNull(), F.col("x"))
                               .otherwise(F.lit(OTHER)))
                   .withColumn("branch", F.lit("onehot")))

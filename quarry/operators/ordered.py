@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import ensure_checkpoint_dir, materialize
 
 
 def _n_parts(df: DataFrame, partitions: int | None) -> int:
@@ -108,18 +108,35 @@ def segmented_scan(df: DataFrame, keys: list[str], order: list[str], specs: dict
     ``specs`` maps output column -> (kind, input column) with kind in
     ffill (last non-null at or above), bfill (next non-null at or below),
     cummax, cummin (running, nulls ignored) and rownum (1-based position).
-
-    Plan: range partition on keys+order, sort within partitions, a pandas pass
-    computes the local scan and the partition's boundary state; the boundary
-    states (one row per partition and key edge) are combined by a window over
-    that small table and applied to the rows of each partition's first/last key.
+    Forward kinds run in one pass; bfill is a forward fill over the reversed
+    order in a second pass.
     """
     for kind, _ in specs.values():
         if kind not in _SCAN_KINDS:
             raise ValueError(f"unknown scan kind {kind}")
+    fwd = {k: v for k, v in specs.items() if v[0] != "bfill"}
+    back = {k: ("ffill", v[1]) for k, v in specs.items() if v[0] == "bfill"}
+    out = df
+    if fwd:
+        out = _scan_pass(out, keys, [F.col(o).asc() for o in order], fwd, partitions)
+    if back:
+        out = _scan_pass(out, keys, [F.col(o).desc() for o in order], back, partitions)
+    return out
+
+
+def _scan_pass(df: DataFrame, keys: list[str], order_cols, specs: dict[str, tuple[str, str]],
+               partitions: int | None = None) -> DataFrame:
+    """One forward pass.
+
+    Plan: range partition on keys + order, sort within partitions, then a
+    streaming pandas pass over the Arrow batches of each partition (per-key
+    state carried from batch to batch, so memory is one batch, not one
+    partition). Each partition's boundary state (<= 2 rows) goes into a small
+    carries table combined by a window over partitions and broadcast back.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     p = _n_parts(df, partitions)
-    sort_cols = list(keys) + list(order)
+    sort_cols = [F.col(k).asc() for k in keys] + list(order_cols)
     ranged = (df.repartitionByRange(p, *sort_cols).sortWithinPartitions(*sort_cols)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_seq", F.monotonically_increasing_id()))
@@ -133,30 +150,55 @@ def segmented_scan(df: DataFrame, keys: list[str], order: list[str], specs: dict
     key_cols = list(keys)
 
     def local_scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = list(batches)
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        if key_cols:
-            grp = pdf.groupby(key_cols, sort=False, dropna=False)
-        for name, (kind, src) in specs.items():
-            s = pdf[src]
-            if kind == "rownum":
-                pdf[name] = (grp.cumcount() + 1) if key_cols else np.arange(1, len(pdf) + 1)
-            elif kind == "ffill":
-                pdf[name] = grp[src].ffill() if key_cols else s.ffill()
-            elif kind == "bfill":
-                pdf[name] = grp[src].bfill() if key_cols else s.bfill()
-            elif kind in ("cummax", "cummin"):
-                # pandas leaves NULL where the input is NULL; the running value carries on
-                run = getattr(grp[src], kind)() if key_cols else getattr(s, kind)()
-                if key_cols:
-                    pdf[name] = run.groupby([pdf[k] for k in key_cols], sort=False, dropna=False).ffill()
+        carry_key, carry = None, {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            kdf = pdf[key_cols] if key_cols else pd.DataFrame({"_k": np.zeros(len(pdf), dtype=np.int8)})
+            gid = kdf.groupby(list(kdf.columns), sort=False, dropna=False).ngroup().to_numpy()
+            first_key = tuple(kdf.iloc[0]) if key_cols else ()
+            cont = carry_key is not None and _same_key(first_key, carry_key)
+            head = gid == gid[0]  # rows of the batch's first key
+            for name, (kind, src) in specs.items():
+                srs = pdf[src]
+                g = srs.groupby(gid, sort=False)
+                if kind == "rownum":
+                    vals = g.cumcount().to_numpy() + 1
+                    if cont:
+                        vals = vals + np.where(head, carry.get(name, 0), 0)
+                    pdf[name] = vals
+                    continue
+                if kind == "ffill":
+                    vals = g.ffill()
+                    if cont and carry.get(name) is not None:
+                        vals = vals.where(~(head & vals.isna().to_numpy()), carry[name])
+                else:  # cummax / cummin: pandas leaves NULL at NULL inputs, the running value carries on
+                    vals = getattr(g, kind)().groupby(gid, sort=False).ffill()
+                    c = carry.get(name)
+                    if cont and c is not None:
+                        h = vals[head]
+                        comb = h.fillna(c)
+                        comb = comb.clip(lower=c) if kind == "cummax" else comb.clip(upper=c)
+                        vals = vals.astype(comb.dtype)
+                        vals[head] = comb
+                pdf[name] = vals
+            # carry the state of the batch's last key into the next batch
+            last = gid == gid[-1]
+            last_key = tuple(kdf.iloc[-1]) if key_cols else ()
+            same_as_prev = cont and gid[-1] == gid[0]
+            new_carry = {}
+            for name, (kind, src) in specs.items():
+                if kind == "rownum":
+                    new_carry[name] = int(pdf[name].to_numpy()[-1])
                 else:
-                    pdf[name] = run.ffill()
-        yield pdf
+                    v = pdf[name][last].iloc[-1]
+                    new_carry[name] = None if pd.isna(v) else v
+                    if new_carry[name] is None and same_as_prev:
+                        new_carry[name] = carry.get(name)
+            carry_key, carry = last_key, new_carry
+            yield pdf
 
-    local = ranged.mapInPandas(local_scan, schema).checkpoint(eager=True)
+    local = materialize(ranged.mapInPandas(local_scan, schema), "scan")
 
     # Boundary state per (partition, key): only keys at a partition edge can
     # receive a carry, so each partition contributes at most two rows.
@@ -165,8 +207,6 @@ def segmented_scan(df: DataFrame, keys: list[str], order: list[str], specs: dict
     for name, (kind, src) in specs.items():
         if kind == "ffill":
             edge_aggs.append(F.max_by(F.col(name), F.col("_seq")).alias(f"{name}__last"))
-        elif kind == "bfill":
-            edge_aggs.append(F.min_by(F.col(name), F.col("_seq")).alias(f"{name}__first"))
         elif kind == "cummax":
             edge_aggs.append(F.max(F.col(src)).alias(f"{name}__agg"))
         elif kind == "cummin":
@@ -179,17 +219,13 @@ def segmented_scan(df: DataFrame, keys: list[str], order: list[str], specs: dict
                  .select("_pid", *kcols).distinct())
     seg = (local.join(F.broadcast(edge_rows), ["_pid"] + key_cols, "left_semi")
            .groupBy("_pid", *kcols).agg(*edge_aggs))
-    # seg holds <= 2 rows per partition; the carries are running combinations
-    # over earlier (ffill, cum*) or later (bfill) partitions of the same key.
+    # seg holds <= 2 rows per partition; carries combine earlier partitions of the same key.
     wk = Window.partitionBy(*kcols) if key_cols else Window.partitionBy(F.lit(0))
     before = wk.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    after = wk.orderBy("_pid").rowsBetween(1, Window.unboundedFollowing)
     carry_cols = []
     for name, (kind, src) in specs.items():
         if kind == "ffill":
             carry_cols.append(F.last(f"{name}__last", ignorenulls=True).over(before).alias(f"{name}__carry"))
-        elif kind == "bfill":
-            carry_cols.append(F.first(f"{name}__first", ignorenulls=True).over(after).alias(f"{name}__carry"))
         elif kind == "cummax":
             carry_cols.append(F.max(f"{name}__agg").over(before).alias(f"{name}__carry"))
         elif kind == "cummin":
@@ -201,7 +237,7 @@ def segmented_scan(df: DataFrame, keys: list[str], order: list[str], specs: dict
     outs = []
     for name, (kind, src) in specs.items():
         c, carry = F.col(name), F.col(f"{name}__carry")
-        if kind in ("ffill", "bfill"):
+        if kind == "ffill":
             outs.append(F.coalesce(c, carry).alias(name))
         elif kind == "cummax":
             outs.append(F.when(carry.isNull(), c).when(c.isNull(), carry).otherwise(F.greatest(c, carry)).alias(name))
@@ -211,3 +247,14 @@ def segmented_scan(df: DataFrame, keys: list[str], order: list[str], specs: dict
             outs.append((c + F.coalesce(carry, F.lit(0))).alias(name))
     base_cols = [F.col(f.name) for f in df.schema.fields]
     return joined.select(*base_cols, *outs)
+
+
+def _same_key(a: tuple, b: tuple) -> bool:
+    if len(a) != len(b):
+        return False
+    for x, y in zip(a, b):
+        if (x is None or (isinstance(x, float) and np.isnan(x))) and (y is None or (isinstance(y, float) and np.isnan(y))):
+            continue
+        if x != y:
+            return False
+    return True

@@ -353,3 +353,17 @@ def test_mask_secret(spark):
     assert [r[0] for r in df.select(N.mask_secret(F.col("s"))).collect()] == ["***", "sk-12345...cdef"]
     u = spark.createDataFrame([("postgresql://bob:pw@host:5432/db",)], "u string")
     assert u.select(N.mask_url_password(F.col("u"))).first()[0] == "postgresql://bob:***@host:5432/db"
+
+
+def test_segmented_scan_carries_state_across_arrow_batches(spark):
+    prev = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        test_segmented_scan_hot_key_matches_pandas(spark)
+        df = spark.createDataFrame([(i % 3, i, None if i % 4 else float(i)) for i in range(300)], "k int, o int, v double")
+        out = C.bfill(df, ["v"], ["o"], keys=["k"]).toPandas().sort_values("o")
+        pdf = df.toPandas().sort_values("o")
+        exp = pdf.groupby("k")["v"].bfill()
+        np.testing.assert_allclose(out["v"].astype(float), exp.astype(float), equal_nan=True)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
