@@ -42,18 +42,27 @@ def _fill_with(df: DataFrame, values: dict[str, object], cast_double: bool = Fal
     return df.select(*out)
 
 
+def _null_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()  # p numbers
+    return {c: row[c] for c in cols}
+
+
 def fill_mean(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Numeric columns <- their mean (result double); bool and strings untouched."""
+    """Numeric columns with NULLs <- their mean (as double); bool, strings and complete columns untouched."""
     cols = list(cols if cols is not None else _numeric_cols(df))
     if not cols:
         return df
-    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()  # one row of p means
-    return _fill_with(df, {c: row[c] for c in cols}, cast_double=True)
+    aggs = [F.avg(F.col(c).cast("double")).alias(c) for c in cols] + \
+           [F.count_if(F.col(c).isNull()).alias(f"{c}__nulls") for c in cols]
+    row = df.agg(*aggs).first()  # one row of p means and p null counts
+    return _fill_with(df, {c: row[c] for c in cols if row[f"{c}__nulls"] > 0}, cast_double=True)
 
 
 def fill_median(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Numeric columns <- exact median (linear interpolation)."""
+    """Numeric columns with NULLs <- exact median (linear interpolation)."""
     cols = list(cols if cols is not None else _numeric_cols(df))
+    nulls = _null_counts(df, cols) if cols else {}
+    cols = [c for c in cols if nulls.get(c, 0) > 0]
     if not cols:
         return df
     med = exact_quantiles(numeric_frequency(df, cols), [0.5]).collect()  # p rows

@@ -61,7 +61,7 @@ def conversations_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CONVERSATIONS_GAPS_SQL = """(SELECT conv_id, turn, role, CASE WHEN turn % 3 = 1 THEN NULL ELSE role END AS role_gap,
-  CASE WHEN turn % 4 = 2 THEN NULL ELSE length(text) END AS len_gap FROM conversations)"""
+  CASE WHEN turn % 4 = 2 THEN NULL ELSE CAST(length(text) AS INTEGER) END AS len_gap FROM conversations)"""
 
 
 # events with NaN / infinities injected

@@ -86,7 +86,7 @@ _HP_USER = """(SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice
 
 
 @register("hyperparam_merge", f"""SELECT o_orderkey, round(coalesce(learning_rate, 0.001), 9) AS learning_rate, coalesce(batch_size, 32) AS batch_size,
-  coalesce(optimizer, 'Adam') AS optimizer, 0.2 AS dropout_rate, 3 AS epochs, 10 AS max_iterations, 1.0 AS target_accuracy FROM {_HP_USER}""")
+  coalesce(optimizer, 'Adam') AS optimizer, CAST(0.2 AS DOUBLE) AS dropout_rate, 3 AS epochs, 10 AS max_iterations, CAST(1.0 AS DOUBLE) AS target_accuracy FROM {_HP_USER}""")
 def q_hyperparam_merge(spark, sf):
     o = load(spark, sf, "orders")
     m = lambda k: F.pmod("o_orderkey", F.lit(k))
