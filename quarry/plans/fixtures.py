@@ -75,3 +75,7 @@ def events_nan(spark: SparkSession, sf: str) -> DataFrame:
 
 EVENTS_NAN_SQL = """(SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'nan'::DOUBLE WHEN event_id % 10 = 1 THEN 'inf'::DOUBLE
   WHEN event_id % 10 = 2 THEN '-inf'::DOUBLE ELSE value END AS value FROM events)"""
+
+
+# A row order that is unique at every scale factor (the four keys alone repeat at sf0.001).
+LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax", "l_shipdate"]

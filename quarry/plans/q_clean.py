@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators import clean as C
 from quarry.operators import encode as E
 from quarry.plans.catalog import register, rounded
-from quarry.plans.fixtures import (CONVERSATIONS_GAPS_SQL as CG, EVENTS_NAN_SQL, LINEITEM_NULLS_SQL as LN,
+from quarry.plans.fixtures import (CONVERSATIONS_GAPS_SQL as CG, EVENTS_NAN_SQL, LINEITEM_NULLS_SQL as LN, LINEITEM_ORDER,
                                    conversations_gaps, events_nan, lineitem_nulls)
 from quarry.sources.tables import load
 
@@ -68,11 +68,11 @@ def q_bfill(spark, sf):
 
 
 @register("ffill_keyless", f"""SELECT {KEYS_SQL},
-  last_value(l_quantity IGNORE NULLS) OVER (ORDER BY {KEYS_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l_quantity
+  last_value(l_quantity IGNORE NULLS) OVER (ORDER BY {', '.join(LINEITEM_ORDER)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l_quantity
   FROM {LN}""")
 def q_ffill_keyless(spark, sf):
-    li = lineitem_nulls(spark, sf).select(*KEYS, "l_quantity")
-    return C.ffill(li, ["l_quantity"], KEYS)
+    li = lineitem_nulls(spark, sf).select(*LINEITEM_ORDER, "l_quantity")
+    return C.ffill(li, ["l_quantity"], LINEITEM_ORDER).select(*KEYS, "l_quantity")
 
 
 @register("fill_constant", f"""SELECT {KEYS_SQL}, coalesce(l_quantity, 0) AS l_quantity, coalesce(l_discount, 0) AS l_discount,

@@ -15,7 +15,7 @@ from quarry.sources.tables import dataset_columns, load, read_table
 
 NUMERIC = [c for c, t in LT.items() if t in ("bigint", "int", "double")]
 CATEG = [c for c, t in LT.items() if t == "string"]
-ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]  # unique in lineitem
+from quarry.plans.fixtures import LINEITEM_ORDER as ORDER  # noqa: E402  (unique row order)
 
 
 @register("read_table", """SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n,
