@@ -193,6 +193,15 @@ def bagged_stack(df: DataFrame, target: str, problem_type: str, id_col: str, fam
 # J4 / J6 / J7 / J9 / J10 / J11
 # ---------------------------------------------------------------------------
 
+def frame_traits(df: DataFrame, target: str | None = None) -> DataFrame:
+    """Traits in one aggregate: rows, feature columns, mean missing %, categorical column count."""
+    feats = [f for f in df.schema.fields if f.name != target]
+    n_cat = sum(1 for f in feats if isinstance(f.dataType, T.StringType))
+    miss = sum((F.count_if(F.col(f.name).isNull()) * 100.0 / F.count(F.lit(1)) for f in feats), F.lit(0.0)) / len(feats)
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), miss.alias("missing_pct")).select(
+        "n_rows", F.lit(len(feats)).cast("long").alias("n_cols"), "missing_pct", F.lit(n_cat).cast("long").alias("n_categorical"))
+
+
 def dataset_traits(profile: DataFrame, n_rows: int) -> DataFrame:
     """Traits from a feature profile: rows, columns, mean missing %, categorical count."""
     return profile.agg(F.lit(n_rows).cast("long").alias("n_rows"), F.count(F.lit(1)).alias("n_cols"),

@@ -320,3 +320,24 @@ def validate_vision(images: DataFrame, task: str | None = None) -> DataFrame:
         F.count_if(F.lower(parts[0]) == "test").alias("test_images"))
     reason = F.when((F.col("train_images") == 0) | (F.col("test_images") == 0), F.lit("need train and test folders with images"))
     return s.select(reason.isNull().alias("valid"), reason.alias("reason"), "train_images", "test_images")
+
+
+def column_set_compare(a_cols: list[str], b_cols: list[str]) -> dict:
+    """train/test column lists must be equal and in the same order (schema-level check)."""
+    return {"equal": list(a_cols) == list(b_cols), "same_set": set(a_cols) == set(b_cols),
+            "only_in_a": sorted(set(a_cols) - set(b_cols)), "only_in_b": sorted(set(b_cols) - set(a_cols))}
+
+
+def validate_tabular(spark, directory: str, task: str | None = None) -> DataFrame:
+    """H3: train+test files -> H1; otherwise the first other data file -> H2; no data file -> error."""
+    from quarry.sources.tables import list_data_files, read_table
+    files = [r["path"] for r in list_data_files(spark, directory).select("path").collect()]  # directory listing
+    names = {p.rsplit("/", 1)[-1].lower(): p for p in files}
+    train = next((p for n, p in names.items() if n.startswith("train")), None)
+    test = next((p for n, p in names.items() if n.startswith("test")), None)
+    if train and test:
+        return validate_split_tables(read_table(spark, train), read_table(spark, test), task)
+    others = [p for p in files if p not in (train, test)]
+    if not others:
+        raise ValueError(f"no data file found in {directory}")
+    return validate_single_table(read_table(spark, others[0]), task)

@@ -369,3 +369,20 @@ def dtype_counts(df: DataFrame) -> DataFrame:
 def approx_profile(df: DataFrame, cols: list[str] | None = None, accuracy: int = 10000) -> DataFrame:
     """C17: sketch-based numeric profile (approx quantiles and distinct counts)."""
     return numeric_profile(df, cols, approx=True, accuracy=accuracy)
+
+
+def complete_profile(df: DataFrame, target: str, order: list[str] | None = None) -> dict[str, DataFrame]:
+    """Feature profile + target profile + correlation (>= 3 numeric columns) + stable MI.
+
+    Four DataFrames with different shapes; rendering them as text is left to the caller.
+    """
+    from quarry.operators.assoc import pearson_mean_imputed, stable_mi
+    kinds = columns_by_kind(df)
+    out = {"features": feature_profile(df, target, order)}
+    tdt = df.schema[target].dataType
+    out["target"] = (target_profile_numeric(df, target) if column_kind(tdt) in ("numeric", "bool")
+                     else target_profile_class(df, target))
+    if len(kinds["numeric"]) >= 3:
+        out["correlation"] = pearson_mean_imputed(df, kinds["numeric"])
+    out["mutual_information"] = stable_mi(df, target)
+    return out

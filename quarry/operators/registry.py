@@ -277,3 +277,36 @@ def validation_state(datasets: DataFrame, valid: Column, errors: Column) -> Data
     return datasets.select("id", F.when(valid, F.lit("ready")).otherwise(F.lit("error")).alias("readiness"),
                            F.when(valid, F.col("description")).otherwise(
                                F.concat_ws(" | ", F.col("description"), errors)).alias("description"))
+
+
+def top_models(board: DataFrame, score: str = "score", group: str | None = None, k: int = 3,
+               tie: str = "run_id") -> DataFrame:
+    """First k leaderboard rows by score (desc) per group; ``row_number() <= k`` runs as a
+    partial WindowGroupLimit before the shuffle."""
+    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(1))).orderBy(
+        F.col(score).desc_nulls_last(), F.col(tie))
+    return board.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def migrate_datasets(raw: DataFrame) -> DataFrame:
+    """L17 (datasets): legacy JSON rows -> typed rows with field fallbacks."""
+    cols = set(raw.columns)
+
+    def pick(*names, default=None):
+        present = [F.col(n) for n in names if n in cols]
+        return F.coalesce(*present, F.lit(default)) if present else F.lit(default)
+
+    return raw.select(pick("id").cast("string").alias("id"), pick("name").alias("name"),
+                      F.lower(pick("domain", default="tabular")).alias("domain"),
+                      pick("readiness", "status", default="draft").alias("readiness"),
+                      pick("file_path", "path").alias("file_path"),
+                      pick("total_samples", "size", default=0).cast("int").alias("total_samples"))
+
+
+def migrate_jobs(raw: DataFrame, models: DataFrame) -> DataFrame:
+    """L17 (jobs): legacy job rows -> typed rows; model reference kept only when it exists."""
+    m = models.select(F.col("id").alias("model_id"), F.lit(True).alias("_m"))
+    j = raw.select(F.col("id").cast("string").alias("id"), F.coalesce(F.col("job_type"), F.lit("training")).alias("job_type"),
+                   F.coalesce(F.col("status"), F.lit("pending")).alias("status"), F.col("model_id").cast("string").alias("model_id"))
+    return j.join(m, "model_id", "left").select(
+        "id", "job_type", "status", F.when(F.col("_m"), F.col("model_id")).alias("model_id"))

@@ -75,9 +75,7 @@ _TRAIT_COLS = [c for c in LT if c != "l_linestatus"]
 s AS ({' UNION ALL '.join(f"SELECT '{f}' AS family, {b} + CASE WHEN {cond} THEN {bonus} ELSE 0.0 END AS score FROM t" for f, b, cond, bonus in J.FAMILY_RULES)})
 SELECT family, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, family) AS rank FROM s) WHERE rank <= 3""")
 def q_select_models(spark, sf):
-    li = lineitem_nulls(spark, sf)
-    prof = P.feature_profile(li, target="l_linestatus")
-    return rounded(J.select_models(J.dataset_traits(prof, li.count())))
+    return rounded(J.select_models(J.frame_traits(lineitem_nulls(spark, sf), "l_linestatus")))
 
 
 _HP_USER = """(SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 1e6 END AS learning_rate,
@@ -178,7 +176,7 @@ def q_end_to_end(spark, sf):
     advice = J.preprocess_recommend(rounded(prof))
     plan = [(r["column"], r["action"]) for r in advice.filter(F.col("column") != "o_orderkey").collect()]  # <= columns x rules
     applied = J.apply_recommendations(sample, [p for p in plan if p[1] in ("impute_median", "clip_iqr", "drop")])
-    traits = J.dataset_traits(prof, sample.count())
+    traits = J.frame_traits(sample, "o_orderstatus")
     fams = [r["family"] for r in J.select_models(traits).collect() if r["family"] in ("LR", "RF")] or ["LR"]
     _, board, _ = J.automl_fit(applied, "o_orderstatus", "multiclass", families=fams, id_cols=["o_orderkey"])
     return board

@@ -44,5 +44,5 @@ def q_best_so_far_stream(spark, sf):
     li = ST.file_stream(spark, sf, schema, pattern="lineitem.parquet")
     ep = R.spark_stream_table(spark, li, lambda e, t: R.epochs_sql(e, t)).select(
         "run_id", "iteration", F.col("l_partkey").alias("tie1"), F.col("l_suppkey").alias("tie2"), "accuracy", "loss")
-    out = ST.run_available_now(ST.best_so_far_stream(ep), ST.stream_root(spark, "best"))
-    return spark.read.parquet(out)
+    out = ST.best_so_far_batches(ep, ST.stream_root(spark, "best"))
+    return spark.read.parquet(out).drop("batch_id")

@@ -367,3 +367,63 @@ def test_segmented_scan_carries_state_across_arrow_batches(spark):
         np.testing.assert_allclose(out["v"].astype(float), exp.astype(float), equal_nan=True)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
+
+
+def test_column_set_compare_b13():
+    r = H.column_set_compare(["a", "b"], ["b", "a"])
+    assert not r["equal"] and r["same_set"]
+
+
+def test_guess_target_column_h13():
+    assert H.guess_target_column(["x", "Label", "z"]) == "Label"
+    assert H.guess_target_column(["x", "y2", "z"]) == "z"
+
+
+def test_validate_tabular_h3(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "tab")
+    os.makedirs(d)
+    rows = "\n".join(f"{i},{i % 2}" for i in range(60))
+    for n in ("train.csv", "test.csv"):
+        with open(os.path.join(d, n), "w") as f:
+            f.write("a,b\n" + rows + "\n")
+    assert H.validate_tabular(spark, d, "classification").first()["valid"]
+    d2 = os.path.join(tmpdir_path, "single")
+    os.makedirs(d2)
+    with open(os.path.join(d2, "data.csv"), "w") as f:
+        f.write("a,b\n" + rows + "\n")
+    r = H.validate_tabular(spark, d2, "classification").first()
+    assert r["mode"] == "auto_split" and r["train_rows"] == 48
+    empty = os.path.join(tmpdir_path, "tab_empty")
+    os.makedirs(os.path.join(empty, "sub"))
+    with open(os.path.join(empty, "notes.txt"), "w") as f:
+        f.write("no data here")
+    with pytest.raises(ValueError):
+        H.validate_tabular(spark, empty)
+
+
+def test_model_families_j2():
+    from quarry.operators.automl import make_estimator
+    for code in ("CAT", "XGB", "XT", "KNN"):
+        with pytest.raises(ValueError):
+            make_estimator(code, "binary")
+    assert make_estimator("RF", "regression").__class__.__name__ == "RandomForestRegressor"
+    assert make_estimator("GBM", "multiclass", n_classes=3).__class__.__name__ == "OneVsRest"
+
+
+def test_complete_profile_parts(spark):
+    df = spark.createDataFrame([(float(i), float(i % 7), float(i % 3), "a" if i % 2 else "b") for i in range(60)],
+                               "x double, y double, z double, t string")
+    parts = P.complete_profile(df, "t")
+    assert set(parts) == {"features", "target", "correlation", "mutual_information"}
+    assert parts["target"].first()["num_classes"] == 2
+    assert parts["mutual_information"].count() == 3
+
+
+def test_schema_evolution_and_migration(spark):
+    df = spark.createDataFrame([("m1",)], "id string")
+    out = G.add_metric_columns(df, {"precision": "double", "recall": "double"})
+    assert out.columns == ["id", "precision", "recall"]
+    raw = spark.createDataFrame([(1, "ds", "Vision", None, "/p", None, 12)],
+                                "id int, name string, domain string, readiness string, path string, total_samples int, size int")
+    r = G.migrate_datasets(raw).first()
+    assert (r["domain"], r["readiness"], r["file_path"], r["total_samples"]) == ("vision", "draft", "/p", 12)
