@@ -167,13 +167,25 @@ def bin_index(x: Column, inner: Column) -> Column:
     return F.size(F.filter(inner, lambda e: e <= x))
 
 
+def bin_chain(x: Column, inner: list[float]) -> Column:
+    """Same right-side search against literal edges as a CASE chain (whole-stage codegen)."""
+    expr = F.when(x.isNull(), F.lit(None).cast("int"))
+    for i, e in enumerate(inner):
+        expr = expr.when(x < F.lit(float(e)), F.lit(i))
+    return expr.otherwise(F.lit(len(inner)))
+
+
+def collect_edges(edges: DataFrame, key: str = "column") -> dict:
+    """(key, bins) -> inner edges; bounded by columns x bin counts x edges."""
+    return {(r[key], r["bins"]): list(r["inner"]) for r in edges.select(key, "bins", "inner").collect()}
+
+
 def quantile_binning(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """Ordinal equal-frequency bin per row, appended as ``<col>_bin``."""
     freq = numeric_frequency(df, [col])
-    inner = quantile_edges(freq, (bins,)).select("inner").scalar()  # one row: scalar subquery
-    return (df.withColumn("_inner", inner)
-            .withColumn(f"{col}_bin", F.when(F.col(col).isNotNull(), bin_index(F.col(col).cast("double"), F.col("_inner"))))
-            .drop("_inner"))
+    edges = collect_edges(quantile_edges(freq, (bins,)))  # one edges list (<= bins - 1 values)
+    inner = edges.get((col, bins), [])
+    return df.withColumn(f"{col}_bin", bin_chain(F.col(col).cast("double"), inner))
 
 
 # ---------------------------------------------------------------------------
@@ -275,31 +287,34 @@ def stable_mi(df: DataFrame, target: str, bin_counts=BIN_COUNTS, near_zero: floa
     if t_binned and df.filter(F.col(target).isNull()).limit(1).count() > 0:
         raise ValueError("numeric target with NULLs cannot be binned; pass drop_null_target=True")
 
-    edges_feat = tgt_edges = None
+    feat_edges, tgt_edges, med_vals = {}, None, {}
     ranked_cols = numeric + ([target] if t_binned else [])
     if ranked_cols:
         ranked = ranked_frequency(nfreq.filter(F.col("column").isin(*ranked_cols)))
         if numeric:
-            med = exact_quantiles(None, [0.5], ranked=ranked.filter(F.col("column").isin(*numeric)), detail=True)
-            fills = (med.join(ranked.filter(F.col("column").isin(*numeric)).groupBy("column").agg(F.max("total").alias("total")), "column")
+            nranked = ranked.filter(F.col("column").isin(*numeric))
+            med = exact_quantiles(None, [0.5], ranked=nranked, detail=True)
+            fills = (med.join(nranked.groupBy("column").agg(F.max("total").alias("total")), "column")
                      .select("column", F.col("q").alias("m"), (F.lit(total) - F.col("total")).alias("k"),
                              (F.col("v_lo") != F.col("v_hi")).alias("new"), "total"))
-            fills = F.broadcast(fills)  # one row per numeric feature
-            filled = fill_shifted_ranks(ranked.filter(F.col("column").isin(*numeric)), fills)
-            edges_feat = quantile_edges(None, bin_counts, ranked=filled).select(F.col("column").alias("feature"), "bins", "inner")
-            medians = fills.select(F.col("column").alias("feature"), F.col("m").alias("median"))
+            fills_rows = fills.collect()  # one row per numeric feature
+            med_vals = {r["column"]: r["m"] for r in fills_rows}
+            fills_df = df.sparkSession.createDataFrame(
+                [(r["column"], r["m"], r["k"], r["new"], r["total"]) for r in fills_rows],
+                "column string, m double, k long, new boolean, total long")
+            filled = fill_shifted_ranks(nranked, fills_df)
+            feat_edges = collect_edges(quantile_edges(None, bin_counts, ranked=filled))
         if t_binned:
-            te = quantile_edges(None, bin_counts, ranked=ranked.filter(F.col("column") == target))
-            tgt_edges = te.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("bins", "inner")))).scalar()
+            tgt_edges = collect_edges(quantile_edges(None, bin_counts, ranked=ranked.filter(F.col("column") == target)))
 
-    # target per bin count: binned when numeric with > 5 distinct values
+    # target per bin count: binned (CASE chain on its edges) when numeric with > 5 distinct values
     base = df
-    y_bins_expr = F.transform(bins_arr, lambda b: F.col(target).cast("string"))
     if tgt_edges is not None:
-        base = df.withColumn("_tedges", tgt_edges)  # one-row scalar subquery next to each row
-        y_bins_expr = F.transform(bins_arr, lambda b: bin_index(F.col(target).cast("double"),
-                                                                F.col("_tedges")[b]).cast("string"))
-    base = base.withColumn("_ys", F.arrays_zip(bins_arr.alias("bins"), y_bins_expr.alias("y")))
+        y_arr = F.array(*[bin_chain(F.col(target).cast("double"), tgt_edges.get((target, b), [])).cast("string")
+                          for b in bin_counts])
+    else:
+        y_arr = F.array(*[F.col(target).cast("string") for _ in bin_counts])
+    base = base.withColumn("_ys", F.arrays_zip(bins_arr.alias("bins"), y_arr.alias("y")))
 
     def explode_bins(d: DataFrame) -> DataFrame:
         return d.select("feature", "branch", "x", F.explode("_ys").alias("_b")).select(
@@ -331,16 +346,17 @@ def stable_mi(df: DataFrame, target: str, bin_counts=BIN_COUNTS, near_zero: floa
             for c in lowcard])).alias("kv")).select("_ys", "kv.*").withColumn("branch", F.lit("lowcard"))
         parts.append(explode_bins(l_long))
     if numeric:
-        n_long = base.select("_ys", F.explode(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in numeric])).alias("kv")
-        ).select("_ys", "kv.*")
-        n_long = (n_long.join(medians, "feature")
-                  .withColumn("v", F.coalesce("v", "median"))
-                  .select("feature", "v", F.explode("_ys").alias("_b"))
-                  .select("feature", "v", F.col("_b.bins").alias("bins"), F.col("_b.y").alias("y"))
-                  .join(F.broadcast(edges_feat), ["feature", "bins"])  # features x bins rows
-                  .select("feature", F.lit("numeric").alias("branch"),
-                          bin_index(F.col("v"), F.col("inner")).cast("string").alias("x"), "bins", "y"))
+        # per feature and bin count the bin id comes from a literal CASE chain on the median-filled value
+        per_feat = []
+        for c in numeric:
+            filled_c = F.coalesce(F.col(c).cast("double"), F.lit(med_vals.get(c)).cast("double"))
+            xs = F.array(*[bin_chain(filled_c, feat_edges.get((c, b), [])).cast("string") for b in bin_counts])
+            per_feat.append(F.struct(F.lit(c).alias("feature"), F.arrays_zip(bins_arr.alias("bins"), xs.alias("x"),
+                                                                             y_arr.alias("y")).alias("bxy")))
+        n_long = (df.select(F.explode(F.array(*per_feat)).alias("f"))
+                  .select(F.col("f.feature").alias("feature"), F.explode("f.bxy").alias("b"))
+                  .select("feature", F.lit("numeric").alias("branch"), F.col("b.x").alias("x"),
+                          F.col("b.bins").alias("bins"), F.col("b.y").alias("y")))
         parts.append(n_long)
     long = parts[0]
     for p in parts[1:]:

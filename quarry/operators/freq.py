@@ -95,16 +95,17 @@ def exact_quantiles(freq: DataFrame, probs: list[float], partitions: int | None
     target ranks of its column (broadcast) and only the rows holding them survive.
     """
     ranked = ranked if ranked is not None else ranked_frequency(freq, partitions)
-    probs_arr = F.array(*[F.lit(float(p)) for p in probs])
     tm1 = F.col("total") - 1
 
-    def holds(p):  # this value's rank interval holds floor(h) or ceil(h) of probability p
-        h = tm1 * p
+    def holds(p: float):  # this value's rank interval holds floor(h) or ceil(h) of probability p
+        h = tm1 * F.lit(float(p))
         return (((F.floor(h) >= F.col("rank_lo")) & (F.floor(h) < F.col("rank_hi")))
                 | ((F.ceil(h) >= F.col("rank_lo")) & (F.ceil(h) < F.col("rank_hi"))))
 
-    hit = (ranked.select("column", "value", "rank_lo", "rank_hi", "total",
-                         F.explode(F.filter(probs_arr, holds)).alias("p"))
+    # CASE per probability + explode + filter stay inside whole-stage codegen (a lambda filter would not)
+    cand = F.array(*[F.when(holds(p), F.lit(float(p))) for p in probs])
+    hit = (ranked.select("column", "value", "rank_lo", "rank_hi", "total", F.explode(cand).alias("p"))
+           .filter(F.col("p").isNotNull())
            .withColumn("h", tm1 * F.col("p"))
            .withColumn("lo", F.floor("h").cast("long")).withColumn("hi", F.ceil("h").cast("long")))
     picked = hit.groupBy("column", "p").agg(
