@@ -91,3 +91,15 @@ def avg_time_per_iteration(duration: Column, iterations: Column) -> Column:
     txt = (F.when(a < 60, F.format_string("%.1fs", a)).when(a < 3600, F.format_string("%.1fm", a / 60))
            .otherwise(F.format_string("%.1fh", a / 3600)))
     return F.when(ok, txt).otherwise(F.lit("N/A"))
+
+
+def epoch_micros(ts: Column, ntz: bool = True) -> Column:
+    """Microseconds since 1970-01-01; for TIMESTAMP_NTZ without any session time-zone conversion."""
+    if ntz:
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    return F.unix_micros(ts)
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    """Whole seconds from start to end, by microsecond arithmetic (zone-free, also on DST days)."""
+    return F.floor(F.timestamp_diff("MICROSECOND", start, end) / 1_000_000).cast("long")

@@ -62,7 +62,8 @@ def lag1_autocorr(df: DataFrame, value: str, order: list[str], partitions: int |
     dtype = df.schema[value].dataType
     x = F.col(value)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        x = F.unix_micros(x.cast("timestamp")) if isinstance(dtype, T.TimestampNTZType) else F.unix_micros(x)
+        from quarry.functions.scalar import epoch_micros  # NTZ: no session time-zone shift (DST safe)
+        x = epoch_micros(x, ntz=isinstance(dtype, T.TimestampNTZType))
     elif isinstance(dtype, T.DateType):
         x = F.unix_date(x)
     base = df.select(*[F.col(o) for o in order], x.cast("double").alias("x")).filter(F.col("x").isNotNull())

@@ -117,11 +117,12 @@ def next_run_number(runs: DataFrame, existing: DataFrame | None = None) -> DataF
 
 def training_history(runs: DataFrame, now: Column) -> DataFrame:
     """L4: runs newest first; duration = stored, else completed - started, else now - started while active."""
+    from quarry.functions.scalar import seconds_between
     active = F.col("status").isin("running", "pending")
     dur = F.coalesce(
         F.col("duration_seconds").cast("long"),
-        F.unix_timestamp(F.col("completed_at").cast("timestamp")) - F.unix_timestamp(F.col("started_at").cast("timestamp")),
-        F.when(active, F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("started_at").cast("timestamp"))))
+        seconds_between(F.col("started_at"), F.col("completed_at")),
+        F.when(active, seconds_between(F.col("started_at"), now)))
     return runs.select("id", "model_id", "status", "created_at", dur.alias("duration"))
 
 

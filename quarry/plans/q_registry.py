@@ -405,7 +405,7 @@ def q_append_epoch(spark, sf):
   / (current_epoch * 10.0) * 100.0) AS BIGINT) - CAST(epoch({NOW_SQL}) - epoch(created_at) AS BIGINT)) END AS eta_seconds FROM {RUNS}""")
 def q_eta_progress(spark, sf):
     r = R.runs(spark, sf)
-    elapsed = (F.unix_timestamp(now_col().cast("timestamp")) - F.unix_timestamp(F.col("created_at").cast("timestamp")))
+    elapsed = N.seconds_between(F.col("created_at"), now_col())
     return r.select("id", M.eta_progress(elapsed, F.col("current_epoch") * 10.0).alias("eta_seconds"))
 
 

@@ -27,8 +27,8 @@ def _case(expr: str, values: list[str]) -> str:
 
 
 def addsec(ts: str, n: str, engine: str) -> str:
-    if engine == "spark":
-        return f"timestampadd(SECOND, {n}, {ts})"
+    if engine == "spark":  # day-time interval arithmetic on TIMESTAMP_NTZ is time-zone free
+        return f"({ts} + make_dt_interval(0, 0, 0, CAST({n} AS BIGINT)))"
     return f"({ts} + to_seconds(CAST({n} AS BIGINT)))"
 
 
