@@ -258,8 +258,15 @@ def hyperparam_schedule(iteration: Column, best_acc: Column, key: Column, seed:
                     pick("epochs").cast("int").alias("epochs"))
 
 
-def preprocess_recommend(profile: DataFrame, rules=ADVICE_RULES) -> DataFrame:
-    """Profile rows x rule table -> (column, issue, action, reason) for every rule that fires."""
+def preprocess_recommend(profile: DataFrame, rules=ADVICE_RULES, materialized: bool = False) -> DataFrame:
+    """Profile rows x rule table -> (column, issue, action, reason) for every rule that fires.
+
+    The profile (one row per column) is materialised once so the rule branches
+    do not each re-run the profiling plan.
+    """
+    if not materialized:
+        from quarry.session import materialize
+        profile = materialize(profile, "profile")
     out = None
     for issue, cond, action, reason in rules:
         cols = set(profile.columns)

@@ -143,10 +143,11 @@ _RULESETS = [J.ADVICE_RULES,
 c AS (SELECT "column", action, count(*) AS votes FROM p GROUP BY 1, 2)
 SELECT "column", action, CAST(votes AS BIGINT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY votes DESC, action) AS r FROM c) WHERE r = 1""")
 def q_vote(spark, sf):
-    prof = _profile_for_advice(spark, sf)
+    from quarry.session import materialize
+    prof = materialize(_profile_for_advice(spark, sf), "profile")  # one row per column, reused by 3 rule sets
     plans = None
     for rs in _RULESETS:
-        p = J.preprocess_recommend(prof, rs).select("column", "action")
+        p = J.preprocess_recommend(prof, rs, materialized=True).select("column", "action")
         plans = p if plans is None else plans.unionByName(p)
     return J.vote(plans)
 
