@@ -94,12 +94,18 @@ def avg_time_per_iteration(duration: Column, iterations: Column) -> Column:
 
 
 def epoch_micros(ts: Column, ntz: bool = True) -> Column:
-    """Microseconds since 1970-01-01; for TIMESTAMP_NTZ without any session time-zone conversion."""
-    if ntz:
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
-    return F.unix_micros(ts)
+    """Microseconds since 1970-01-01 00:00:00.
+
+    TIMESTAMP_NTZ is a wall-clock value: its fields are re-read as a UTC
+    timestamp, so no session time zone (and no DST gap or overlap) shifts it.
+    """
+    if not ntz:
+        return F.unix_micros(ts)
+    utc = F.make_timestamp(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts),
+                           F.date_part(F.lit("SECOND"), ts), F.lit("UTC"))
+    return F.unix_micros(utc)
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    """Whole seconds from start to end, by microsecond arithmetic (zone-free, also on DST days)."""
-    return F.floor(F.timestamp_diff("MICROSECOND", start, end) / 1_000_000).cast("long")
+    """Whole seconds from start to end of two TIMESTAMP_NTZ values, zone-free."""
+    return F.floor((epoch_micros(end) - epoch_micros(start)) / 1_000_000).cast("long")

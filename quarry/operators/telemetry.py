@@ -92,7 +92,8 @@ def stage_durations(events: DataFrame, job: str = "job_id") -> DataFrame:
     per = events.groupBy(job, "stage").agg(
         F.min(F.when(F.col("event") == "start", F.col("ts"))).alias("started"),
         F.max(F.when(F.col("event") == "complete", F.col("ts"))).alias("completed"))
-    secs = F.timestamp_diff("MICROSECOND", F.col("started"), F.col("completed")) / 1e6  # zone-free
+    from quarry.functions.scalar import epoch_micros
+    secs = (epoch_micros(F.col("completed")) - epoch_micros(F.col("started"))) / 1e6  # zone-free
     per = per.withColumn("seconds", F.when(F.col("completed") >= F.col("started"), secs))
     tot = per.groupBy(job).agg(F.sum("seconds").alias("_total"))
     return per.join(tot, job).select(job, "stage", "seconds",

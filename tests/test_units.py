@@ -427,3 +427,15 @@ def test_schema_evolution_and_migration(spark):
                                 "id int, name string, domain string, readiness string, path string, total_samples int, size int")
     r = G.migrate_datasets(raw).first()
     assert (r["domain"], r["readiness"], r["file_path"], r["total_samples"]) == ("vision", "draft", "/p", 12)
+
+
+def test_ntz_arithmetic_is_time_zone_free(spark):
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:  # 02:08:23 does not exist in Los Angeles on 2001-04-01 (DST start)
+        df = spark.createDataFrame([("2001-04-01 02:08:23", "2001-04-01 03:49:01")], "a string, b string").select(
+            F.col("a").cast("timestamp_ntz").alias("a"), F.col("b").cast("timestamp_ntz").alias("b"))
+        r = df.select(N.seconds_between(F.col("a"), F.col("b")).alias("s"), N.epoch_micros(F.col("a")).alias("us")).first()
+        assert r["s"] == 6038 and r["us"] == 986090903000000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
