@@ -161,14 +161,13 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, partitions: in
         ranked = ranked_frequency(freq, partitions)
         quart = quantiles_wide(exact_quantiles(freq, [0.25, 0.5, 0.75], ranked=ranked),
                                {0.25: "q1", 0.5: "median", 0.75: "q3"})
-        nun = ranked.groupBy("column").agg(F.count(F.lit(1)).alias("unique_values"))
-        quart = quart.join(nun, "column", "left")
-        # fences: one row per column -> broadcast; the second pass reads the
-        # frequency table, not the raw rows.
+        # fences: one row per column -> broadcast; one more pass over the frequency
+        # table (not the raw rows) counts distinct values and outliers together.
         fences = quart.select("column", (F.col("q1") - IQR_FENCE * (F.col("q3") - F.col("q1"))).alias("lo"),
                               (F.col("q3") + IQR_FENCE * (F.col("q3") - F.col("q1"))).alias("hi"))
         outl = (ranked.join(F.broadcast(fences), "column").groupBy("column")
-                .agg(F.sum(F.when((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")),
+                .agg(F.count(F.lit(1)).alias("unique_values"),
+                     F.sum(F.when((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")),
                                   F.col("n")).otherwise(0)).alias("n_out")))
     dtype_col = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(dtypes[c]))])
     out = stats.join(quart, "column", "left").join(outl, "column", "left")
