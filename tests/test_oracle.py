@@ -1,6 +1,7 @@
 """Every SQL-checked query against its DuckDB oracle (sf0.001), plus every rows-only query runs."""
 
 import os
+import tempfile
 
 import duckdb
 import pytest
@@ -16,6 +17,7 @@ NAMES = sorted(entry.queries())
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
+    con.execute(f"SET temp_directory = '{tempfile.mkdtemp(prefix='quarry-duck-')}'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return con
