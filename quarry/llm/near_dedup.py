@@ -4,22 +4,25 @@ Texts become sequences of five-word shingles. A sketch takes, under one hash
 order, the ``width`` smallest occurrence-labelled shingles of a text and keeps
 them in text order; texts that agree in any of ``tables`` sketches share a
 bucket. With similarity s a sketch agrees with probability of about s**width,
-so the defaults miss a pair at 0.8 with probability 0.512 per table, to the
+so the defaults miss a pair at 0.8 with probability 0.488 per table, to the
 power of 12: about 2 in 10,000. Similarity is that of an alignment: with m
 shingles matched in order, m / (n_a + n_b - m); the longest common subsequence
 is computed exactly inside the band that the threshold allows.
 
-Exact copies (same words) collapse first. In a bucket all texts are compared
-with one centre, not with each other; the centre is the text of least hash, so
-that buckets of a group mostly share it. Texts that don't match the centre and
-aren't yet in its class go on among themselves, with a further sketch
-value in the bucket's key and a new centre, until no such text is left: there
-is no cap on buckets, and each round is linear in what remains.
+Exact copies (same words) collapse first. A bucket never becomes all its pairs:
+texts take turns as leaders, each claims the unclaimed texts that look like it
+by a bottom-48 sample of shingles, and names the few texts that it looks most
+like itself, until every text is claimed or has led. That is a few pairs a text
+and bucket, all of which are verified. A bucket of more than ``bound`` texts is
+first compared with one centre as a distributed join; what isn't like the
+centre goes on in finer buckets, with a further sketch value in the key. There
+is no cap: every member of every bucket goes one of these ways.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,12 @@ from quarry.llm.common import keep, map_batches, mix64, null_id, with_id
 from quarry.llm.components import components
 
 WORD = re.compile(r"\w+")
-#: Single-shingle values that refine the buckets of what is left over.
+#: Single-shingle values that refine oversized buckets.
 EXTRA = 8
+#: Size of the sample of smallest shingle hashes that says how alike two texts look.
+SAMPLE = 48
+#: Texts that look less alike than this aren't verified: 5 standard deviations of the sample below 0.8.
+PLAUSIBLE = 0.5
 
 
 def words(text: str) -> list[str]:
@@ -41,7 +48,10 @@ def words(text: str) -> list[str]:
 
 def shingles(text: str, k: int = 5) -> np.ndarray:
     """64-bit hashes of all runs of ``k`` words; of all words if there are fewer; empty without words."""
-    w = words(text)
+    return shingle_hashes(words(text), k)
+
+
+def shingle_hashes(w: list[str], k: int) -> np.ndarray:
     if not w:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
@@ -67,21 +77,64 @@ def label_occurrences(h: np.ndarray) -> np.ndarray:
     return mix64(h + nth * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def sketch(h: np.ndarray, tables: int, width: int) -> list[int]:
-    """``tables`` order sketches, then EXTRA values of one smallest shingle each, as signed 64-bit numbers."""
+def sketch(h: np.ndarray, tables: int, width: int) -> tuple[list[int], bytes]:
+    """``tables`` order sketches, then EXTRA smallest shingles, as signed 64-bit numbers; the bottom sample as 32-bit ones."""
     labelled = label_occurrences(h)
-    out = np.empty(tables + EXTRA, np.uint64)
-    for t in range(tables + EXTRA):
-        v = mix64(labelled ^ mix64(np.full(1, t + 1, np.uint64))[0])
-        if t >= tables:
-            out[t] = v.min()
+    seeds = mix64(np.arange(1, tables + EXTRA + 1, dtype=np.uint64))[:, None]
+    v = (labelled[None, :] ^ seeds) * (mix64(seeds) | np.uint64(1))
+    v ^= v >> np.uint64(32)
+    n = len(h)
+    least = v[tables:].min(1)
+    at = np.sort(np.argpartition(v[:tables], width - 1, axis=1)[:, :width], axis=1) if n > width else np.broadcast_to(np.arange(n), (tables, n))
+    acc = seeds[:tables, 0].copy()
+    for j in range(at.shape[1]):
+        acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + h[at[:, j]])
+    low = (labelled >> np.uint64(32)).astype(np.uint32)
+    low = np.sort(np.partition(low, SAMPLE - 1)[:SAMPLE] if n > SAMPLE else low)
+    return np.concatenate([acc, least]).view(np.int64).tolist(), low.tobytes()
+
+
+def likeness(one: np.ndarray, n_one: int, many: np.ndarray, n_many: np.ndarray) -> np.ndarray:
+    """Estimated similarity of one text's sample to each row of ``many`` (padded with 2**32); 0 where lengths rule out 0.8.
+
+    The samples are compared up to the smaller of their largest values; a text
+    of at most SAMPLE shingles has all of them in its sample.
+    """
+    full = 2**32
+    limit = np.minimum(one[-1] if n_one > SAMPLE else full, np.where(n_many > SAMPLE, many[:, -1], full))[:, None]
+    in_many = (many <= limit) & (many < full)
+    at = np.minimum(np.searchsorted(one, many), len(one) - 1)
+    both = (in_many & (one[at] == many)).sum(1)
+    total = np.searchsorted(one, limit[:, 0], side="right") + in_many.sum(1) - both
+    return np.where(np.minimum(n_many, n_one) * 5 >= np.maximum(n_many, n_one) * 4 - 4, both / np.maximum(total, 1), 0.0)
+
+
+def _matrix(samples: list[bytes]) -> np.ndarray:
+    out = np.full((len(samples), SAMPLE), 2**32, np.int64)
+    for i, s in enumerate(samples):
+        v = np.frombuffer(s, np.uint32)
+        out[i, :len(v)] = v
+    return out
+
+
+def lead(ids: np.ndarray, n: np.ndarray, samples: np.ndarray, threshold: float, own: int = 3) -> Iterator[tuple[int, int]]:
+    """Pairs (text, other) of one bucket to verify: each text's claim by a leader, and each leader's ``own`` likeliest others."""
+    free = np.ones(len(ids), bool)
+    for c in range(len(ids)):
+        if not free[c]:
             continue
-        at = np.sort(np.argpartition(v, width - 1)[:width] if len(v) > width else np.arange(len(v)))
-        acc = np.full(1, t, np.uint64)
-        for x in h[at]:
-            acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + x)
-        out[t] = acc[0]
-    return out.view(np.int64).tolist()
+        sample = samples[c][samples[c] < 2**32]
+        like = likeness(sample, int(n[c]), samples, n)
+        like[c] = 0
+        claimed = np.flatnonzero(free & (like >= threshold))
+        free[claimed] = False
+        free[c] = False
+        for m in claimed:
+            yield int(ids[m]), int(ids[c])
+        like[claimed] = 0
+        for m in np.argsort(-like, kind="stable")[:own]:
+            if like[m] >= PLAUSIBLE:
+                yield int(ids[c]), int(ids[m])
 
 
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> float | None:
@@ -152,16 +205,75 @@ def _band_lcs(x: list[int], y: list[int], d: int, step: int = 256) -> int:
 
 def _sketches(docs: DataFrame, k: int, tables: int, width: int) -> DataFrame:
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        digest, parts, size = [], [], []
+        digest, parts, size, low = [], [], [], []
         for text in b.column(1).to_pylist():
             w = words(text)
             digest.append(xxhash.xxh3_128_digest(" ".join(w)) if w else None)
-            h = shingles(text, k)
+            h = shingle_hashes(w, k)
             size.append(len(h))
-            parts.append(sketch(h, tables, width) if len(h) else [])
+            p, s = sketch(h, tables, width) if len(h) else ([], b"")
+            parts.append(p)
+            low.append(s)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int32()),
-                                           pa.array(parts, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "parts"])
-    return map_batches(docs, one, "doc_id long, digest binary, n int, parts array<long>")
+                                           pa.array(parts, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["doc_id", "digest", "n", "parts", "low"])
+    return map_batches(docs, one, "doc_id long, digest binary, n int, parts array<long>, low binary")
+
+
+def _candidates(parts: DataFrame, tables: int, bound: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) to verify, from all buckets of more than one text."""
+    rows = parts.select("doc_id", F.posexplode("parts").alias("t", "v")).where(F.col("t") < tables).select("doc_id", F.xxhash64("t", "v").alias("key"))
+    state, found = keep(rows, "buckets"), []
+    order = F.struct(F.xxhash64("doc_id"), "doc_id")
+    details = parts.select("doc_id", "n", "low")
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        def flush():
+            if len(rows) > 1:
+                ids, n, low = (list(x) for x in zip(*rows, strict=True))
+                pairs = list(lead(np.array(ids), np.array(n), _matrix(low), threshold))
+                if pairs:
+                    a, b = zip(*pairs, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for batch in batches:
+            for k, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if k != key:
+                    yield from flush()
+                    key, rows = k, []
+                rows.append(row)
+        yield from flush()
+
+    def like_centre(b: pa.RecordBatch) -> pa.RecordBatch:
+        cols = [c.to_pylist() for c in b.columns[3:]]
+        sim = [float(likeness(np.frombuffer(cl, np.uint32).astype(np.int64), cn, _matrix([low]), np.array([n]))[0]) for n, low, cn, cl in zip(*cols, strict=True)]
+        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sim)], ["key", "doc_id", "centre", "sim"])
+
+    level = 0
+    while True:
+        sizes = keep(state.groupBy("key").agg(F.count("*").alias("size"), F.min(order).alias("c")).where("size > 1")
+                     .select("key", "size", F.col("c.doc_id").alias("centre")), "bucket-sizes")
+        sized = keep(state.join(sizes, "key"), "bucket-members")
+        small = sized.where(F.col("size") <= bound).join(details, "doc_id").select("key", "doc_id", "n", "low", F.xxhash64("doc_id").alias("o"))
+        found.append(small.repartition("key").sortWithinPartitions("key", "o", "doc_id").select("key", "doc_id", "n", "low").mapInArrow(led, "a long, b long"))
+        big = sized.where((F.col("size") > bound) & (F.col("doc_id") != F.col("centre")))
+        if not sizes.where(F.col("size") > bound).limit(1).count():
+            break
+        star = (big.join(details, "doc_id")
+                .join(details.select(F.col("doc_id").alias("centre"), F.col("n").alias("cn"), F.col("low").alias("cl")), "centre")
+                .select("key", "doc_id", "centre", "n", "low", "cn", "cl"))
+        compared = keep(map_batches(star, like_centre, "key long, doc_id long, centre long, sim double"), "star")
+        found.append(compared.where(F.col("sim") >= PLAUSIBLE).select(F.col("doc_id").alias("a"), F.col("centre").alias("b")))
+        rest = compared.where(F.col("sim") < threshold).select("key", "doc_id")
+        if level < EXTRA:
+            extra = parts.select("doc_id", F.col("parts")[tables + level].alias("x"))
+            rest = rest.join(extra, "doc_id").select("doc_id", F.xxhash64("key", "x").alias("key"))
+        state, level = keep(rest.select("doc_id", "key"), "buckets"), level + 1
+    pairs = found[0]
+    for f in found[1:]:
+        pairs = pairs.union(f)
+    # Claims run from the text to its leader; one direction for a pair that came both ways.
+    return pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min("a").alias("a")).select(
+        "a", (F.col("x") + F.col("y") - F.col("a")).alias("b"))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -170,26 +282,23 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Dat
             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        last, centre, sims = None, None, []
-        for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
-            ta, tb = ta.as_py(), tb.as_py()
-            if tb != last:  # pairs of a centre come together after the join on it
-                last, centre = tb, shingles(tb, k)
-            sims.append(aligned(shingles(ta, k), centre, threshold))
+        last, other, sims = None, None, []
+        for ta, b, tb in zip(batch.column(2), batch.column(1).to_pylist(), batch.column(3), strict=True):
+            if b != last:  # pairs of a leader come together after the join on it
+                last, other = b, shingles(tb.as_py(), k)
+            sims.append(aligned(shingles(ta.as_py(), k), other, threshold))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
     return map_batches(both, one, "a long, b long, sim double")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Attach each doc's class so far (itself without links)."""
-    if labels is None:
-        return rows.withColumn("lab", F.col("doc_id"))
     return (rows.join(labels.select(F.col("id").alias("doc_id"), "class_id"), "doc_id", "left")
             .withColumn("lab", F.coalesce("class_id", "doc_id")).drop("class_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8,
-                    tables: int = 12, width: int = 3) -> DataFrame:
+                    tables: int = 12, width: int = 3, bound: int = 500) -> DataFrame:
     """One row per id: doc_id, class_id (smallest id of its class), n_links (links found to other texts by comparison).
 
     Texts without words (null, empty, only punctuation) are classes of their
@@ -198,62 +307,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     base = with_id(docs, id_col, text_col)
     sk = keep(_sketches(base, k, tables, width).dropDuplicates(["doc_id"]), "sketches")
-    reps = keep(sk.where("digest is not null").groupBy("digest")
-                .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    chosen = reps.select(F.col("rep").alias("doc_id"))
-    parts = sk.where("digest is not null").join(chosen, "doc_id", "left_semi")
-    # Buckets of more than one text, each with the least-hash text as its centre.
-    rows = parts.select("doc_id", F.posexplode("parts").alias("t", "v")).where(F.col("t") < tables)
-    order = F.struct(F.xxhash64("doc_id"), "doc_id")
-    buckets = rows.groupBy("t", "v").agg(F.min(order).alias("c"), F.count("*").alias("size")).where("size > 1")
-    members = keep(rows.join(keep(buckets.select("t", "v", F.col("c.doc_id").alias("centre")), "buckets"), ["t", "v"])
-                   .select(F.xxhash64("t", "v").alias("key"), "doc_id", "centre"), "members")
-    involved = members.select("doc_id").distinct()
+    reps = keep(sk.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
+    parts = keep(sk.where("digest is not null").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "parts")
+    pairs = keep(_candidates(parts, tables, bound, threshold), "pairs")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = keep(base.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    # First one centre for each text, the least: most members of a group meet there.
-    rank = F.struct(F.xxhash64("centre"), F.col("centre").alias("id"))
-    first = (members.where("doc_id <> centre").groupBy(F.col("doc_id").alias("a")).agg(F.min(rank).alias("c"))
-             .select("a", F.col("c.id").alias("b")))
-    checked = [keep(_verify(first, texts, k, threshold), "checked")]
-    labels = keep(components(checked[0].where("sim is not null")), "classes")
-
-    def open_rows(state: DataFrame, done: DataFrame) -> DataFrame:
-        """Members of buckets that aren't in their centre's class, and whether they were compared with it."""
-        lab = labels.select(F.col("id").alias("centre"), F.col("class_id").alias("clab"))
-        rows = _labelled(state, labels).join(lab, "centre", "left").withColumn("clab", F.coalesce("clab", "centre"))
-        return rows.where("lab <> clab").select("key", "doc_id", "centre")
-
-    state = members
-    for round_no in range(10**9):
-        done = checked[0]
-        for c in checked[1:]:
-            done = done.union(c)
-        left = keep(open_rows(state, done), "open")
-        pairs = left.select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-        pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        checked.append(keep(_verify(pairs, texts, k, threshold), "checked"))
-        if checked[-1].where("sim is not null").limit(1).count():
-            links = checked[0]
-            for c in checked[1:]:
-                links = links.union(c)
-            labels = keep(components(links.where("sim is not null")), "classes")
-        # What is still outside the centre's class goes on without the centre, in finer buckets.
-        rest = open_rows(left, done)
-        if round_no < EXTRA:
-            extra = parts.select("doc_id", F.col("parts")[tables + round_no].alias("x"))
-            rest = rest.join(extra, "doc_id").select(F.xxhash64("key", "x").alias("key"), "doc_id")
-        else:
-            rest = rest.select("key", "doc_id")
-        rest = keep(_labelled(rest, labels), "rest")
-        groups = (rest.groupBy("key").agg(F.min(order).alias("c"), F.min("lab").alias("l0"), F.max("lab").alias("l1"))
-                  .where("l0 <> l1").select("key", F.col("c.doc_id").alias("centre")))
-        state = keep(rest.select("key", "doc_id").join(keep(groups, "groups"), "key").where("doc_id <> centre"), "state")
-        if not state.limit(1).count():
-            break
-    links = checked[0]
-    for c in checked[1:]:
-        links = links.union(c)
-    links = links.where("sim is not null")
+    # First one pair for each text, with the other text of least hash: most members of a group meet there.
+    first = pairs.groupBy("a").agg(F.min(F.struct(F.xxhash64("b"), F.col("b").alias("id"))).alias("c")).select("a", F.col("c.id").alias("b"))
+    links = keep(_verify(first, texts, k, threshold), "checked").where("sim is not null")
+    labels = keep(components(links), "classes")
+    # Then the other pairs of texts that aren't in one class yet.
+    more = pairs.join(first, ["a", "b"], "left_anti").withColumnRenamed("a", "doc_id")
+    more = _labelled(more, labels).select(F.col("doc_id").alias("a"), F.col("lab").alias("la"), F.col("b").alias("doc_id"))
+    more = _labelled(more, labels).where("la <> lab").select("a", F.col("doc_id").alias("b"))
+    links = links.union(keep(_verify(more, texts, k, threshold), "checked").where("sim is not null"))
+    labels = keep(components(links), "classes")
     n_links = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     rep_class = _labelled(reps.select(F.col("rep").alias("doc_id"), "digest"), labels).select("digest", F.col("lab").alias("class_id"))
     out = sk.select("doc_id", "digest").join(keep(rep_class, "rep-class"), "digest", "left")
