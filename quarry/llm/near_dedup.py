@@ -278,8 +278,9 @@ def _candidates(parts: DataFrame, tables: int, bound: int, threshold: float) ->
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """(a, b) -> (a, b, sim), sim null where the texts are not similar."""
-    both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
+    # Shuffled at every size: a plan that broadcasts few pairs at first would shuffle texts only on larger inputs.
+    both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb"))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         last, other, sims = None, None, []
@@ -311,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = keep(sk.where("digest is not null").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "parts")
     pairs = keep(_candidates(parts, tables, bound, threshold), "pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = keep(base.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    texts = keep(base.join(involved.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     # First one pair for each text, with the other text of least hash: most members of a group meet there.
     first = pairs.groupBy("a").agg(F.min(F.struct(F.xxhash64("b"), F.col("b").alias("id"))).alias("c")).select("a", F.col("c.id").alias("b"))
     links = keep(_verify(first, texts, k, threshold), "checked").where("sim is not null")

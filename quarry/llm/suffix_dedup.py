@@ -3,13 +3,13 @@
 A byte goes if a string of ``length`` bytes around it also starts earlier: in a
 document of smaller id, or earlier in the same one. Three exact steps:
 
-1. Anchors. The k-byte string of least hash in each window of ``length`` bytes
-   is an anchor; equal windows have equal anchors. The text from behind one
-   anchor to ``length`` bytes past the next is a block. A block that an earlier
+1. Blocks. The k-byte string of least hash in a window of ``length`` bytes is
+   its anchor; equal windows have equal anchors. The windows in a row with one
+   anchor, about 35 at the default, make up a block. A block that an earlier
    document has too is a repeat as a whole: only its first holder keeps it.
-2. Partition. Window starts in kept blocks whose anchor stands in several
-   different blocks may still repeat elsewhere. They are grouped by that anchor,
-   so equal windows meet in one group, wherever they are.
+2. Partition. Kept blocks whose anchor stands in other, different blocks too may
+   share windows with those. They are grouped by the anchor, so equal windows
+   meet in one group, wherever they are.
 3. Suffix arrays. Each task builds suffix arrays over its groups' texts with the
    difference-cover algorithm (sort sampled triples, recurse on their names,
    merge the remaining suffixes) and compares the ``length``-byte prefixes of
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_kept, keep, map_batches, null_id, with_id
+from quarry.llm.common import keep, map_batches, null_id, with_id
 
 #: Odd multipliers, one for each doubling of the hashed string.
 DOUBLINGS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
@@ -65,27 +65,21 @@ def sliding(a: np.ndarray, w: int, f) -> np.ndarray:
     return f(a[:-(w - size)], a[w - size:]) if size < w else a
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all strings, positions of anchors, and for each window start the least hash in it."""
+def blocks(data: bytes, length: int) -> tuple[np.ndarray, list[int], list[int], np.ndarray]:
+    """Blocks of ``data``, which has a window at least: anchor hash, first byte, end byte and content digest.
+
+    A block is a run of window starts whose windows have the same first place of least hash.
+    """
     k = anchor_size(length)
-    w = length - k + 1
     h = string_hashes(np.frombuffer(data, np.uint8), k)
-    high = (h >> np.uint64(32)).astype(np.uint32)
-    least = sliding(high, w, np.minimum)
-    pad = np.zeros(w - 1, np.uint32)
-    top = sliding(np.concatenate([pad, least, pad]), w, np.maximum)
-    return h, np.flatnonzero(top == high), least
-
-
-def blocks(data: bytes, length: int) -> tuple[np.ndarray, list[int], list[int], np.ndarray]:
-    """Anchor hash, first and end byte, and digest of each block that holds a window start."""
-    h, at, _ = anchors(data, length)
-    start = np.concatenate([[0], at[:-1] + 1])
-    inside = start <= len(data) - length
-    at, start = at[inside], start[inside].tolist()
-    end = np.minimum(at + length, len(data)).tolist()
+    least = sliding(h, length - k + 1, np.minimum)
+    new = np.ones(len(least), bool)
+    new[1:] = (least[1:] != least[:-1]) | (h[:len(least) - 1] == least[:-1])
+    first = np.flatnonzero(new)
+    start = first.tolist()
+    end = (np.append(first[1:], len(least)) + length - 1).tolist()
     digest = np.fromiter((xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip(start, end, strict=True)), np.uint64, len(start))
-    return h[at], start, end, digest
+    return least[first], start, end, digest
 
 
 def _block_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -157,7 +151,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_windows(texts: list[bytes], group: np.ndarray, doc: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(texts: list[bytes], doc: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Of all windows of the texts, (row, window number) of those equal to an earlier one in order of (doc, start).
 
     Text r starts at byte ``first[r]`` of document ``doc[r]``. A suffix array over
@@ -173,17 +167,12 @@ def repeated_windows(texts: list[bytes], group: np.ndarray, doc: np.ndarray, fir
     is_start[starts] = True
     order = suffix_array(data)
     order = order[is_start[order]]
+    window = np.lib.stride_tricks.sliding_window_view(data, length)
     same = np.zeros(len(order), bool)
     for a in range(1, len(order), 100_000):
         b = min(len(order), a + 100_000)
         left, right = order[a - 1:b - 1], order[a:b]
-        equal = data[left] == data[right]
-        offsets = np.arange(length)
-        some = np.flatnonzero(equal)
-        if len(some):
-            window = np.lib.stride_tricks.sliding_window_view(data, length)
-            equal[some] = (window[left[some]] == window[right[some]])[:, offsets].all(1)
-        same[a:b] = equal
+        same[a:b] = (window[left] == window[right]).all(1)
     cls = np.cumsum(~same)
     row, offset = row_of[order], order - base[row_of[order]]
     by = np.lexsort((first[row] + offset, doc[row], cls))
@@ -220,8 +209,6 @@ def _examine(joined: DataFrame, length: int) -> DataFrame:
     Question rows: (anchor, doc_id, start, piece); of a hot anchor one row per
     window, with the digest of the window as ``anchor`` and ``check`` and no piece.
     """
-    k = anchor_size(length)
-
     def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {c: [] for c in ("doc_id", "text", "spans", "open", "anchor", "check", "start", "piece", "hot")}
 
@@ -233,49 +220,28 @@ def _examine(joined: DataFrame, length: int) -> DataFrame:
             doc_id, data = doc_id.as_py(), text.as_buffer().to_pybytes()
             spans, asked = [], False
             if len(data) >= length:
-                _, start, end, digest = blocks(data, length)
-                mine_set = set(np.asarray(mine.values).tolist()) if mine.is_valid and mine.values is not None else set()
-                kept = []
-                for s, e, d in zip(start, end, digest.view(np.int64).tolist(), strict=True):
-                    if d in mine_set:
-                        mine_set.discard(d)
-                        kept.append((s, e - length + 1))
-                    else:
+                anchor, start, end, digest = blocks(data, length)
+                mine = set(mine.as_py() or ())
+                several, common = set(several.as_py() or ()), set(common.as_py() or ())
+                for h, s, e, d in zip(anchor.view(np.int64).tolist(), start, end, digest.view(np.int64).tolist(), strict=True):
+                    if d not in mine:
                         spans.append((s, e))
-                several, common = ([] if not x.is_valid else x.as_py() for x in (several, common))
-                if several and kept:
-                    asked = _ask(data, kept, several, set(common), doc_id, add)
+                        continue
+                    mine.discard(d)
+                    if h in several:
+                        asked = True
+                        if h in common:
+                            for i in range(s, e - length + 1):
+                                x = xxhash.xxh3_128_intdigest(data[i:i + length])
+                                add(doc_id, anchor=(x >> 64) - 2**63, check=(x & (2**64 - 1)) - 2**63, start=i, hot=True)
+                        else:
+                            add(doc_id, anchor=h, start=s, piece=data[s:e], hot=False)
             add(doc_id, data.decode(), [{"a": a, "b": e} for a, e in _merge(spans)], asked)
         yield pa.RecordBatch.from_arrays(
             [pa.array(out["doc_id"], pa.int64()), pa.array(out["text"], pa.string()), pa.array(out["spans"], SPAN_LIST), pa.array(out["open"], pa.bool_()),
              pa.array(out["anchor"], pa.int64()), pa.array(out["check"], pa.int64()), pa.array(out["start"], pa.int64()), pa.array(out["piece"], pa.binary()),
              pa.array(out["hot"], pa.bool_())], list(out))
 
-    def _ask(data, kept, several, common, doc_id, add) -> bool:
-        h, _, least = anchors(data, length)
-        high = (h >> np.uint64(32)).astype(np.uint32)
-        signed = h.view(np.int64)
-        at = np.flatnonzero(np.isin(signed, np.array(several, np.int64)))
-        allowed = np.zeros(len(least), bool)
-        for s, e in kept:
-            allowed[s:e] = True
-        found, taken = False, 0
-        for p in at.tolist():  # a window belongs to the first place in it where the hash is least
-            lo, hi = max(taken, p - (length - k)), min(p, len(data) - length)
-            if lo > hi:
-                continue
-            own = np.flatnonzero(allowed[lo:hi + 1] & (least[lo:hi + 1] == high[p])) + lo
-            taken = hi + 1 if len(own) and own[-1] == hi else taken
-            for a, e in _runs(own):
-                found = True
-                if int(signed[p]) in common:
-                    for i in range(a, e):
-                        x = xxhash.xxh3_128_intdigest(data[i:i + length])
-                        add(doc_id, anchor=(x >> 64) - 2**63, check=(x & (2**64 - 1)) - 2**63, start=i, hot=True)
-                else:
-                    add(doc_id, anchor=int(signed[p]), start=a, piece=data[a:e + length - 1], hot=False)
-        return found
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 500):
@@ -288,7 +254,7 @@ def _search(questions: DataFrame, length: int, batch_bytes: int) -> DataFrame:
     """Spans of windows that repeat, from suffix arrays over whole anchor groups of about ``batch_bytes``."""
     def spans(rows: list[tuple]) -> pa.RecordBatch | None:
         _, doc, start, texts = zip(*rows, strict=True)
-        row, offset = repeated_windows(list(texts), None, np.array(doc), np.array(start), length)
+        row, offset = repeated_windows(list(texts), np.array(doc), np.array(start), length)
         order = np.lexsort((offset, row))
         row, offset = row[order], offset[order]
         out = [(doc[row[part[0]]], start[row[part[0]]] + int(offset[part[0]]), start[row[part[0]]] + int(offset[part[-1]]) + length)
