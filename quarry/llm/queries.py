@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, near_dedup, suffix_dedup, toxicity
+from quarry.llm import decontaminate, files, near_dedup, packing, suffix_dedup, token_files, tokens, toxicity
 from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +22,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What removing repeated 100-byte strings leaves of every document."""
-    return suffix_dedup.digests(suffix_dedup.repeats(table(spark, sf_dir, "documents")))
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), result="digest")
 
 
 @query
@@ -31,12 +31,26 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokens.public("byte_bpe_50k.json"))
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with a benchmark item in it, and where."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to compressed binary files and read back."""
+    folder = files.new_folder(spark, "token-files")
+    manifest = token_files.write(table(spark, sf_dir, "documents"), tokens.public("word_bpe_49k.json"), folder)
+    return token_files.read(manifest, folder)
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; fold 0 of 5 by crc32 of the id is held out."""

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import keep, map_batches, null_id, with_id
@@ -83,7 +83,7 @@ def blocks(data: bytes, length: int) -> tuple[np.ndarray, list[int], list[int],
 
 
 def _block_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, digest, smallest id), combined within each batch."""
+    """(anchor, digest, smallest id, number of the block in it), combined within each batch."""
     def one(b: pa.RecordBatch) -> pa.RecordBatch | None:
         keys, ids = [], []
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -91,16 +91,16 @@ def _block_rows(docs: DataFrame, length: int) -> DataFrame:
             if len(data) >= length:
                 a, _, _, d = blocks(data, length)
                 keys.append(np.stack([a, d], 1))
-                ids.append(np.full(len(a), doc_id))
+                ids.append(np.stack([np.full(len(a), doc_id), np.arange(len(a))], 1))
         if not keys:
             return None
-        key, doc = np.concatenate(keys).view(np.int64), np.concatenate(ids)
-        order = np.lexsort((doc, key[:, 1], key[:, 0]))
-        key, doc = key[order], doc[order]
-        new = np.ones(len(doc), bool)
+        key, place = np.concatenate(keys).view(np.int64), np.concatenate(ids)
+        order = np.lexsort((place[:, 1], place[:, 0], key[:, 1], key[:, 0]))
+        key, place = key[order], place[order]
+        new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]).any(1)
-        return pa.RecordBatch.from_arrays([pa.array(key[new, 0]), pa.array(key[new, 1]), pa.array(doc[new])], ["anchor", "digest", "doc_id"])
-    return map_batches(docs, one, "anchor long, digest long, doc_id long")
+        return pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (key[:, 0], key[:, 1], place[:, 0], place[:, 1])], ["anchor", "digest", "doc_id", "number"])
+    return map_batches(docs, one, "anchor long, digest long, doc_id long, number long")
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -203,51 +203,80 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPAN_LIST = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _examine(joined: DataFrame, length: int) -> DataFrame:
-    """Rows of two kinds for each document: its text with the spans of repeated blocks, and its windows still in question.
+def _as_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple:
+    return data.decode(), [{"a": a, "b": b} for a, b in spans]
+
+
+def _as_digest(data: bytes, spans: list[tuple[int, int]]) -> tuple:
+    h, at = hashlib.sha256(), 0
+    for a, b in spans:
+        h.update(data[at:a])
+        at = b
+    h.update(data[at:])
+    return len(data), sum(b - a for a, b in spans), len(spans), h.hexdigest()
+
+
+def _as_text(data: bytes, spans: list[tuple[int, int]]) -> tuple:
+    parts, at = [], 0
+    for a, b in [*spans, (len(data), len(data))]:
+        parts.append(data[at:a].decode("utf-8", "ignore"))
+        at = b
+    return ("".join(parts),)
+
+
+#: What ``repeats`` returns of a document, from its bytes and the runs to remove: function and columns.
+RESULTS = {
+    "spans": (_as_spans, {"text": pa.string(), "spans": SPAN_LIST}),
+    "digest": (_as_digest, {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}),
+    "text": (_as_text, {"text": pa.string()}),
+}
+DDL = {pa.string(): "string", pa.int64(): "long", pa.bool_(): "boolean", pa.binary(): "binary", SPAN_LIST: "array<struct<a:long,b:long>>"}
 
-    Question rows: (anchor, doc_id, start, piece); of a hot anchor one row per
-    window, with the digest of the window as ``anchor`` and ``check`` and no piece.
-    """
-    def one(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list] = {c: [] for c in ("doc_id", "text", "spans", "open", "anchor", "check", "start", "piece", "hot")}
 
-        def add(doc_id, text=None, spans=None, still=None, anchor=None, check=None, start=None, piece=None, hot=None):
-            for c, v in zip(out, (doc_id, text, spans, still, anchor, check, start, piece, hot), strict=True):
-                out[c].append(v)
+def _examine(joined: DataFrame, length: int, result: str) -> DataFrame:
+    """Rows of three kinds (``kind``): a settled document's result, an open one's text with the spans of its repeated
+    blocks, and the questions that it waits for.
 
-        for doc_id, text, mine, several, common in zip(*[b.column(i) for i in range(5)], strict=True):
-            doc_id, data = doc_id.as_py(), text.as_buffer().to_pybytes()
-            spans, asked = [], False
+    Questions: (anchor, doc_id, start, piece) for a block that may share windows with others; for one of a hot anchor
+    a row for each window, with the window's 128-bit digest as (anchor, check).
+    """
+    finish, columns = RESULTS[result]
+    fields = {"kind": pa.string(), "doc_id": pa.int64(), "whole": pa.string(), "known": SPAN_LIST, "anchor": pa.int64(), "check": pa.int64(),
+              "start": pa.int64(), "piece": pa.binary()} | columns
+    names = list(fields)
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for doc_id, text, codes in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            data, spans, asked = text.as_buffer().to_pybytes(), [], False
             if len(data) >= length:
-                anchor, start, end, digest = blocks(data, length)
-                mine = set(mine.as_py() or ())
-                several, common = set(several.as_py() or ()), set(common.as_py() or ())
-                for h, s, e, d in zip(anchor.view(np.int64).tolist(), start, end, digest.view(np.int64).tolist(), strict=True):
-                    if d not in mine:
+                anchor, start, end, _ = blocks(data, length)
+                held = {c >> 2: c & 3 for c in codes.as_py() or ()}
+                for i, (h, s, e) in enumerate(zip(anchor.view(np.int64).tolist(), start, end, strict=True)):
+                    flag = held.get(i)
+                    if flag is None:
                         spans.append((s, e))
-                        continue
-                    mine.discard(d)
-                    if h in several:
+                    elif flag & 2:
                         asked = True
-                        if h in common:
-                            for i in range(s, e - length + 1):
-                                x = xxhash.xxh3_128_intdigest(data[i:i + length])
-                                add(doc_id, anchor=(x >> 64) - 2**63, check=(x & (2**64 - 1)) - 2**63, start=i, hot=True)
-                        else:
-                            add(doc_id, anchor=h, start=s, piece=data[s:e], hot=False)
-            add(doc_id, data.decode(), [{"a": a, "b": e} for a, e in _merge(spans)], asked)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["doc_id"], pa.int64()), pa.array(out["text"], pa.string()), pa.array(out["spans"], SPAN_LIST), pa.array(out["open"], pa.bool_()),
-             pa.array(out["anchor"], pa.int64()), pa.array(out["check"], pa.int64()), pa.array(out["start"], pa.int64()), pa.array(out["piece"], pa.binary()),
-             pa.array(out["hot"], pa.bool_())], list(out))
+                        for j in range(s, e - length + 1):
+                            x = xxhash.xxh3_128_intdigest(data[j:j + length])
+                            rows.append({"kind": "hot", "doc_id": doc_id, "anchor": (x >> 64) - 2**63, "check": (x & (2**64 - 1)) - 2**63, "start": j})
+                    elif flag & 1:
+                        asked = True
+                        rows.append({"kind": "cold", "doc_id": doc_id, "anchor": h, "start": s, "piece": data[s:e]})
+            spans = _merge(spans)
+            if asked:
+                rows.append({"kind": "open", "doc_id": doc_id, "whole": data.decode(), "known": [{"a": x, "b": y} for x, y in spans]})
+            else:
+                rows.append({"kind": "done", "doc_id": doc_id} | dict(zip(columns, finish(data, spans), strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], fields[c]) for c in names], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 500):
-                yield from one(b.slice(i, 500))
+                yield one(b.slice(i, 500))
 
-    return joined.mapInArrow(run, "doc_id long, text string, spans array<struct<a:long,b:long>>, open boolean, anchor long, check long, start long, piece binary, hot boolean")
+    return joined.mapInArrow(run, ", ".join(f"{c} {DDL[t]}" for c, t in fields.items()))
 
 
 def _search(questions: DataFrame, length: int, batch_bytes: int) -> DataFrame:
@@ -282,75 +311,44 @@ def _search(questions: DataFrame, length: int, batch_bytes: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, a long, b long")
 
 
-def _repeats(docs: DataFrame, length: int, hot_blocks: int, batch_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Examined documents (doc_id, text, spans) that are settled, and those whose spans came from both ways."""
-    found = _block_rows(docs, length).repartition("anchor")
-    first = found.groupBy("anchor", "digest").agg(F.min("doc_id").alias("doc_id"))
-    several = found.groupBy("anchor").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.count("*").alias("n")).where("d0 <> d1")
-    marked = first.join(several.select("anchor", F.lit(True).alias("several"), (F.col("n") > hot_blocks).alias("hot")).hint("merge"), "anchor", "left")
-    held = marked.groupBy("doc_id").agg(F.collect_list("digest").alias("mine"), F.collect_set(F.when(F.col("several"), F.col("anchor"))).alias("several"),
-                                        F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("common"))
-    joined = docs.join(held, "doc_id", "left").select("doc_id", "text", "mine", "several", "common")
-    seen = keep(_examine(joined, length), "suffix-examined")
-    texts = seen.where("text is not null").select("doc_id", "text", "spans", "open")
-    cold = _search(seen.where("hot = false"), length, batch_bytes)
-    hot = seen.where("hot").select("doc_id", "start", "anchor", "check")
-    earliest = hot.groupBy("anchor", "check").agg(F.min("doc_id").alias("d"), F.min_by("start", F.struct("doc_id", "start")).alias("s"))
-    later = hot.join(earliest.select(F.col("d").alias("doc_id"), F.col("s").alias("start")), ["doc_id", "start"], "left_anti")
-    spans = cold.union(later.select("doc_id", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
-    more = keep(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("more")), "suffix-spans")
-    settled = texts.where("not open").select("doc_id", "text", "spans", F.lit(None).cast("array<struct<a:long,b:long>>").alias("more"))
-    return settled, texts.where("open").join(more, "doc_id", "left").select("doc_id", "text", "spans", "more")
-
+def repeats(docs: DataFrame, length: int = 100, result: str = "spans", id_col: str = "doc_id", text_col: str = "text",
+            hot_blocks: int = 2000, batch_bytes: int = 500_000) -> DataFrame:
+    """One row per document: doc_id and, of the bytes of its UTF-8 text that a string starting earlier covers, by ``result``
 
-def repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", hot_blocks: int = 2000,
-            batch_bytes: int = 500_000) -> DataFrame:
-    """doc_id, text, spans: maximal runs [a, b) of bytes (of the UTF-8 text) that a string starting earlier covers.
+    - spans: text, and spans, the maximal runs [a, b) of such bytes;
+    - digest: n_bytes, n_removed, n_spans, kept_sha256 of the remaining bytes;
+    - text: what remains; characters that lost some of their bytes go as a whole.
 
     Null texts are empty. Empty texts and those of fewer than ``length`` bytes
-    have no spans. Null ids sort before all others. Rows that share an id are
-    one place in the order: strings that repeat only across them stay.
+    lose nothing. Null ids sort before all others. Rows that repeat an id must
+    carry the same text, and are one place in the order: each comes back with
+    what one of them alone would have.
     """
-    settled, asked = _repeats(with_id(docs, id_col, text_col), length, hot_blocks, batch_bytes)
-
-    def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        spans = [_merge([(x["a"], x["b"]) for x in (s or []) + (m or [])]) for s, m in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[{"a": x, "b": y} for x, y in s] for s in spans], SPAN_LIST)],
-                                          ["doc_id", "text", "spans"])
-    schema = "doc_id long, text string, spans array<struct<a:long,b:long>>"
-    return map_batches(settled.union(asked), one, schema).withColumn("doc_id", null_id("doc_id"))
-
+    base = with_id(docs, id_col, text_col)
+    found = _block_rows(base, length).repartition("anchor")
+    # By the one exchange on the anchor: first holder of each block, and how many different blocks an anchor has.
+    first = found.groupBy("anchor", "digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("number", "doc_id").alias("number"))
+    alike = F.count("*").over(Window.partitionBy("anchor"))
+    flag = F.when(alike > hot_blocks, 3).when(alike > 1, 1).otherwise(0)
+    held = first.select("doc_id", (F.col("number") * 4 + flag).cast("int").alias("code")).groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
+    joined = base.join(held, "doc_id", "left").select("doc_id", "text", "codes")
+    seen = keep(_examine(joined, length, result), "suffix-examined")
+    cold = _search(seen.where("kind = 'cold'"), length, batch_bytes)
+    hot = seen.where("kind = 'hot'").select("doc_id", "start", "anchor", "check")
+    earliest = hot.groupBy("anchor", "check").agg(F.min("doc_id").alias("d"), F.min_by("start", F.struct("doc_id", "start")).alias("s"))
+    later = hot.join(earliest.select(F.col("d").alias("doc_id"), F.col("s").alias("start")), ["doc_id", "start"], "left_anti")
+    spans = cold.union(later.select("doc_id", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
+    more = keep(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("more")), "suffix-spans")
+    finish, columns = RESULTS[result]
 
-def digests(found: DataFrame) -> DataFrame:
-    """The result of ``repeats`` as doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes)."""
-    def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        size, removed, n, sha = [], [], [], []
-        for text, spans in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-            data = text.as_buffer().to_pybytes()
-            h, at = hashlib.sha256(), 0
-            for s in spans:
-                h.update(data[at:s["a"]])
-                at = s["b"]
-            h.update(data[at:])
-            size.append(len(data))
-            removed.append(sum(s["b"] - s["a"] for s in spans))
-            n.append(len(spans))
-            sha.append(h.hexdigest())
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha)],
-                                          ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-    return map_batches(found, one, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def cut(found: DataFrame) -> DataFrame:
-    """The result of ``repeats`` as doc_id, text: what remains; characters that lost some of their bytes go as a whole."""
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text, spans in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-            data, at, parts = text.as_buffer().to_pybytes(), 0, []
-            for s in spans:
-                parts.append(data[at:s["a"]].decode("utf-8", "ignore"))
-                at = s["b"]
-            parts.append(data[at:].decode("utf-8", "ignore"))
-            out.append("".join(parts))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
-    return map_batches(found, one, "doc_id long, text string")
+        for text, *spans in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            out.append(finish(text.as_buffer().to_pybytes(), _merge([(x["a"], x["b"]) for s in spans for x in s or []])))
+        return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), columns.values(), strict=True)]],
+                                          ["doc_id", *columns])
+
+    waiting = seen.where("kind = 'open'").select("doc_id", "whole", "known").join(more, "doc_id", "left")
+    answered = map_batches(waiting, one, "doc_id long, " + ", ".join(f"{c} {DDL[t]}" for c, t in columns.items()))
+    settled = seen.where("kind = 'done'").select("doc_id", *columns)
+    return settled.union(answered).withColumn("doc_id", null_id("doc_id"))
