@@ -49,6 +49,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
         for b in batches:
             if b.num_rows and (out := fn(b)) is not None and out.num_rows:
                 yield out
+            del b
+            pa.default_memory_pool().release_unused()
     return df.mapInArrow(run, schema)
 
 

@@ -100,7 +100,15 @@ def _block_rows(docs: DataFrame, length: int) -> DataFrame:
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]).any(1)
         return pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (key[:, 0], key[:, 1], place[:, 0], place[:, 1])], ["anchor", "digest", "doc_id", "number"])
-    return map_batches(docs, one, "anchor long, digest long, doc_id long, number long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 2500):
+                if (out := one(b.slice(i, 2500))) is not None:
+                    yield out
+            pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, "anchor long, digest long, doc_id long, number long")
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -273,8 +281,9 @@ def _examine(joined: DataFrame, length: int, result: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                yield one(b.slice(i, 500))
+            for i in range(0, b.num_rows, 300):
+                yield one(b.slice(i, 300))
+            pa.default_memory_pool().release_unused()
 
     return joined.mapInArrow(run, ", ".join(f"{c} {DDL[t]}" for c, t in fields.items()))
 
