@@ -23,23 +23,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NULL_ID, keep, null_id, with_id
+from quarry.llm.common import keep, null_id, with_id
 from quarry.llm.tokens import encoder
 
 
 def best_pattern(price: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The pattern of most worth, any number of pieces of each size: knapsack dynamic program over the room used."""
+    at = np.full(capacity + 1, -np.inf)  # price by size
+    at[sizes] = price
+    of = np.zeros(capacity + 1, np.int64)
+    of[sizes] = np.arange(len(sizes))
+    least = int(sizes.min())
     worth = np.zeros(capacity + 1)
     taken = np.full(capacity + 1, -1)
-    order = np.argsort(sizes)
-    for room in range(1, capacity + 1):
-        fit = order[:np.searchsorted(sizes[order], room, side="right")]
-        worth[room] = worth[room - 1]
-        if len(fit):
-            value = worth[room - sizes[fit]] + price[fit]
-            i = int(value.argmax())
-            if value[i] > worth[room] + 1e-12:
-                worth[room], taken[room] = value[i], fit[i]
+    for room in range(least, capacity + 1):
+        value = at[least:room + 1] + worth[room - least::-1]
+        i = int(value.argmax())
+        if value[i] > worth[room - 1] + 1e-12:
+            worth[room], taken[room] = value[i], of[least + i]
+        else:
+            worth[room] = worth[room - 1]
     pattern, room = np.zeros(len(sizes), np.int64), capacity
     while room > 0:
         if taken[room] < 0:
@@ -50,17 +53,29 @@ def best_pattern(price: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[f
     return float(worth[capacity]), pattern
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-4) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often each is used in an optimum (within ``gap``) of the linear program that meets the demand."""
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3) -> list[tuple[np.ndarray, float]]:
+    """Patterns and how often each is used, in a solution of the linear program that meets the demand.
+
+    It ends within ``gap`` of a lower bound (of the prices, or the room that all
+    pieces take), or if 4 m steps in a row gained less than that together, as
+    happens where many pieces are alike in price.
+    """
     m = len(sizes)
     columns = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / np.diag(columns))
     used = inverse @ demand
-    for step in range(50 * m + 100):
+    bound, mark, step = float(sizes @ demand) / capacity, np.inf, 0
+    while True:
         price = inverse.sum(0)
         worth, pattern = best_pattern(price, sizes, capacity)
-        if worth <= 1 + gap:  # sequences / worth is a lower bound
+        bound = max(bound, float(used.sum()) / max(worth, 1.0))
+        if worth <= 1 + 1e-9 or used.sum() <= bound * (1 + gap):
             break
+        if step % (4 * m) == 0:
+            if used.sum() > mark * (1 - gap):
+                break
+            mark = used.sum()
+        step += 1
         move = inverse @ pattern
         ratio = np.where(move > 1e-9, used / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratio.argmin())
@@ -71,7 +86,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
         inverse -= np.outer(move, row)
         inverse[out] = row
         columns[:, out] = pattern
-        if step % 200 == 199:  # rounding errors don't add up
+        if step % 200 == 0:  # rounding errors don't add up
             inverse = np.linalg.inv(columns)
             used = inverse @ demand
     return [(columns[:, j].astype(np.int64), max(0.0, float(used[j]))) for j in range(m)]
@@ -184,6 +199,3 @@ def sequences(pieces: DataFrame, capacity: int = 2048, pad_id: int = 0) -> DataF
     exact = F.bit_count(F.col("n_tokens")) == 1
     pad = F.when(exact, F.array().cast("array<int>")).otherwise(F.array_repeat(F.lit(pad_id), F.lit(capacity) - F.col("n_tokens")))
     return whole.select("sequence_id", F.concat("ids", pad).alias("ids"), "n_tokens")
-
-
-__all__ = ["NULL_ID", "best_pattern", "column_generation", "pack", "plan", "ranges", "sequences"]

@@ -85,9 +85,9 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op9_topk"] = """WITH whole AS (SELECT vec_id, min(v) AS v FROM (
-    SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))) GROUP BY vec_id),
-scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))) GROUP BY vec_id),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
     FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
 SELECT query_id, rank, vec_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 10"""
@@ -103,7 +103,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Base 32 of 160 bits: 20 bits (5 hexadecimal digits) make 4 letters.
 ORACLE["op10_warc"] = """WITH bytes AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 hashed AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM bytes),
-coded AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(8), i -> list_aggregate(list_transform(range(4), j ->
+coded AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda j:
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || hex[5 * i + 1 : 5 * i + 5])::BIGINT >> (15 - 5 * j)::INT) & 31)]), 'string_agg', '')), 'string_agg', '')
     AS payload_digest FROM hashed),
 firsts AS (SELECT payload_digest, payload_bytes, min(page_id) AS first FROM coded GROUP BY ALL)

@@ -99,6 +99,8 @@ def _block_rows(docs: DataFrame, length: int) -> DataFrame:
         key, place = key[order], place[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]).any(1)
+        new = np.sort(order[new])  # back in order of documents, whose ids then compress well in the shuffle
+        key, place = np.concatenate(keys).view(np.int64), np.concatenate(ids)
         return pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (key[:, 0], key[:, 1], place[:, 0], place[:, 1])], ["anchor", "digest", "doc_id", "number"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,3 +363,20 @@ def repeats(docs: DataFrame, length: int = 100, result: str = "spans", id_col: s
     answered = map_batches(waiting, one, "doc_id long, " + ", ".join(f"{c} {DDL[t]}" for c, t in columns.items()))
     settled = seen.where("kind = 'done'").select("doc_id", *columns)
     return settled.union(answered).withColumn("doc_id", null_id("doc_id"))
+
+
+def remove(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **kwargs) -> DataFrame:
+    """``docs`` with what remains of each text, and its number of characters if there is a ``chars_col``.
+
+    A document of which nothing remains goes; one that was null or empty stays as it was.
+    """
+    kept = repeats(docs, length, "text", id_col, text_col, **kwargs).dropDuplicates(["doc_id"])
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text").alias("_kept"))
+    old = F.col(f"`{text_col}`")
+    marked = docs.withColumn("_was", F.when(old.isNotNull(), F.length(old))).drop(text_col)
+    joined = marked.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id"))).where("_was is null or _was = 0 or _kept <> ''")
+    text = F.when(F.col("_was").isNotNull(), F.col("_kept"))
+    made = {text_col: text.alias(text_col)}
+    if chars_col in docs.columns:
+        made[chars_col] = F.when(F.col("_was").isNotNull(), F.length("_kept")).otherwise(F.col(f"`{chars_col}`")).cast(docs.schema[chars_col].dataType).alias(chars_col)
+    return joined.select(*[made.get(c, F.col(f"`{c}`")) for c in docs.columns])
