@@ -155,7 +155,7 @@ def _pieces(docs: DataFrame, path: str, capacity: int, grain: int, with_ids: boo
     return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names[:8]) + ", ids array<int>" * with_ids)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, grain: int = 4, id_col: str = "doc_id", text_col: str = "text",
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, grain: int = 8, id_col: str = "doc_id", text_col: str = "text",
          with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, on demand).
 
