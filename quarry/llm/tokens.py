@@ -56,7 +56,8 @@ class Settled:
         special = {t["content"] for t in spec.get("added_tokens", ())}
         entries = {w: i for w, i in model["vocab"].items() if w not in special}
         merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        single = [w for w in entries if w not in set(merged)]
+        made = set(merged)
+        single = [w for w in entries if w not in made]
         self.words = bool(end)
         order = sorted(single, key=lambda w: (len(_bytes_of(w, end)), entries[w])) + merged
         ranks = {_bytes_of(w, end): r for r, w in enumerate(order)}
