@@ -76,7 +76,8 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
                 break
             mark = used.sum()
         step += 1
-        move = inverse @ pattern
+        held = np.flatnonzero(pattern)
+        move = (inverse[:, held] * pattern[held]).sum(1)
         ratio = np.where(move > 1e-9, used / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratio.argmin())
         amount = max(0.0, ratio[out])

@@ -24,7 +24,7 @@ BOUNDARY = re.compile("(?<=[!-~¡-ᙿ])(?= [!-~¡-ᙿ])")
 
 
 #: Not among the characters whose class and lower case no version of Unicode disputes; texts with one go through tokenizers itself.
-UNSETTLED = re.compile("[^\x00-\x1b -\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
+UNSETTLED = re.compile("[^\x00-\x1b -\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
 
 
 #: The pre-tokens of a word-level file, and of byte-level ones.
