@@ -97,7 +97,8 @@ def pcc_sketch(df: DataFrame, cols: list[str], target: str | None = None, eps: f
     density = 1.0 / math.sqrt(max(n, 1))
     scale = math.sqrt(1.0 / density / k)
     expected = max(1, int(round(k * density * 4)) + 4)  # candidate draws per row and run
-    rid = F.col(id_col) if id_col else F.monotonically_increasing_id()
+    # Without an id the row's own values draw for it, alike on every retry; equal rows then share their draws.
+    rid = F.col(id_col) if id_col else F.xxhash64(*cols)
     z = [F.coalesce(F.col(c).cast("double") - F.lit(means[c] or 0.0), F.lit(0.0)).alias(c) for c in cols]
     base = df.select(rid.alias("_rid"), *z)
     runs = F.sequence(F.lit(0), F.lit(n_projections - 1))

@@ -18,10 +18,12 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, Multil
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import materialize
 from quarry.operators.sample import hash_key
 
 # Family codes, schedule tiers, default hyperparameters, image normalisation.
@@ -80,6 +82,15 @@ def make_estimator(code: str, problem_type: str, label: str = "label", features:
     raise ValueError(code)
 
 
+def _vector_size(df: DataFrame, col: str) -> int:
+    """Size of an assembled vector column from its metadata; of any row where the metadata lacks it."""
+    attrs = df.schema[col].metadata.get("ml_attr", {})
+    if "num_attrs" in attrs:
+        return int(attrs["num_attrs"])
+    row = df.select(col).first()
+    return len(row[0]) if row else 0
+
+
 def feature_pipeline(df: DataFrame, target: str, problem_type: str) -> tuple[list, list[str]]:
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != target]
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType,
@@ -131,13 +142,15 @@ def automl_fit(df: DataFrame, target: str, problem_type: str, families=("LR", "R
     if problem_type != "regression":
         n_classes = data.agg(F.count_distinct(target)).first()[0]
     models, rows = {}, []
+    prepared = Pipeline(stages=stages).fit(train)  # once, on all training rows, for every family
+    features = prepared.transform(train).persist(StorageLevel.DISK_ONLY)
+    n_feat = _vector_size(features, "features")
     for code in families:
         t1 = time.time()
         est = make_estimator(code, problem_type, seed=seed, n_classes=n_classes)
         if isinstance(est, tuple):
-            n_feat = len(Pipeline(stages=stages).fit(train.limit(1000)).transform(train.limit(1)).first()["features"])
             est = MultilayerPerceptronClassifier(layers=[n_feat, 16, int(n_classes or 2)], seed=seed, maxIter=50, **est[1])
-        model = Pipeline(stages=stages + [est]).fit(train)
+        model = PipelineModel(stages=[*prepared.stages, est.fit(features)])
         scored = model.transform(test)
         if problem_type == "regression":
             m = scored.agg(F.sqrt(F.avg((F.col("prediction") - F.col("label")) ** 2)).alias("rmse"),
@@ -148,6 +161,7 @@ def automl_fit(df: DataFrame, target: str, problem_type: str, families=("LR", "R
         models[code] = model
         rows.append((code, score))
         times.append((f"fit_{code}", time.time() - t1))
+    features.unpersist()
     board = df.sparkSession.createDataFrame(rows, "model string, score_test double")
     board = board.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score_test").desc(), "model")))
     stage_times = df.sparkSession.createDataFrame(times, "stage string, seconds double")
@@ -169,24 +183,28 @@ def bagged_stack(df: DataFrame, target: str, problem_type: str, id_col: str, fam
     """K-fold bagging, out-of-fold predictions joined by id, level-2 linear model; returns scored rows."""
     data = _prep(df, target, problem_type).withColumn("_fold", F.pmod(hash_key([id_col], seed), F.lit(folds)))
     stages, _ = feature_pipeline(data.drop("_fold"), target, problem_type)
-    base = Pipeline(stages=stages).fit(data)
-    feats = base.transform(data).select(id_col, "_fold", "label", "features")
-    oof = None
     n_classes = None if problem_type == "regression" else data.agg(F.count_distinct(target)).first()[0]
-    for code in families:
-        parts = None
-        for k in range(folds):
+    oof = None
+    for k in range(folds):  # encoders and models see the other folds only
+        prepared = Pipeline(stages=stages).fit(data.filter(F.col("_fold") != k))
+        seen = prepared.transform(data.filter(F.col("_fold") != k)).persist(StorageLevel.DISK_ONLY)
+        held = prepared.transform(data.filter(F.col("_fold") == k)).select(id_col, "_fold", "label", "features")
+        for code in families:
             est = make_estimator(code, problem_type, seed=seed, n_classes=n_classes)
-            m = est.fit(feats.filter(F.col("_fold") != k))
-            p = m.transform(feats.filter(F.col("_fold") == k)).select(id_col, F.col("prediction").alias(f"p_{code}"))
-            parts = p if parts is None else parts.unionByName(p)
-        oof = parts if oof is None else oof.join(parts, id_col)
-    lvl2_in = feats.select(id_col, "label").join(oof, id_col)
-    va = VectorAssembler(inputCols=[f"p_{c}" for c in families], outputCol="meta")
-    meta = va.transform(lvl2_in)
+            if isinstance(est, tuple):
+                est = MultilayerPerceptronClassifier(layers=[_vector_size(seen, "features"), 16, int(n_classes or 2)], seed=seed, maxIter=50, **est[1])
+            held = est.fit(seen).transform(held).withColumn(f"p_{code}", F.col("prediction")).drop("prediction", "probability", "rawPrediction")
+        seen.unpersist()
+        part = held.drop("features")
+        oof = part if oof is None else oof.unionByName(part)
+    meta = materialize(VectorAssembler(inputCols=[f"p_{c}" for c in families], outputCol="meta").transform(oof), "stack")
     lvl2 = (LinearRegression(featuresCol="meta", labelCol="label") if problem_type == "regression"
             else LogisticRegression(featuresCol="meta", labelCol="label", maxIter=50))
-    return lvl2.fit(meta).transform(meta).select(id_col, "label", "prediction")
+    out = None
+    for k in range(folds):  # the second level, too, scores rows that it wasn't fitted on
+        part = lvl2.fit(meta.filter(F.col("_fold") != k)).transform(meta.filter(F.col("_fold") == k)).select(id_col, "label", "prediction")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # ---------------------------------------------------------------------------

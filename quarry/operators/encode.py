@@ -45,11 +45,15 @@ def one_hot_columns(c: Column, name: str, categories: list[str]) -> list[Column]
 
 
 def hash_trick(c: Column, buckets: int = HASH_BUCKETS, null_text: str | None = NULL_HASH_TEXT) -> Column:
-    """md5 of the text, last byte mod buckets (== int(md5hex, 16) % buckets for 32)."""
+    """the whole md5 of the text as a number, mod buckets: int(md5hex, 16) % buckets."""
     txt = c.cast("string")
     if null_text is not None:
         txt = F.coalesce(txt, F.lit(null_text))
-    return F.pmod(F.conv(F.substring(F.md5(txt), 25, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("smallint")
+    digest, out = F.md5(txt), F.lit(0).cast("bigint")
+    for at in range(1, 33, 7):  # 28 bits at a time
+        size = min(7, 33 - at)
+        out = F.pmod(out * F.lit(16**size) + F.conv(F.substring(digest, at, size), 16, 10).cast("bigint"), F.lit(buckets))
+    return out.cast("smallint" if buckets <= 2**15 else "int")
 
 
 def smallest_int_type(lo, hi) -> str:

@@ -94,9 +94,10 @@ def regression_metrics(pred: DataFrame, y_true: str = "y_true", y_pred: str = "y
     """I8: MAE, MSE, RMSE, R^2 (1 - SSE/SST) in one aggregate."""
     e = F.col(y_pred).cast("double") - F.col(y_true).cast("double")
     yt = F.col(y_true).cast("double")
+    both = e.isNotNull()
     agg = pred.agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sum(e * e).alias("sse"),
-                   F.count(yt).alias("n"), F.sum(yt).alias("sy"), F.sum(yt * yt).alias("syy"))
-    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+                   (F.var_pop(F.when(both, yt)) * F.count(e)).alias("sst"))  # not as a difference of large sums
+    sst = F.col("sst")
     return agg.select("mae", "mse", F.sqrt("mse").alias("rmse"),
                       (F.lit(1.0) - F.try_divide(F.col("sse"), sst)).alias("r2"))
 
@@ -166,13 +167,11 @@ def permutation_importance(model, test: DataFrame, features: list[str], id_col:
     from quarry.operators.freq import ranked_frequency
     from quarry.operators.sample import hash_key
     base = metric_fn(model.transform(test))
-    ids = ranked_frequency(test.select(F.lit("all").alias("column"), F.col(id_col).cast("double").alias("value"),
-                                       F.lit(1).cast("long").alias("n")))
-    left = test.join(ids.select(F.col("value").alias("_id"), F.col("rank_lo").alias("_pos")),
-                     F.col(id_col).cast("double") == F.col("_id")).drop("_id")
-    keyed = test.withColumn("_h", hash_key([id_col], seed).cast("double"))
-    hs = ranked_frequency(keyed.select(F.lit("all").alias("column"), F.col("_h").alias("value"),
-                                       F.lit(1).cast("long").alias("n")))
+    one = F.lit(1).cast("long").alias("n")
+    ids = ranked_frequency(test.select(F.lit("all").alias("column"), F.col(id_col).alias("value"), one))
+    left = test.join(ids.select(F.col("value").alias("_id"), F.col("rank_lo").alias("_pos")), F.col(id_col) == F.col("_id")).drop("_id")
+    keyed = test.withColumn("_h", F.struct(hash_key([id_col], seed).alias("h"), F.col(id_col).alias("id")))  # ties of the hash go by id
+    hs = ranked_frequency(keyed.select(F.lit("all").alias("column"), F.col("_h").alias("value"), one))
     right_base = keyed.join(hs.select(F.col("value").alias("_h"), F.col("rank_lo").alias("_pos")), "_h")
     rows = []
     for f in features:

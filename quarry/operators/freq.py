@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.session import ensure_checkpoint_dir, materialize
 
@@ -35,8 +36,23 @@ def value_frequency(df: DataFrame, cols: list[str] | None = None, value_type: st
 
 
 def numeric_frequency(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Non-null numeric values as doubles: ``(column, value double, n)``."""
-    return value_frequency(df, cols, "double", drop_null=True)
+    """Non-null numeric values as doubles: ``(column, value double, n)``.
+
+    Integers and decimals from 2**53 on that are one double keep a row each, so
+    that rows count distinct values.
+    """
+    exact = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.LongType, T.DecimalType))}
+    if not exact & set(cols):
+        return value_frequency(df, cols, "double", drop_null=True)
+
+    def pair(c: str):
+        x = F.col(c)
+        own = F.when(F.abs(x.cast("double")) >= float(2**53), x.cast("string")) if c in exact else F.lit(None).cast("string")
+        return F.struct(x.cast("double").alias("value"), own.alias("own")).alias(c)
+
+    stacked = df.select(*[pair(c) for c in cols]).unpivot([], cols, "column", "v")
+    return (stacked.select("column", F.col("v.value").alias("value"), F.col("v.own").alias("own")).filter(F.col("value").isNotNull())
+            .groupBy("column", "value", "own").agg(F.count(F.lit(1)).alias("n")).drop("own"))
 
 
 def _partitions(df: DataFrame, partitions: int | None) -> int:

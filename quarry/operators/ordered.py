@@ -66,7 +66,9 @@ def lag1_autocorr(df: DataFrame, value: str, order: list[str], partitions: int |
         x = epoch_micros(x, ntz=isinstance(dtype, T.TimestampNTZType))
     elif isinstance(dtype, T.DateType):
         x = F.unix_date(x)
-    base = df.select(*[F.col(o) for o in order], x.cast("double").alias("x")).filter(F.col("x").isNotNull())
+    base = df.select(*[F.col(o) for o in order], x.alias("x")).filter(F.col("x").isNotNull())
+    # Counted from the least value: sums of squares of large numbers would lose what varies.
+    base = base.withColumn("x", (F.col("x") - base.agg(F.min("x")).scalar()).cast("double"))
     p = _n_parts(df, partitions)
     parts = (base.repartitionByRange(p, *order).sortWithinPartitions(*order)
              .select("x").mapInPandas(_pair_stats, _PAIR_SCHEMA))
@@ -218,7 +220,15 @@ def _scan_pass(df: DataFrame, keys: list[str], order_cols, specs: dict[str, tupl
     edge_rows = (local.join(F.broadcast(part_bounds), "_pid")
                  .filter((F.col("_seq") == F.col("_pmin")) | (F.col("_seq") == F.col("_pmax")))
                  .select("_pid", *kcols).distinct())
-    seg = (local.join(F.broadcast(edge_rows), ["_pid"] + key_cols, "left_semi")
+    def on(side: DataFrame):  # a NULL key is a key
+        names = {c: f"_r_{c}" for c in ["_pid"] + key_cols}
+        right = side.select(*[F.col(c).alias(names.get(c, c)) for c in side.columns])
+        match = F.lit(True)
+        for c, r in names.items():
+            match = match & F.col(c).eqNullSafe(F.col(r))
+        return F.broadcast(right), match
+
+    seg = (local.join(*on(edge_rows), "left_semi")
            .groupBy("_pid", *kcols).agg(*edge_aggs))
     # seg holds <= 2 rows per partition; carries combine earlier partitions of the same key.
     wk = Window.partitionBy(*kcols) if key_cols else Window.partitionBy(F.lit(0))
@@ -234,7 +244,7 @@ def _scan_pass(df: DataFrame, keys: list[str], order_cols, specs: dict[str, tupl
         elif kind == "rownum":
             carry_cols.append(F.coalesce(F.sum(f"{name}__agg").over(before), F.lit(0)).alias(f"{name}__carry"))
     carries = seg.select("_pid", *kcols, *carry_cols)
-    joined = local.join(F.broadcast(carries), ["_pid"] + key_cols, "left")
+    joined = local.join(*on(carries), "left")
     outs = []
     for name, (kind, src) in specs.items():
         c, carry = F.col(name), F.col(f"{name}__carry")

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The eight pipeline stages and the registry enumerations.
-PIPELINE_STAGES = ["Data Loading", "Data Validation", "Preprocessing", "Feature Engineering",
-                   "Model Selection", "Training", "Evaluation", "Saving Results"]
+PIPELINE_STAGES = ["Type Conversion", "Data Sampling", "Profile Generation (Sampled)", "Preprocessing Insights Generation",
+                   "Preprocessing Code Execution", "Profile Generation (Preprocessed)", "Model Recommendation", "Model Training"]
 ENUMS = {
     "datasets.domain": ["vision", "tabular"],
     "datasets.readiness": ["draft", "processing", "ready", "failed"],
@@ -153,6 +153,11 @@ def stage_template_merge(stage_events: DataFrame, job_col: str = "job_id") -> Da
         job_col, "stage", "name", F.coalesce("status", F.lit("pending")).alias("status"))
 
 
+def waiting_jobs(jobs: DataFrame) -> DataFrame:
+    """Number of jobs that are queued or pending (one row, also without any)."""
+    return jobs.agg(F.count_if(F.col("status").isin("queued", "pending")).cast("long").alias("waiting_jobs"))
+
+
 def job_model_summary(jobs: DataFrame, models: DataFrame) -> DataFrame:
     """Job projection + model status by left join."""
     m = models.select(F.col("id").alias("model_id"), F.col("status").alias("model_status"))
@@ -186,8 +191,15 @@ def cascade_delete_dataset(dataset_ids: DataFrame, models: DataFrame, jobs: Data
     return m, jobs.join(ids.drop("_del"), "dataset_id", "left_anti")
 
 
-def upsert(base: DataFrame, updates: DataFrame, key: str = "id", allow_null: bool = False) -> DataFrame:
-    """Update only non-NULL supplied fields (models: NULL may be set with ``allow_null``); unknown fields raise."""
+def upsert(base: DataFrame, updates: DataFrame, key: str = "id", allow_null: bool = False, order: str | None = None) -> DataFrame:
+    """Update only non-NULL supplied fields (models: NULL may be set with ``allow_null``); unknown fields raise.
+
+    Of several updates of one key the last by ``order`` counts (without one, the
+    greatest row); ``order`` itself is no field of the table.
+    """
+    fields = [c for c in updates.columns if c not in (key, order)]
+    last = F.max_by(F.struct(*fields), F.struct(*([order] if order else []), *fields)) if fields else F.max(F.struct(F.lit(1)))
+    updates = updates.groupBy(key).agg(last.alias("_last")).select(key, *[F.col(f"_last.{c}").alias(c) for c in fields])
     unknown = [c for c in updates.columns if c not in base.columns]
     if unknown:
         raise ValueError(f"unknown fields: {unknown}")

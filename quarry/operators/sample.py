@@ -29,17 +29,18 @@ def hash_key(cols: list[str], seed: int = SEED) -> Column:
 
 
 def sample_pct(df: DataFrame, pct: float | None, id_cols: list[str], seed: int = SEED) -> DataFrame:
-    """G1: NULL pct -> whole table; 0 < pct <= 100 else error; keep hash bucket < pct*100 of 10000."""
+    """G1: NULL pct -> whole table; 0 < pct <= 100 else error; keep keys in the first pct percent of the 60-bit range."""
     if pct is None:
         return df
     if not (0 < pct <= 100):
         raise ValueError("sample_percentage must be in (0, 100]")
-    return df.filter(F.pmod(hash_key(id_cols, seed), F.lit(10000)) < F.lit(int(round(pct * 100))))
+    return df.filter(hash_key(id_cols, seed) < F.lit(round(pct * 2**60 / 100)))
 
 
 def _ranked_by_key(df: DataFrame, id_cols: list[str], group: str | None, seed: int) -> DataFrame:
     """Rows with ``_key`` and its 0-based rank ``_rank`` inside ``group`` (or overall)."""
-    g = F.col(group).cast("string") if group else F.lit("__all__")
+    # A NULL class is a class: it gets a name that no cast value has.
+    g = F.coalesce(F.col(group).cast("string"), F.lit("\u0000null")) if group else F.lit("__all__")
     keyed = df.withColumn("_grp", g).withColumn("_key", hash_key(id_cols, seed))
     freq = keyed.groupBy(F.col("_grp").alias("column"), F.col("_key").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     ranked = ranked_frequency(freq).select(F.col("column").alias("_grp"), F.col("value").alias("_key"),

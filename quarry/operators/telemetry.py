@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from quarry.operators.ordered import segmented_scan
 
 N_STAGES = 8
-LOG_PATTERN = r"^\[([^\]]+)\]\s*(?:\[([A-Za-z]+)\])?\s*(.*)$"
+LOG_PATTERN = r"^\[([^\]]+)\]\s*(?:\[([^\]]*)\])?\s*(.*)$"
 
 
 def parse_logs(lines: DataFrame, line: str = "line", file_time: str = "file_time") -> DataFrame:
-    """M1: '[ts] [LEVEL] msg'; no level -> INFO; unstructured -> INFO at the file time; blanks dropped."""
+    """M1: '[ts] [LEVEL] msg'; the level is the text up to its bracket, none -> INFO; a first bracket that is no time,
+    or an unstructured line -> the file time; blanks dropped."""
     l = F.trim(F.col(line))
     structured = l.rlike(LOG_PATTERN)
     ts_txt = F.regexp_extract(l, LOG_PATTERN, 1)
@@ -26,13 +27,13 @@ def parse_logs(lines: DataFrame, line: str = "line", file_time: str = "file_time
     msg = F.regexp_extract(l, LOG_PATTERN, 3)
     return (lines.filter(l != "").select(
         *[c for c in lines.columns if c not in (line, file_time)],
-        F.when(structured, F.to_timestamp_ntz(ts_txt)).otherwise(F.col(file_time)).alias("timestamp"),
-        F.when(structured & (lvl != ""), F.upper(lvl)).otherwise(F.lit("INFO")).alias("level"),
+        F.when(structured, F.coalesce(ts_txt.try_cast("timestamp_ntz"), F.col(file_time))).otherwise(F.col(file_time)).alias("timestamp"),
+        F.when(structured & (lvl != ""), lvl).otherwise(F.lit("INFO")).alias("level"),
         F.when(structured, msg).otherwise(l).alias("message")))
 
 
 def tail_logs(logs: DataFrame, n: int | None, key: str = "job_id", order: str = "line_no") -> DataFrame:
-    """M2: most recent N lines per key (0 / NULL = all)."""
+    """M2: most recent N raw lines per key (0 / NULL = all); parse them afterwards, which drops blank ones."""
     if not n:
         return logs
     w = Window.partitionBy(key).orderBy(F.col(order).desc())

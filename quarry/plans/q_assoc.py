@@ -26,8 +26,8 @@ def q_target_corr(spark, sf):
 
 @register("pcc_sketch")
 def q_pcc_sketch(spark, sf):
-    li = lineitem_nulls(spark, sf)
-    return A.pcc_sketch(li, CORR_COLS, target="l_extendedprice", id_col="l_orderkey")
+    li = lineitem_nulls(spark, sf).withColumn("_row", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return A.pcc_sketch(li, CORR_COLS, target="l_extendedprice", id_col="_row")
 
 
 _EDGES10 = ("list_slice(list_filter(e, lambda x, i: i = 1 OR x - e[i - 1] > 1e-8), 2, "

@@ -166,18 +166,20 @@ def q_apply(spark, sf):
 
 
 @register("end_to_end")
-def q_end_to_end(spark, sf):
-    """cast/encode -> fill mean -> sample -> profile -> advise -> apply -> select -> fit."""
+def q_end_to_end(spark, sf, sample_pct: float | None = None):
+    """cast/encode -> fill mean -> sample if asked (default: the whole table) -> profile -> advise -> apply all
+    advice -> profile again -> select -> fit every selected family."""
     o = orders_ml(spark, sf)
     enc, _ = E.auto_cast_and_encode(o.drop("o_orderstatus"), protect=("o_orderkey",), mode="id_like_only")
     data = enc.join(o.select("o_orderkey", "o_orderstatus"), "o_orderkey")
     data = C.fill_mean(data, [c for c in data.columns if c not in ("o_orderkey", "o_orderstatus")])
-    sample = S.sample_pct(data, 25, ["o_orderkey"]).persist()
+    sample = S.sample_pct(data, sample_pct, ["o_orderkey"]).persist()
     prof = P.feature_profile(sample, target="o_orderstatus")
     advice = J.preprocess_recommend(rounded(prof))
-    plan = [(r["column"], r["action"]) for r in advice.filter(F.col("column") != "o_orderkey").collect()]  # <= columns x rules
-    applied = J.apply_recommendations(sample, [p for p in plan if p[1] in ("impute_median", "clip_iqr", "drop")])
-    traits = J.frame_traits(sample, "o_orderstatus")
-    fams = [r["family"] for r in J.select_models(traits).collect() if r["family"] in ("LR", "RF")] or ["LR"]
+    keys = ("o_orderkey", "o_orderstatus")
+    plan = [(r["column"], r["action"]) for r in advice.filter(~F.col("column").isin(*keys)).collect()]  # <= columns x rules
+    applied = J.apply_recommendations(sample, plan)
+    traits = J.dataset_traits(P.feature_profile(applied, target="o_orderstatus"), applied.count())
+    fams = [r["family"] for r in J.select_models(traits).collect()]
     _, board, _ = J.automl_fit(applied, "o_orderstatus", "multiclass", families=fams, id_cols=["o_orderkey"])
     return board

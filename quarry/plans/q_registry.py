@@ -151,7 +151,11 @@ def q_stage_state(spark, sf):
     return M.stage_state(R.progress(spark, sf))
 
 
-@register("stage_template_merge", f"""WITH t AS (SELECT * FROM (VALUES {', '.join(f"({i + 1}, '{n}')" for i, n in enumerate(G.PIPELINE_STAGES))}) v(stage, name)),
+_STAGE_NAMES = ["Type Conversion", "Data Sampling", "Profile Generation (Sampled)", "Preprocessing Insights Generation",
+                "Preprocessing Code Execution", "Profile Generation (Preprocessed)", "Model Recommendation", "Model Training"]
+
+
+@register("stage_template_merge", f"""WITH t AS (SELECT * FROM (VALUES {', '.join(f"({i + 1}, '{n}')" for i, n in enumerate(_STAGE_NAMES))}) v(stage, name)),
 j AS (SELECT DISTINCT job_id FROM {PROG})
 SELECT j.job_id, CAST(t.stage AS INTEGER) AS stage, t.name, coalesce(s.status, 'pending') AS status
 FROM j CROSS JOIN t LEFT JOIN {_STATE_SQL} s ON s.job_id = j.job_id AND s.stage = t.stage""")
@@ -165,6 +169,11 @@ def q_job_model(spark, sf):
     return G.job_model_summary(R.jobs(spark, sf), R.models(spark, sf))
 
 
+@register("waiting_jobs", f"SELECT count(*) FILTER (WHERE status IN ('queued', 'pending')) AS waiting_jobs FROM {JOBS}")
+def q_waiting_jobs(spark, sf):
+    return G.waiting_jobs(R.jobs(spark, sf))
+
+
 @register("pending_job_triage", f"""SELECT j.id, j.status, j.attempts, CASE WHEN j.attempts >= j.max_attempts THEN 'fail'
   WHEN d.id IS NULL THEN 'skip_missing_dataset' WHEN j.job_type = 'automl' AND j.dataset_path IS NULL THEN 'skip_no_path' ELSE 'submit' END AS decision,
   CASE WHEN NOT (j.attempts >= j.max_attempts) AND d.id IS NOT NULL AND NOT (j.job_type = 'automl' AND j.dataset_path IS NULL)
@@ -344,12 +353,19 @@ def q_dataset_selection(spark, sf):
 
 
 # --------------------------------------------------------------------------- M
-_PARSED_SQL = f"""(SELECT job_id, line_no,
-  CASE WHEN regexp_matches(trim(line), '{M.LOG_PATTERN}') THEN CAST(regexp_extract(trim(line), '{M.LOG_PATTERN}', 1) AS TIMESTAMP) ELSE file_time END AS timestamp,
-  CASE WHEN regexp_matches(trim(line), '{M.LOG_PATTERN}') AND regexp_extract(trim(line), '{M.LOG_PATTERN}', 2) <> ''
-    THEN upper(regexp_extract(trim(line), '{M.LOG_PATTERN}', 2)) ELSE 'INFO' END AS level,
-  CASE WHEN regexp_matches(trim(line), '{M.LOG_PATTERN}') THEN regexp_extract(trim(line), '{M.LOG_PATTERN}', 3) ELSE trim(line) END AS message
-  FROM {LOGS} WHERE trim(line) <> '')"""
+_LINE = r"^\[([^\]]+)\]\s*(?:\[([^\]]*)\])?\s*(.*)$"
+
+
+def _parsed_sql(lines: str) -> str:
+    return f"""(SELECT job_id, line_no,
+  CASE WHEN regexp_matches(trim(line), '{_LINE}') THEN coalesce(TRY_CAST(regexp_extract(trim(line), '{_LINE}', 1) AS TIMESTAMP), file_time) ELSE file_time END AS timestamp,
+  CASE WHEN regexp_matches(trim(line), '{_LINE}') AND regexp_extract(trim(line), '{_LINE}', 2) <> ''
+    THEN regexp_extract(trim(line), '{_LINE}', 2) ELSE 'INFO' END AS level,
+  CASE WHEN regexp_matches(trim(line), '{_LINE}') THEN regexp_extract(trim(line), '{_LINE}', 3) ELSE trim(line) END AS message
+  FROM {lines} WHERE trim(line) <> '')"""
+
+
+_PARSED_SQL = _parsed_sql(LOGS)
 
 
 @register("parse_logs", f"SELECT * FROM {_PARSED_SQL}")
@@ -357,10 +373,12 @@ def q_parse_logs(spark, sf):
     return M.parse_logs(R.logs(spark, sf))
 
 
-@register("tail_logs", f"""SELECT job_id, line_no, timestamp, level, message FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY line_no DESC) AS rn
-  FROM {_PARSED_SQL}) WHERE rn <= 3""")
+_LAST_LINES = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY line_no DESC) AS rn FROM {LOGS}) WHERE rn <= 3)"
+
+
+@register("tail_logs", f"SELECT job_id, line_no, timestamp, level, message FROM {_parsed_sql(_LAST_LINES)}")
 def q_tail_logs(spark, sf):
-    return M.tail_logs(M.parse_logs(R.logs(spark, sf)), 3)
+    return M.parse_logs(M.tail_logs(R.logs(spark, sf), 3))  # the last raw lines; blank ones among them drop out afterwards
 
 
 @register("log_filter", f"SELECT * FROM {_PARSED_SQL} WHERE job_id = 7 AND level = 'ERROR'")

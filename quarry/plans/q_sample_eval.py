@@ -23,7 +23,7 @@ def _orders(spark, sf):
     return load(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
 
 
-@register("sample_pct", f"SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice FROM orders WHERE {hsql('o_orderkey')} % 10000 < 2500")
+@register("sample_pct", f"SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice FROM orders WHERE {hsql('o_orderkey')} < {25 * 2**60 // 100}")
 def q_sample_pct(spark, sf):
     return S.sample_pct(_orders(spark, sf), 25, ["o_orderkey"])
 

@@ -23,8 +23,8 @@ MIN_IMAGE_SIDE = 32
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Driver table ``name`` from ``sf_dir`` (one parquet file per table)."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Driver table ``name`` from ``sf_dir`` (one parquet file per table), NaN as NULL."""
+    return nan_to_null(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

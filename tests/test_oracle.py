@@ -1,6 +1,7 @@
 """Every SQL-checked query against its DuckDB oracle (sf0.001), plus every rows-only query runs."""
 
 import os
+import re
 import tempfile
 
 import duckdb
@@ -11,7 +12,8 @@ from tools.oracle_check import TABLES, compare
 
 SF = os.environ.get("QUARRY_TEST_SF", "/root/testdata/sf0.001")
 SQL = entry.oracle_sql()
-NAMES = sorted(entry.queries())
+# training-data queries have their own tests beside them
+NAMES = sorted(n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n))
 
 
 @pytest.fixture(scope="module")
@@ -40,9 +42,10 @@ def test_query_matches_oracle(spark, duck, name):
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n not in SQL])
 def test_rows_only_query_runs(spark, name):
-    df = entry.queries()[name](spark, SF)
-    assert df.count() >= 0
-    assert len(df.columns) > 0
+    rows = entry.queries()[name](spark, SF).collect()
+    assert rows
+    for r in rows:
+        assert not any(isinstance(v, float) and v != v for v in r)
 
 
 def test_entry_smoke(spark):

@@ -294,7 +294,7 @@ def test_parse_logs_variants(spark):
                                   "line_no int, line string, file_time string").withColumn("file_time", F.col("file_time").cast("timestamp_ntz"))
     out = {r["line_no"]: r for r in M.parse_logs(lines).collect()}
     assert set(out) == {1, 2, 3}
-    assert out[1]["level"] == "ERROR" and out[1]["message"] == "boom"
+    assert out[1]["level"] == "error" and out[1]["message"] == "boom"  # the text of the bracket as it is
     assert out[2]["level"] == "INFO" and out[2]["message"] == "no level"
     assert out[3]["level"] == "INFO" and str(out[3]["timestamp"]) == "2024-02-02 00:00:00"
 
