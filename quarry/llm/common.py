@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import ensure_checkpoint_dir
@@ -46,6 +46,11 @@ def null_id(name: str):
     return F.when(F.col(name) != F.lit(NULL_ID), F.col(name)).alias(name)
 
 
+def hash_below(id_col: str, share) -> Column:
+    """Whether the hash of an id lies in the first ``share`` (number or column) of its range: the same rows on every run."""
+    return F.pmod(F.xxhash64(id_col), F.lit(2**40)) < F.least(F.lit(1.0), share if isinstance(share, Column) else F.lit(float(share))) * float(2**40)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one record batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,10 +15,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches
+from quarry.llm.common import hash_below, map_batches
 
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that aren't ASCII letters or part of a longer character become blanks.
@@ -73,7 +73,7 @@ def fit(texts: list[str], langs: list[str], buckets: int = 8192, dim: int = 16,
     steps, total = 0, epochs * -(-len(train) // batch)
     for _ in range(epochs):
         for i in range(0, len(train), batch):
-            rows = rng.permutation(len(train))[:batch] if i == 0 else np.arange(i, min(i + batch, len(train)))
+            rows = np.arange(i, min(i + batch, len(train)))
             m = dense(train[rows])
             hidden = m @ emb
             g = _softmax(hidden @ out + bias)
@@ -99,19 +99,26 @@ def fit(texts: list[str], langs: list[str], buckets: int = 8192, dim: int = 16,
     return model
 
 
-def train(docs: DataFrame, max_rows: int = 4000, max_chars: int = 20_000, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id",
+def train(docs: DataFrame, max_rows: int = 4000, max_chars: int = 20_000, max_langs: int = 500, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id",
           text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Fit on at most ``max_rows`` rows with a language, none of the held fold; languages share the sample evenly.
+    """Fit on about ``max_rows`` rows (1.2 times that at most) with a language, none of the held fold.
 
-    Sampled are the rows of least id hash among those with a letter and at most
-    ``max_chars`` characters (the bound on what the driver holds).
+    The ``max_langs`` most frequent languages share the sample evenly. Sampled
+    are rows with a letter and at most ``max_chars`` characters (the bound on
+    what the driver holds), by a hash of the id.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.dropna().where((F.crc32(F.col("id").cast("string")) % folds != held_fold) & (F.length("text") <= max_chars)
                                & F.col("text").rlike(r"\p{L}"))
-    spread = rows.select("id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("n") <= max_rows)
-    ids = spread.orderBy("n", "lang").limit(max_rows).select("id").distinct()
-    sample = rows.join(F.broadcast(ids), "id").dropDuplicates(["id"]).orderBy("id").collect()  # max_rows rows at most
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if not counts:
+        return fit([], [])
+    share = max_rows / len(counts)
+    # Each language by the share of the hash range that holds about its part of the sample.
+    wanted = rows.sparkSession.createDataFrame([(r["lang"], (share + 10) / r["n"]) for r in counts], "lang string, share double")
+    ids = (rows.select("id", "lang").join(F.broadcast(wanted), "lang").where(hash_below("id", F.col("share")))
+           .select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(int(1.2 * max_rows)))
+    sample = rows.join(F.broadcast(ids), "id").dropDuplicates(["id"]).orderBy("id").collect()  # 1.2 * max_rows rows at most
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 

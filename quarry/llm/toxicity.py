@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches
+from quarry.llm.common import hash_below, map_batches
 
 #: Words, and sentence ends, which break chains.
 TOKEN = re.compile(r"\w+|[.!?\n]")
@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 3000, max_tr
           label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 0) -> dict:
     """Fit on at most ``max_train_rows`` labelled rows (half of them toxic where there are enough), none of the held fold.
 
-    Sampled rows are those of smallest hash of the id; rows longer than
+    Sampled rows are chosen by a hash of the id; rows longer than
     ``max_train_chars`` are not sampled (the bound on what the driver holds).
     Conflicting labels of an id count as toxic; null labels and ids are ignored.
     """
@@ -178,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 3000, max_tr
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     half = max(1, max_train_rows // 2)
-    picked = [r for y in (0, 1) for r in rows.where(F.col("y") == y)
+    # Each class by a share of the hash range that holds about 1.5 times the rows wanted, then cut to the bound.
+    picked = [r for y in (0, 1) for r in rows.where((F.col("y") == y) & hash_below("id", (1.5 * half + 20) / max(1, counts.get(y, 0))))
               .orderBy(F.xxhash64("id"), "id").limit(half).collect()]
     if not picked:
         return fit([], np.zeros(0), prior)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import files
-from quarry.llm.common import NULL_ID, keep, map_batches, null_id, with_id
+from quarry.llm.common import NULL_ID, keep, map_batches, null_id
 
 MAGIC = b"WARC/1.1\r\n"
 #: A header that is longer isn't taken for one.
@@ -90,22 +90,14 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = 6
     response and the others are revisits; shorter ones are all responses. Null
     html is empty. Rows that repeat an id and a payload are of the same type.
     """
-    base = with_id(pages, id_col, html_col, "page_id", "html")
     rows = pages.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"),
-                        F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
-
-    def digest(b: pa.RecordBatch) -> pa.RecordBatch:
-        data = [x.as_buffer().to_pybytes() for x in b.column(1)]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(d) for d in data], pa.int64()), pa.array([payload_digest(d) for d in data])],
-                                          ["page_id", "size", "digest"])
-
-    marked = keep(map_batches(base, digest, "page_id long, size long, digest string").distinct(), "warc-digests")
-    firsts = keep(marked.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+                        F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
+    marked = keep(rows.select("page_id", F.octet_length("html").cast("long").alias("size"), "sha1").distinct(), "warc-digests")
+    firsts = keep(marked.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
                   .where("n > 1").drop("n"), "warc-firsts")
     # Both sides are shuffled tables, so that AQE splits a digest that many pages share.
-    refers = marked.join(firsts.hint("merge"), ["digest", "size"]).where("page_id <> first").select("page_id", "digest", "first")
-    revisits = keep(refers, "warc-revisits")
-    known = rows.join(revisits.select("page_id", F.col("digest").alias("same"), "first").hint("merge"), "page_id", "left")
+    refers = marked.join(firsts.hint("merge"), ["sha1", "size"]).where("page_id <> first").select("page_id", "sha1", "first")
+    known = rows.join(keep(refers, "warc-revisits").hint("merge"), ["page_id", "sha1"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, out, size = TaskContext.get().partitionId(), 0, [], 0
@@ -116,14 +108,12 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = 6
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64())], ["path", "size"])
 
         for b in batches:
-            for page_id, url, html, same, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(),
-                                                       b.column(4).to_pylist(), strict=True):
+            for page_id, url, html, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 html = html.as_buffer().to_pybytes()
-                own = payload_digest(html)
                 if not out:
                     out.append(record("warcinfo", {"Content-Type": "application/warc-fields"}, b"format: WARC file version 1.1\r\n"))
                     size = len(out[0])
-                out.append(page_record(page_id, url, html, own, first if same == own else None))
+                out.append(page_record(page_id, url, html, payload_digest(html), first))
                 size += len(out[-1])
                 if size >= file_bytes:
                     yield flush()
@@ -131,7 +121,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = 6
         if out:
             yield flush()
 
-    columns = known.select("page_id", "url", "html", "same", "first")
+    columns = known.select("page_id", "url", "html", "first")
     return keep(columns.mapInArrow(run, "path string, size long"), "warc-files")
 
 
@@ -141,14 +131,14 @@ def chains(found: DataFrame) -> DataFrame:
     reached = keep(jump.where("offset = 0").select("path", "offset"), "warc-reached")
     count = reached.count()
     while True:
-        ahead = reached.join(jump, ["path", "offset"]).select("path", F.col("to").alias("offset"))
+        ahead = reached.join(jump.hint("merge"), ["path", "offset"]).select("path", F.col("to").alias("offset"))
         reached = keep(reached.union(ahead).distinct(), "warc-reached")
         now = reached.count()
         if now == count:
             return reached
         count = now
         step = jump.select("path", F.col("offset").alias("to"), F.col("to").alias("next"))
-        jump = keep(jump.join(step, ["path", "to"]).select("path", "offset", F.col("next").alias("to")), "warc-jumps")
+        jump = keep(jump.join(step.hint("merge"), ["path", "to"]).select("path", "offset", F.col("next").alias("to")), "warc-jumps")
 
 
 def read(archives: DataFrame, split_bytes: int = 4_000_000) -> DataFrame:
@@ -166,7 +156,7 @@ def read(archives: DataFrame, split_bytes: int = 4_000_000) -> DataFrame:
 
     found = keep(map_batches(splits, scan, "path string, start long, offset long, after long, exit long"), "warc-candidates")
     entries = chains(found).withColumn("start", F.col("offset") - F.col("offset") % split_bytes)
-    entered = entries.join(found.select("path", "offset", "exit"), ["path", "offset"])
+    entered = entries.join(found.select("path", "offset", "exit").hint("merge"), ["path", "offset"])
 
     def payloads(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []

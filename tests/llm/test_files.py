@@ -116,7 +116,7 @@ def brute_warc(pages, min_bytes=0):
 @pytest.mark.parametrize("min_bytes", [0, 3])
 def test_warc_round_trip_with_magic_in_payloads(spark, min_bytes):
     trap = warc.page_record(99, "http://x", b"inner", warc.payload_digest(b"inner"), None).decode()
-    pages = [(5, "<p>a</p>"), (3, "<p>a</p>"), (8, None), (9, ""), (10, trap), (11, trap * 3 + "é"), (12, "WARC/1.1\r\n" * 50), (13, "x" * 9000), (14, "\r\n\r\n"), (15, trap), (15, trap)]
+    pages = [(5, "<p>a</p>"), (3, "<p>a</p>"), (8, None), (9, ""), (10, trap), (11, trap * 3 + "é"), (12, "WARC/1.1\r\n" * 50), (13, "x" * 9000), (14, "\r\n\r\n"), (15, trap), (15, trap), (16, "<p>a</p>"), (16, trap)]
     df = spark.createDataFrame([(i, "http://h/ \r\n" if i % 2 else None, h, "zz", 1) for i, h in pages], "page_id long, url string, html string, digest string, size int")
     for split in (100, 700, 4_000_000):
         out = warc.read(warc.write(df, files.new_folder(spark, "warc"), min_bytes, file_bytes=3000), split_bytes=split).collect()
