@@ -116,4 +116,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, k: in
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; all columns as they were."""
     bad = matches(docs, benchmark, id_col=id_col, text_col=text_col, **kwargs).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad.hint("merge"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_bad")), "left_anti")

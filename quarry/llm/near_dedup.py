@@ -336,4 +336,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one document of each class, the one of smallest id; all columns as they were."""
     classes = near_duplicates(docs, id_col, text_col, **kwargs)
     kept = classes.where("doc_id <=> class_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(kept.hint("merge"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept")), "left_semi")  # shuffled at every size

@@ -374,7 +374,7 @@ def remove(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col:
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("text").alias("_kept"))
     old = F.col(f"`{text_col}`")
     marked = docs.withColumn("_was", F.when(old.isNotNull(), F.length(old))).drop(text_col)
-    joined = marked.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id"))).where("_was is null or _was = 0 or _kept <> ''")
+    joined = marked.join(kept.hint("merge"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id"))).where("_was is null or _was = 0 or _kept <> ''")
     text = F.when(F.col("_was").isNotNull(), F.col("_kept"))
     made = {text_col: text.alias(text_col)}
     if chars_col in docs.columns:
