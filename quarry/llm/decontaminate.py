@@ -10,10 +10,10 @@ shingle multisets, sum of minima over sum of maxima, weight the number of
 characters of a shingle, at least ``threshold``.
 
 A window without any shingle of the benchmark has similarity 0, so only windows
-aligned with a shared shingle are fingerprinted: the benchmark's shingles are
-joined to the documents' (broadcast if they are counted to be few, else a
-shuffled join), which loses nothing that verification would keep at the
-alignments of its shared shingles.
+around a shared shingle are fingerprinted: the benchmark's shingles are joined
+to the documents' (broadcast if they are counted to be few, else a shuffled
+join). A window shifted by more than a quarter of the item (at 0.8) against the
+alignment of a shingle has lost too many others to be similar by it.
 """
 
 from __future__ import annotations
@@ -83,8 +83,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, k: in
     text = with_id(docs, id_col, text_col)
     rows = text.select("doc_id", _words(F.col("text")).alias("words")).where(F.size("words") >= k)
     hashes = rows.select("doc_id", F.posexplode(_shingle_hashes(F.col("words"), k)).alias("pos", "h"))
-    hits = hashes.join(F.broadcast(wanted) if few else wanted, "h").select("doc_id", "length", (F.col("pos") - F.col("at")).alias("start"))
-    starts = keep(hits.where("start >= 0").groupBy("doc_id", "length", "start").agg(F.count("*").alias("votes")), "bench-starts")
+    hits = hashes.join(F.broadcast(wanted) if few else wanted, "h").select("doc_id", "length", (F.col("pos") - F.col("at")).alias("start")).distinct()
+    # A window that is similar enough starts near the alignment of its shared shingles: their share limits the shift.
+    shift = F.ceil(F.col("length") * F.lit(1.25 * (1 - threshold)))
+    around = hits.select("doc_id", "length", F.explode(F.sequence(F.col("start") - shift, F.col("start") + shift)).alias("start"))
+    starts = keep(around.where("start >= 0").distinct().withColumn("start", F.col("start").cast("int")), "bench-starts")
     per_doc = starts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spots"))
     spots = rows.join(per_doc, "doc_id").select("doc_id", "words", F.explode("spots").alias("s"))
     windows = keep(spots.where(F.col("s.start") + F.col("s.length") <= F.size("words"))

@@ -29,11 +29,14 @@ def brute_matches(docs, items, k=5, threshold=0.8):
     out = {}
     for d, t in docs:
         w = words(t)
+        own = bag(w)
         for item, u in items:
             iw = words(u)
             if len(iw) < k:
                 continue
             b = bag(iw)
+            if not own.keys() & b.keys():
+                continue
             best = None
             for at in range(len(w) - len(iw) + 1):
                 a = bag(w[at:at + len(iw)])
