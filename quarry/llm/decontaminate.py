@@ -78,16 +78,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, k: in
     classes = keep(items.groupBy("words").agg(F.min("item_id").alias("item"), F.collect_set("item_id").alias("ids"))
                    .select("item", "ids", "words", F.size("words").alias("length")), "bench-items")
     places = keep(classes.select("item", "length", F.posexplode(_shingle_hashes(F.col("words"), k)).alias("at", "h")), "bench-places")
-    wanted = places.select("h", "length", "at").distinct()
+    wanted = places.select("h", "item", "length", "at")
     few = wanted.count() <= BROADCAST_SHINGLES
     text = with_id(docs, id_col, text_col)
     rows = text.select("doc_id", _words(F.col("text")).alias("words")).where(F.size("words") >= k)
     hashes = rows.select("doc_id", F.posexplode(_shingle_hashes(F.col("words"), k)).alias("pos", "h"))
-    hits = hashes.join(F.broadcast(wanted) if few else wanted, "h").select("doc_id", "length", (F.col("pos") - F.col("at")).alias("start")).distinct()
+    hits = hashes.join(F.broadcast(wanted) if few else wanted, "h").select("doc_id", "item", "length", (F.col("pos") - F.col("at")).alias("start"))
     # A window that is similar enough starts near the alignment of its shared shingles: their share limits the shift.
-    shift = F.ceil(F.col("length") * F.lit(1.25 * (1 - threshold)))
+    # Where a whole item stands as it is, no shifted window is more similar to it.
+    hits = hits.groupBy("doc_id", "item", "length", "start").agg(F.count("*").alias("votes"))
+    shift = F.when(F.col("votes") > F.col("length") - k, 0).otherwise(F.ceil(F.col("length") * F.lit(1.25 * (1 - threshold)))).cast("int")
     around = hits.select("doc_id", "length", F.explode(F.sequence(F.col("start") - shift, F.col("start") + shift)).alias("start"))
-    starts = keep(around.where("start >= 0").distinct().withColumn("start", F.col("start").cast("int")), "bench-starts")
+    starts = keep(around.where("start >= 0").distinct(), "bench-starts")
     per_doc = starts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spots"))
     spots = rows.join(per_doc, "doc_id").select("doc_id", "words", F.explode("spots").alias("s"))
     windows = keep(spots.where(F.col("s.start") + F.col("s.length") <= F.size("words"))
