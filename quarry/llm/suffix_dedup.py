@@ -347,7 +347,8 @@ def repeats(docs: DataFrame, length: int = 100, result: str = "spans", id_col: s
     cold = _search(seen.where("kind = 'cold'"), length, batch_bytes)
     hot = seen.where("kind = 'hot'").select("doc_id", "start", "anchor", "check")
     earliest = hot.groupBy("anchor", "check").agg(F.min("doc_id").alias("d"), F.min_by("start", F.struct("doc_id", "start")).alias("s"))
-    later = hot.join(earliest.select(F.col("d").alias("doc_id"), F.col("s").alias("start")), ["doc_id", "start"], "left_anti")
+    # This join and the one of waiting texts shuffle at every size, as they must on large inputs.
+    later = hot.join(earliest.select(F.col("d").alias("doc_id"), F.col("s").alias("start")).hint("merge"), ["doc_id", "start"], "left_anti")
     spans = cold.union(later.select("doc_id", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
     more = keep(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("more")), "suffix-spans")
     finish, columns = RESULTS[result]
@@ -359,7 +360,7 @@ def repeats(docs: DataFrame, length: int = 100, result: str = "spans", id_col: s
         return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), columns.values(), strict=True)]],
                                           ["doc_id", *columns])
 
-    waiting = seen.where("kind = 'open'").select("doc_id", "whole", "known").join(more, "doc_id", "left")
+    waiting = seen.where("kind = 'open'").select("doc_id", "whole", "known").join(more.hint("merge"), "doc_id", "left")
     answered = map_batches(waiting, one, "doc_id long, " + ", ".join(f"{c} {DDL[t]}" for c, t in columns.items()))
     settled = seen.where("kind = 'done'").select("doc_id", *columns)
     return settled.union(answered).withColumn("doc_id", null_id("doc_id"))
