@@ -107,7 +107,7 @@ def _kv(name: str, col: str):
 
 
 def evaluation_dispatch(pred: DataFrame, problem_type: str) -> DataFrame:
-    """Problem type -> metric set, as one long (metric, value) table."""
+    """Problem type -> metric set, as one long (metric, value) table; ROC AUC for binary predictions with a ``score``."""
     if problem_type in ("binary", "multiclass", "classification"):
         prf = per_class_prf(pred)
         parts = [accuracy(pred).select(F.inline(F.array(_kv("accuracy", "accuracy")))),
@@ -116,6 +116,8 @@ def evaluation_dispatch(pred: DataFrame, problem_type: str) -> DataFrame:
                  weighted_prf(prf).select(F.inline(F.array(_kv("precision_weighted", "weighted_precision"),
                                                            _kv("recall_weighted", "weighted_recall"),
                                                            _kv("f1_weighted", "weighted_f1"))))]
+        if problem_type == "binary" and "score" in pred.columns:
+            parts.append(roc_auc(pred).select(F.inline(F.array(_kv("roc_auc", "roc_auc")))))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

@@ -7,17 +7,23 @@ two-level aggregate anyway) and feeding nunique, top-k, entropy, mode and
 quantiles.
 
 ``exact_quantiles`` is exact at any scale: the frequency table is range
-partitioned on (column, value), every task computes local running counts, the
-per-partition totals (columns x partitions rows, bounded by configuration, not
-data) give each task its global offset, and each ranked row keeps only the
-requested probabilities whose rank falls into its interval. No task ever
+partitioned on (column, value), every task sums its sorted rows as they pass, the
+per-partition totals (one row for each column and partition it reaches) give
+each task its global offset, and of the ranked rows only those go on whose
+interval holds the rank of a requested probability. No task ever
 holds all values of a column, unlike the ``percentile`` aggregate whose buffer
 keeps every distinct value of a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+from operator import or_
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,37 +67,58 @@ def _partitions(df: DataFrame, partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Most rows of a small table that is collected or broadcast; beyond it the table is joined by a shuffle.
+SMALL_ROWS = 100_000
+
+
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once, with a broadcast hint if it has at most ``SMALL_ROWS`` rows."""
+    df = materialize(df, name)
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def _running_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add ``local_end``, the running sum of ``n`` over a task's rows of each column (rows sorted by column)."""
+    last, seen = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        n = b.column("n").to_numpy(zero_copy_only=False)
+        code = b.column("column").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        before = n[starts] - np.cumsum(n)[starts]
+        if b.column("column")[0].as_py() == last:
+            before[0] += seen
+        local_end = np.cumsum(n) + np.repeat(before, np.diff(np.r_[starts, len(n)]))
+        last, seen = b.column("column")[-1].as_py(), local_end[-1]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local_end, pa.int64())], names=[*b.schema.names, "local_end"])
+
+
 def ranked_frequency(freq: DataFrame, partitions: int | None = None) -> DataFrame:
     """Attach global rank intervals ``[rank_lo, rank_hi)`` and the column ``total`` to ``(column, value, n)``.
 
     Ranks are 0-based positions in ascending value order within each column.
-    The range-partitioned table with its local running counts is materialised
-    (Parquet under the shared checkpoint folder) so partition ids stay fixed
-    for both of its uses; the per-partition totals are a (#columns x
-    #partitions) table, bounded by configuration, that is collected once and
-    broadcast back as offsets.
+    One range exchange: tasks sort their rows and sum them batch by batch. The
+    table with its local running counts is materialised (Parquet under the
+    shared checkpoint folder) so partition ids stay fixed for both of its uses.
+    Columns may be classes of the data, so the offsets are a window over the
+    per-partition totals, broadcast only up to ``SMALL_ROWS`` rows.
     """
     ensure_checkpoint_dir(freq.sparkSession)
-    spark = freq.sparkSession
     p = _partitions(freq, partitions)
-    ranked = (freq.filter(F.col("value").isNotNull())
+    ranged = (freq.filter(F.col("value").isNotNull()).select("column", "value", "n")
               .repartitionByRange(p, "column", "value")
+              .sortWithinPartitions("column", "value")
               .withColumn("pid", F.spark_partition_id()))
-    local = ranked.withColumn(
-        "local_end",
-        F.sum("n").over(Window.partitionBy("column", "pid").orderBy("value")
-                        .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    local = materialize(local, "ranked")
-    parts = local.groupBy("column", "pid").agg(F.sum("n").alias("part_n")).collect()  # <= columns x partitions
-    acc: dict[str, int] = {}
-    rows = []
-    for r in sorted(parts, key=lambda r: (r["column"], r["pid"])):
-        off = acc.get(r["column"], 0)
-        rows.append((r["column"], r["pid"], off))
-        acc[r["column"]] = off + r["part_n"]
-    offsets = spark.createDataFrame([(c, pid, off, acc[c]) for c, pid, off in rows],
-                                    "column string, pid int, offset long, total long")
-    out = local.join(F.broadcast(offsets), ["column", "pid"])
+    local = materialize(ranged.mapInArrow(_running_counts, T.StructType([*ranged.schema.fields, T.StructField("local_end", T.LongType())])),
+                        "ranked")
+    by_column = Window.partitionBy("column")
+    offsets = (local.groupBy("column", "pid").agg(F.sum("n").alias("part_n"))
+               .select("column", "pid",
+                       (F.sum("part_n").over(by_column.orderBy("pid").rowsBetween(Window.unboundedPreceding, 0))
+                        - F.col("part_n")).alias("offset"),
+                       F.sum("part_n").over(by_column).alias("total")))
+    out = local.join(small_side(offsets, "offsets"), ["column", "pid"])
     return out.select("column", "value", "n",
                       (F.col("offset") + F.col("local_end") - F.col("n")).alias("rank_lo"),
                       (F.col("offset") + F.col("local_end")).alias("rank_hi"), "total")
@@ -107,20 +134,20 @@ def exact_quantiles(freq: DataFrame, probs: list[float], partitions: int | None
     """Linear-interpolation quantiles (numpy default / SQL ``percentile_cont``).
 
     Input ``(column, value, n)``; output ``(column, p, q)``; NULL values ignored.
-    One pass over the ranked table: each row checks the (#columns x #probs x 2)
-    target ranks of its column (broadcast) and only the rows holding them survive.
+    One pass over the ranked table: each row compares its interval with the
+    target ranks of its column, and only the rows holding one survive.
     """
     ranked = ranked if ranked is not None else ranked_frequency(freq, partitions)
     tm1 = F.col("total") - 1
 
-    def holds(p: float):  # this value's rank interval holds floor(h) or ceil(h) of probability p
+    def holds(p: float) -> Column:  # the row's ranks [rank_lo, rank_hi) hold floor(h) or ceil(h)
         h = tm1 * F.lit(float(p))
-        return (((F.floor(h) >= F.col("rank_lo")) & (F.floor(h) < F.col("rank_hi")))
-                | ((F.ceil(h) >= F.col("rank_lo")) & (F.ceil(h) < F.col("rank_hi"))))
+        return (h > F.col("rank_lo") - 1) & (h < F.col("rank_hi"))
 
-    # CASE per probability + explode + filter stay inside whole-stage codegen (a lambda filter would not)
+    # rows that hold no target rank, nearly all, go before the explode
     cand = F.array(*[F.when(holds(p), F.lit(float(p))) for p in probs])
-    hit = (ranked.select("column", "value", "rank_lo", "rank_hi", "total", F.explode(cand).alias("p"))
+    hit = (ranked.filter(reduce(or_, [holds(p) for p in probs]))
+           .select("column", "value", "rank_lo", "rank_hi", "total", F.explode(cand).alias("p"))
            .filter(F.col("p").isNotNull())
            .withColumn("h", tm1 * F.col("p"))
            .withColumn("lo", F.floor("h").cast("long")).withColumn("hi", F.ceil("h").cast("long")))

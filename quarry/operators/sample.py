@@ -3,18 +3,19 @@
 Randomness comes from an md5/xxhash key of the row id and a seed, never
 ``rand()``: results are stable under repartitioning and retries, and the md5
 form has a cross-engine oracle. Exact-count selections (k smallest keys per
-class or overall) use the range-partitioned rank machinery, so no class is
-ever gathered into one task.
+class or overall) rank the keys alone, range partitioned, so no class is ever
+gathered into one task; rows are then compared with the cutoff key of their
+class, without a shuffle of the table.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.freq import ranked_frequency
+from quarry.operators.freq import ranked_frequency, small_side
 
 SEED = 42
 SPLIT_COLUMN_NAMES = ("split", "set", "subset", "train_test")
@@ -37,32 +38,33 @@ def sample_pct(df: DataFrame, pct: float | None, id_cols: list[str], seed: int =
     return df.filter(hash_key(id_cols, seed) < F.lit(round(pct * 2**60 / 100)))
 
 
-def _ranked_by_key(df: DataFrame, id_cols: list[str], group: str | None, seed: int) -> DataFrame:
-    """Rows with ``_key`` and its 0-based rank ``_rank`` inside ``group`` (or overall)."""
-    # A NULL class is a class: it gets a name that no cast value has.
+def _smallest(df: DataFrame, id_cols: list[str], group: str | None, seed: int, k: Callable[[Column], Column]) -> DataFrame:
+    """``df`` with ``_in``: whether the row's hash key is among the ``k(n)`` smallest of its class's (or all) n rows.
+
+    A NULL class is a class. Only hash keys are shuffled; the cutoffs, one row
+    for each class, are broadcast up to a checked number of classes.
+    """
     g = F.coalesce(F.col(group).cast("string"), F.lit("\u0000null")) if group else F.lit("__all__")
     keyed = df.withColumn("_grp", g).withColumn("_key", hash_key(id_cols, seed))
     freq = keyed.groupBy(F.col("_grp").alias("column"), F.col("_key").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = ranked_frequency(freq).select(F.col("column").alias("_grp"), F.col("value").alias("_key"),
-                                           F.col("rank_lo").alias("_rank"))
-    sizes = freq.groupBy(F.col("column").alias("_grp")).agg(F.sum("n").alias("_grp_n"))
-    # sizes: one row per class (bounded by the class count)
-    return keyed.join(ranked, ["_grp", "_key"]).join(F.broadcast(sizes), "_grp")
+    cut = (ranked_frequency(freq).filter(F.col("rank_lo") < k(F.col("total")))
+           .groupBy(F.col("column").alias("_grp")).agg(F.max("value").alias("_cut")))
+    marked = keyed.join(small_side(cut, "cutoffs"), "_grp", "left")
+    return marked.withColumn("_in", F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False))).drop("_grp", "_key", "_cut")
+
+
+def _split(marked: DataFrame, chosen: str, rest: str) -> DataFrame:
+    return marked.withColumn("split", F.when(F.col("_in"), F.lit(chosen)).otherwise(F.lit(rest))).drop("_in")
 
 
 def stratified_sample(df: DataFrame, target: str, pct: float, id_cols: list[str], seed: int = SEED) -> DataFrame:
     """G2 (deterministic): per class the ceil(n_c * pct / 100) rows with the smallest hash keys."""
-    r = _ranked_by_key(df, id_cols, target, seed)
-    keep = F.col("_rank") < F.ceil(F.col("_grp_n") * F.lit(pct / 100.0))
-    return r.filter(keep).drop("_grp", "_key", "_rank", "_grp_n")
+    return _smallest(df, id_cols, target, seed, lambda n: F.ceil(n * F.lit(pct / 100.0))).filter("_in").drop("_in")
 
 
 def split_random(df: DataFrame, id_cols: list[str], test_size: float = 0.2, seed: int = SEED) -> DataFrame:
     """ceil(test_size * n) rows with the smallest hash keys form the test split."""
-    r = _ranked_by_key(df, id_cols, None, seed)
-    is_test = F.col("_rank") < F.ceil(F.col("_grp_n") * F.lit(test_size))
-    return r.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop(
-        "_grp", "_key", "_rank", "_grp_n")
+    return _split(_smallest(df, id_cols, None, seed, lambda n: F.ceil(n * F.lit(test_size))), "test", "train")
 
 
 def split_stratified(df: DataFrame, target: str, id_cols: list[str], test_size: float = 0.2, seed: int = SEED,
@@ -71,10 +73,7 @@ def split_stratified(df: DataFrame, target: str, id_cols: list[str], test_size:
     n_classes = df.agg(F.count_distinct(target)).first()[0]
     if n_classes >= max_classes:
         return split_random(df, id_cols, test_size, seed)
-    r = _ranked_by_key(df, id_cols, target, seed)
-    is_test = F.col("_rank") < F.round(F.col("_grp_n") * F.lit(test_size))
-    return r.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop(
-        "_grp", "_key", "_rank", "_grp_n")
+    return _split(_smallest(df, id_cols, target, seed, lambda n: F.round(n * F.lit(test_size))), "test", "train")
 
 
 def split_column(df: DataFrame) -> DataFrame:
@@ -100,10 +99,7 @@ def split_sizes(df: DataFrame, train_ratio: float = 0.8) -> DataFrame:
 
 def image_split(listing: DataFrame, val_ratio: float = 0.2, seed: int = SEED) -> DataFrame:
     """80/20 over an image listing; val = int(n * 0.2) smallest hash keys."""
-    r = _ranked_by_key(listing, ["path"], None, seed)
-    is_val = F.col("_rank") < F.floor(F.col("_grp_n") * F.lit(val_ratio))
-    return r.withColumn("split", F.when(is_val, F.lit("val")).otherwise(F.lit("train"))).drop(
-        "_grp", "_key", "_rank", "_grp_n")
+    return _split(_smallest(listing, ["path"], None, seed, lambda n: F.floor(n * F.lit(val_ratio))), "val", "train")
 
 
 def split_distribution(split_df: DataFrame, target: str, top: int = 5) -> DataFrame:

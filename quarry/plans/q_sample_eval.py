@@ -87,7 +87,7 @@ def q_split_distribution(spark, sf):
 
 
 _REP_COLS = {"l_quantity": "double", "l_extendedprice": "double", "l_discount": "double"}
-_SAMPLED = f"(SELECT * FROM {LN} WHERE {hsql('l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')} % 10000 < 2500)"
+_SAMPLED = f"(SELECT * FROM {LN} WHERE {hsql('l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')} < {25 * 2**60 // 100})"
 
 
 @register("representativeness", f"""WITH p AS ({numeric_profile_sql(LN, _REP_COLS)}), s AS ({numeric_profile_sql(_SAMPLED, _REP_COLS)}),
@@ -180,7 +180,10 @@ UNION ALL SELECT 'precision_macro', round(avg(prec), 6) FROM f UNION ALL SELECT
 UNION ALL SELECT 'f1_macro', round(avg(f1), 6) FROM f
 UNION ALL SELECT 'precision_weighted', round(sum(prec * support) / sum(support), 6) FROM f
 UNION ALL SELECT 'recall_weighted', round(sum(rec * support) / sum(support), 6) FROM f
-UNION ALL SELECT 'f1_weighted', round(sum(f1 * support) / sum(support), 6) FROM f""")
+UNION ALL SELECT 'f1_weighted', round(sum(f1 * support) / sum(support), 6) FROM f
+UNION ALL SELECT 'roc_auc', round((SELECT sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END)
+  / ((SELECT count(*) FROM p WHERE y_true = '1') * (SELECT count(*) FROM p WHERE y_true <> '1'))
+  FROM p a JOIN p b ON a.y_true = '1' AND b.y_true <> '1'), 6)""")
 def q_dispatch(spark, sf):
     return rounded(V.evaluation_dispatch(R.predictions(spark, sf), "binary"))
 

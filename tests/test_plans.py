@@ -49,3 +49,9 @@ def test_no_unpartitioned_window_over_raw_rows(spark, name):
         if "Window [" in line:
             # a window must be partitioned by a key (the list after the window expressions is non-empty)
             assert "], [], [" not in line or name in BOUNDED_SINGLE, line
+
+
+@pytest.mark.parametrize("name", ["split_random", "split_stratified", "stratified_sample"])
+def test_splits_and_samples_do_not_shuffle_rows(spark, name):
+    plan = plan_of(spark, name)
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan

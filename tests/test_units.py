@@ -439,3 +439,29 @@ def test_ntz_arithmetic_is_time_zone_free(spark):
         assert r["s"] == 6038 and r["us"] == 986090903000000
     finally:
         spark.conf.set("spark.sql.session.timeZone", prev)
+
+
+def test_ranks_over_many_small_batches_and_partitions(spark):
+    from quarry.operators.freq import ranked_frequency
+    rows = [(c, v, 1 + (v * 7) % 3) for c in ("a", "b", "c") for v in range(40)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = ranked_frequency(spark.createDataFrame(rows, "column string, value long, n long"), partitions=4).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == len(rows)
+    for r in got:
+        before = sum(n for c, v, n in rows if c == r["column"] and v < r["value"])
+        assert (r["rank_lo"], r["rank_hi"]) == (before, before + r["n"])
+        assert r["total"] == sum(n for c, _, n in rows if c == r["column"])
+
+
+@pytest.mark.parametrize("small_rows", [100_000, 0])
+def test_stratified_sample_of_many_classes_with_and_without_broadcast(spark, monkeypatch, small_rows):
+    from quarry.operators import freq, sample
+    monkeypatch.setattr(freq, "SMALL_ROWS", small_rows)
+    df = spark.range(600).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE CAST(id % 40 AS string) END AS c")
+    sizes = {r["c"]: r["n"] for r in df.groupBy("c").count().withColumnRenamed("count", "n").collect()}
+    got = {r["c"]: r["n"] for r in sample.stratified_sample(df, "c", 10, ["id"]).groupBy("c").count().withColumnRenamed("count", "n").collect()}
+    assert got == {c: -(-n // 10) for c, n in sizes.items()}
