@@ -27,6 +27,18 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``keep`` in hash buckets of ``column``, one per shuffle partition, so that a later join on it needn't shuffle these rows.
+
+    The files lie in the shared folder; the session's catalog holds the table's name.
+    """
+    spark, as_table = df.sparkSession, f"llm_{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{as_table}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, column).saveAsTable(as_table, format="parquet")
+    return spark.table(as_table)
+
+
 def drop_kept(df: DataFrame) -> None:
     """Delete a table that ``keep`` wrote, once nothing reads it any more."""
     spark = df.sparkSession

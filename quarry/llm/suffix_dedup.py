@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import keep, map_batches, null_id, with_id
+from quarry.llm.common import keep, keep_by, map_batches, null_id, with_id
 
 #: Odd multipliers, one for each doubling of the hashed string.
 DOUBLINGS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
@@ -343,11 +343,12 @@ def repeats(docs: DataFrame, length: int = 100, result: str = "spans", id_col: s
     flag = F.when(alike > hot_blocks, 3).when(alike > 1, 1).otherwise(0)
     held = first.select("doc_id", (F.col("number") * 4 + flag).cast("int").alias("code")).groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
     joined = base.join(held, "doc_id", "left").select("doc_id", "text", "codes")
-    seen = keep(_examine(joined, length, result), "suffix-examined")
+    # In buckets of doc_id, as the join above left the rows: waiting texts meet their answers without another shuffle.
+    seen = keep_by(_examine(joined, length, result), "suffix-examined", "doc_id")
     cold = _search(seen.where("kind = 'cold'"), length, batch_bytes)
     hot = seen.where("kind = 'hot'").select("doc_id", "start", "anchor", "check")
     earliest = hot.groupBy("anchor", "check").agg(F.min("doc_id").alias("d"), F.min_by("start", F.struct("doc_id", "start")).alias("s"))
-    # This join and the one of waiting texts shuffle at every size, as they must on large inputs.
+    # This join shuffles at every size, as it must on large inputs.
     later = hot.join(earliest.select(F.col("d").alias("doc_id"), F.col("s").alias("start")).hint("merge"), ["doc_id", "start"], "left_anti")
     spans = cold.union(later.select("doc_id", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
     more = keep(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("more")), "suffix-spans")
