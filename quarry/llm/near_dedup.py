@@ -9,14 +9,15 @@ power of 12: about 2 in 10,000. Similarity is that of an alignment: with m
 shingles matched in order, m / (n_a + n_b - m); the longest common subsequence
 is computed exactly inside the band that the threshold allows.
 
-Exact copies (same words) collapse first. A bucket never becomes all its pairs:
-texts take turns as leaders, each claims the unclaimed texts that look like it
-by a bottom-48 sample of shingles, and names the few texts that it looks most
-like itself, until every text is claimed or has led. That is a few pairs a text
-and bucket, all of which are verified. A bucket of more than ``bound`` texts is
-first compared with one centre as a distributed join; what isn't like the
-centre goes on in finer buckets, with a further sketch value in the key. There
-is no cap: every member of every bucket goes one of these ways.
+Exact copies (same words) collapse first. Then texts of a bucket take turns as
+leaders, and each claims the unclaimed texts that look like it by a bottom-48
+sample of shingles; a bucket of more than ``bound`` texts does so in parts, and
+the leaders of its parts meet again in further rounds. Claims are verified, and
+verified links joined to classes: that unites most of a group with a few pairs
+a text. A claim settles nothing by itself. Afterwards all pairs of texts that
+share a bucket but no class are looked at, block against block where a bucket is
+large, and all that look at least PLAUSIBLE alike are verified, the likeliest
+first, except those that came into one class meanwhile. There is no cap.
 """
 
 from __future__ import annotations
@@ -34,8 +35,6 @@ from quarry.llm.common import keep, map_batches, mix64, null_id, with_id
 from quarry.llm.components import components
 
 WORD = re.compile(r"\w+")
-#: Single-shingle values that refine oversized buckets.
-EXTRA = 8
 #: Size of the sample of smallest shingle hashes that says how alike two texts look.
 SAMPLE = 48
 #: Texts that look less alike than this aren't verified: 5 standard deviations of the sample below 0.8.
@@ -78,20 +77,19 @@ def label_occurrences(h: np.ndarray) -> np.ndarray:
 
 
 def sketch(h: np.ndarray, tables: int, width: int) -> tuple[list[int], bytes]:
-    """``tables`` order sketches, then EXTRA smallest shingles, as signed 64-bit numbers; the bottom sample as 32-bit ones."""
+    """``tables`` order sketches as signed 64-bit numbers; the bottom sample as 32-bit ones."""
     labelled = label_occurrences(h)
-    seeds = mix64(np.arange(1, tables + EXTRA + 1, dtype=np.uint64))[:, None]
+    seeds = mix64(np.arange(1, tables + 1, dtype=np.uint64))[:, None]
     v = (labelled[None, :] ^ seeds) * (mix64(seeds) | np.uint64(1))
     v ^= v >> np.uint64(32)
     n = len(h)
-    least = v[tables:].min(1)
-    at = np.sort(np.argpartition(v[:tables], width - 1, axis=1)[:, :width], axis=1) if n > width else np.broadcast_to(np.arange(n), (tables, n))
-    acc = seeds[:tables, 0].copy()
+    at = np.sort(np.argpartition(v, width - 1, axis=1)[:, :width], axis=1) if n > width else np.broadcast_to(np.arange(n), (tables, n))
+    acc = seeds[:, 0].copy()
     for j in range(at.shape[1]):
         acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + h[at[:, j]])
     low = (labelled >> np.uint64(32)).astype(np.uint32)
     low = np.sort(np.partition(low, SAMPLE - 1)[:SAMPLE] if n > SAMPLE else low)
-    return np.concatenate([acc, least]).view(np.int64).tolist(), low.tobytes()
+    return acc.view(np.int64).tolist(), low.tobytes()
 
 
 def likeness(one: np.ndarray, n_one: int, many: np.ndarray, n_many: np.ndarray) -> np.ndarray:
@@ -117,24 +115,32 @@ def _matrix(samples: list[bytes]) -> np.ndarray:
     return out
 
 
-def lead(ids: np.ndarray, n: np.ndarray, samples: np.ndarray, threshold: float, own: int = 3) -> Iterator[tuple[int, int]]:
-    """Pairs (text, other) of one bucket to verify: each text's claim by a leader, and each leader's ``own`` likeliest others."""
+def lead(ids: np.ndarray, n: np.ndarray, samples: np.ndarray, threshold: float) -> Iterator[tuple[int, int | None]]:
+    """Claims (text, leader) of one part of a bucket, and its leaders as (leader, None)."""
     free = np.ones(len(ids), bool)
     for c in range(len(ids)):
         if not free[c]:
             continue
-        sample = samples[c][samples[c] < 2**32]
-        like = likeness(sample, int(n[c]), samples, n)
-        like[c] = 0
-        claimed = np.flatnonzero(free & (like >= threshold))
-        free[claimed] = False
         free[c] = False
-        for m in claimed:
+        yield int(ids[c]), None
+        rest = np.flatnonzero(free)
+        like = likeness(samples[c][samples[c] < 2**32], int(n[c]), samples[rest], n[rest])
+        for m in rest[like >= threshold]:
+            free[m] = False
             yield int(ids[m]), int(ids[c])
-        like[claimed] = 0
-        for m in np.argsort(-like, kind="stable")[:own]:
-            if like[m] >= PLAUSIBLE:
-                yield int(ids[c]), int(ids[m])
+
+
+def apart(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...] | None) -> Iterator[tuple[int, int, float]]:
+    """Pairs (text, text, likeness) of two blocks (ids, labels, n, samples), or inside one, of unlike labels that look at least PLAUSIBLE alike."""
+    ids, labels, n, samples = right or left
+    for c in range(len(left[0])):
+        other = np.flatnonzero(labels != left[1][c])
+        if right is None:
+            other = other[other > c]
+        if len(other):
+            like = likeness(left[3][c][left[3][c] < 2**32], int(left[2][c]), samples[other], n[other])
+            for m in np.flatnonzero(like >= PLAUSIBLE):
+                yield int(left[0][c]), int(ids[other[m]]), float(like[m])
 
 
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> float | None:
@@ -219,55 +225,50 @@ def _sketches(docs: DataFrame, k: int, tables: int, width: int) -> DataFrame:
     return map_batches(docs, one, "doc_id long, digest binary, n int, parts array<long>, low binary")
 
 
-def _candidates(parts: DataFrame, tables: int, bound: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) to verify, from all buckets of more than one text."""
-    rows = parts.select("doc_id", F.posexplode("parts").alias("t", "v")).where(F.col("t") < tables).select("doc_id", F.xxhash64("t", "v").alias("key"))
-    state, found = keep(rows, "buckets"), []
-    order = F.struct(F.xxhash64("doc_id"), "doc_id")
-    details = parts.select("doc_id", "n", "low")
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of sorted batches by their first column, which names the group."""
+    key, rows = None, []
+    for batch in batches:
+        for k, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if k != key:
+                if rows:
+                    yield key, rows
+                key, rows = k, []
+            rows.append(row)
+    if rows:
+        yield key, rows
+
 
+def _members(parts: DataFrame) -> DataFrame:
+    """(key, doc_id, size) of all buckets of more than one text."""
+    rows = keep(parts.select("doc_id", F.posexplode("parts").alias("t", "v")).select("doc_id", F.xxhash64("t", "v").alias("key")), "buckets")
+    return keep(rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "bucket-members")
+
+
+def _claims(members: DataFrame, details: DataFrame, bound: int, threshold: float) -> DataFrame:
+    """Pairs (a, b): each text's claim by a leader, all to be verified. Leaders of large buckets go on while they become fewer."""
     def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        def flush():
-            if len(rows) > 1:
-                ids, n, low = (list(x) for x in zip(*rows, strict=True))
-                pairs = list(lead(np.array(ids), np.array(n), _matrix(low), threshold))
-                if pairs:
-                    a, b = zip(*pairs, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        for batch in batches:
-            for k, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if k != key:
-                    yield from flush()
-                    key, rows = k, []
-                rows.append(row)
-        yield from flush()
-
-    def like_centre(b: pa.RecordBatch) -> pa.RecordBatch:
-        cols = [c.to_pylist() for c in b.columns[3:]]
-        sim = [float(likeness(np.frombuffer(cl, np.uint32).astype(np.int64), cn, _matrix([low]), np.array([n]))[0]) for n, low, cn, cl in zip(*cols, strict=True)]
-        return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sim)], ["key", "doc_id", "centre", "sim"])
-
-    level = 0
+        for _, rows in _groups(batches):
+            key, size, ids, n, low = (list(x) for x in zip(*rows, strict=True))
+            pairs = [p for p in lead(np.array(ids), np.array(n), _matrix(low), threshold) if p[1] is not None or size[0] > bound]
+            if pairs:
+                a, b = zip(*pairs, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "a", "b"])
+
+    found, level, before = [], 0, None
     while True:
-        sizes = keep(state.groupBy("key").agg(F.count("*").alias("size"), F.min(order).alias("c")).where("size > 1")
-                     .select("key", "size", F.col("c.doc_id").alias("centre")), "bucket-sizes")
-        sized = keep(state.join(sizes, "key"), "bucket-members")
-        small = sized.where(F.col("size") <= bound).join(details, "doc_id").select("key", "doc_id", "n", "low", F.xxhash64("doc_id").alias("o"))
-        found.append(small.repartition("key").sortWithinPartitions("key", "o", "doc_id").select("key", "doc_id", "n", "low").mapInArrow(led, "a long, b long"))
-        big = sized.where((F.col("size") > bound) & (F.col("doc_id") != F.col("centre")))
-        if not sizes.where(F.col("size") > bound).limit(1).count():
+        part = F.pmod(F.xxhash64("doc_id", F.lit(level)), F.ceil(F.col("size") / bound))
+        rows = members.select("key", "size", "doc_id", F.xxhash64("key", part).alias("part")).join(details, "doc_id")
+        rows = rows.repartition("part").sortWithinPartitions("part", F.xxhash64("doc_id"), "doc_id").select("part", "key", "size", "doc_id", "n", "low")
+        claims = keep(rows.mapInArrow(led, "key long, a long, b long"), "claims")
+        found.append(claims.where("b is not null").select("a", "b"))
+        leaders = claims.where("b is null").select("key", F.col("a").alias("doc_id"))
+        now = leaders.count()
+        # Leaders that stay as many are unlike each other; what they miss is looked at with the pairs of unlike classes.
+        if not now or before is not None and now > 0.9 * before:
             break
-        star = (big.join(details, "doc_id")
-                .join(details.select(F.col("doc_id").alias("centre"), F.col("n").alias("cn"), F.col("low").alias("cl")), "centre")
-                .select("key", "doc_id", "centre", "n", "low", "cn", "cl"))
-        compared = keep(map_batches(star, like_centre, "key long, doc_id long, centre long, sim double"), "star")
-        found.append(compared.where(F.col("sim") >= PLAUSIBLE).select(F.col("doc_id").alias("a"), F.col("centre").alias("b")))
-        rest = compared.where(F.col("sim") < threshold).select("key", "doc_id")
-        if level < EXTRA:
-            extra = parts.select("doc_id", F.col("parts")[tables + level].alias("x"))
-            rest = rest.join(extra, "doc_id").select("doc_id", F.xxhash64("key", "x").alias("key"))
-        state, level = keep(rest.select("doc_id", "key"), "buckets"), level + 1
+        members = keep(leaders.join(leaders.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "bucket-members")
+        level, before = level + 1, now
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.union(f)
@@ -276,6 +277,46 @@ def _candidates(parts: DataFrame, tables: int, bound: int, threshold: float) ->
         "a", (F.col("x") + F.col("y") - F.col("a")).alias("b"))
 
 
+def _open_pairs(members: DataFrame, details: DataFrame, labels: DataFrame, checked: DataFrame, bound: int) -> DataFrame:
+    """(a, b, like) of all texts that share a bucket but no class, look at least PLAUSIBLE alike and haven't been compared yet.
+
+    Buckets are cut in blocks of about ``bound`` texts; a class that is larger
+    has blocks of its own, which needn't meet each other.
+    """
+    named = _labelled(members.select("key", "doc_id"), labels)
+    classes = keep(named.groupBy("key", "lab").agg(F.count("*").alias("n_class")), "bucket-classes")
+    mixed = (classes.groupBy("key").agg(F.count("*").alias("n_classes"), F.sum(F.when(F.col("n_class") <= bound, F.col("n_class")).otherwise(0)).alias("n_loose"))
+             .where("n_classes > 1").drop("n_classes"))
+    whole = F.col("n_class") > bound
+    of_class = classes.join(mixed, "key").select("key", "lab", whole.alias("whole"), F.when(whole, F.col("lab")).otherwise(0).alias("home"),
+                                                 F.ceil(F.when(whole, F.col("n_class")).otherwise(F.col("n_loose")) / bound).alias("cuts"))
+    block = F.struct("whole", "home", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).alias("cut"))
+    rows = keep(named.join(of_class, ["key", "lab"]).select("key", "doc_id", "lab", block.alias("block")).join(details, "doc_id"), "bucket-blocks")
+    blocks = keep(rows.select("key", "block").distinct(), "blocks")
+    meet = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "key").where(
+        "x <= y and not (x.whole and y.whole and x.home = y.home)")
+    meet = keep(meet.select("key", "x", "y", F.xxhash64("key", "x", "y").alias("g")), "blocks-met")
+    columns = ["g", "side", "doc_id", "lab", "n", "low"]
+    sides = (rows.join(meet.select("key", F.col("x").alias("block"), "g"), ["key", "block"]).withColumn("side", F.lit(0)).select(*columns)
+             .union(rows.join(meet.where("x <> y").select("key", F.col("y").alias("block"), "g"), ["key", "block"]).withColumn("side", F.lit(1)).select(*columns)))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches):
+            blocks = []
+            for s in (0, 1):
+                if side := [r[1:] for r in rows if r[0] == s]:
+                    ids, lab, n, low = zip(*side, strict=True)
+                    blocks.append((np.array(ids), np.array(lab), np.array(n), _matrix(low)))
+            if pairs := list(apart(blocks[0], blocks[1] if len(blocks) > 1 else None)):
+                a, b, like = zip(*pairs, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(like)], ["a", "b", "like"])
+
+    pairs = sides.repartition("g").sortWithinPartitions("g", "side", "doc_id").mapInArrow(compared, "a long, b long, like double")
+    done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return (pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("like").alias("like"))
+            .join(done.hint("merge"), ["a", "b"], "left_anti"))
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """(a, b) -> (a, b, sim), sim null where the texts are not similar."""
     # Shuffled at every size: a plan that broadcasts few pairs at first would shuffle texts only on larger inputs.
@@ -298,6 +339,19 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
             .withColumn("lab", F.coalesce("class_id", "doc_id")).drop("class_id"))
 
 
+def _verified(pairs: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verify the pairs of texts that aren't in one class yet: (links, labels) with what was found, and the pairs compared."""
+    left = _labelled(pairs.withColumnRenamed("a", "doc_id"), labels).select(F.col("doc_id").alias("a"), F.col("lab").alias("la"), F.col("b").alias("doc_id"))
+    todo = keep(_labelled(left, labels).where("la <> lab").select("a", F.col("doc_id").alias("b")), "to-check")
+    if not todo.limit(1).count():
+        return links, labels, todo
+    found = keep(_verify(todo, texts, k, threshold), "checked").where("sim is not null")
+    if found.limit(1).count():
+        links = links.union(found)
+        labels = keep(components(links), "classes")
+    return links, labels, todo
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8,
                     tables: int = 12, width: int = 3, bound: int = 500) -> DataFrame:
     """One row per id: doc_id, class_id (smallest id of its class), n_links (links found to other texts by comparison).
@@ -310,19 +364,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sk = keep(_sketches(base, k, tables, width).dropDuplicates(["doc_id"]), "sketches")
     reps = keep(sk.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
     parts = keep(sk.where("digest is not null").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "parts")
-    pairs = keep(_candidates(parts, tables, bound, threshold), "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = keep(base.join(involved.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    details = parts.select("doc_id", "n", "low")
+    members = _members(parts)
+    texts = keep(base.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    claims = keep(_claims(members, details, bound, threshold), "pairs")
     # First one pair for each text, with the other text of least hash: most members of a group meet there.
-    first = pairs.groupBy("a").agg(F.min(F.struct(F.xxhash64("b"), F.col("b").alias("id"))).alias("c")).select("a", F.col("c.id").alias("b"))
+    first = claims.groupBy("a").agg(F.min(F.struct(F.xxhash64("b"), F.col("b").alias("id"))).alias("c")).select("a", F.col("c.id").alias("b"))
     links = keep(_verify(first, texts, k, threshold), "checked").where("sim is not null")
     labels = keep(components(links), "classes")
-    # Then the other pairs of texts that aren't in one class yet.
-    more = pairs.join(first, ["a", "b"], "left_anti").withColumnRenamed("a", "doc_id")
-    more = _labelled(more, labels).select(F.col("doc_id").alias("a"), F.col("lab").alias("la"), F.col("b").alias("doc_id"))
-    more = _labelled(more, labels).where("la <> lab").select("a", F.col("doc_id").alias("b"))
-    links = links.union(keep(_verify(more, texts, k, threshold), "checked").where("sim is not null"))
-    labels = keep(components(links), "classes")
+    # Then the other claims of texts that aren't in one class yet, then all that is left open in the buckets, the likeliest first.
+    links, labels, tried = _verified(claims.join(first, ["a", "b"], "left_anti"), links, labels, texts, k, threshold)
+    pairs = keep(_open_pairs(members, details, labels, first.union(tried), bound), "open-pairs")
+    best = lambda x, y: pairs.groupBy(F.col(x).alias("t")).agg(F.max(F.struct("like", F.col(y).alias("o"))).alias("c"))
+    likeliest = best("a", "b").union(best("b", "a")).groupBy("t").agg(F.max("c").alias("c")).select(F.least("t", "c.o").alias("a"), F.greatest("t", "c.o").alias("b")).distinct()
+    links, labels, _ = _verified(likeliest, links, labels, texts, k, threshold)
+    rest = pairs.join(likeliest.hint("merge"), ["a", "b"], "left_anti")
+    for some in (F.col("like") >= threshold, F.col("like") < threshold):
+        links, labels, _ = _verified(rest.where(some).select("a", "b"), links, labels, texts, k, threshold)
     n_links = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     rep_class = _labelled(reps.select(F.col("rep").alias("doc_id"), "digest"), labels).select("digest", F.col("lab").alias("class_id"))
     out = sk.select("doc_id", "digest").join(keep(rep_class, "rep-class"), "digest", "left")

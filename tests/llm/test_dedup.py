@@ -116,6 +116,26 @@ def test_near_duplicates_equal_brute_force(make, bound):
     assert len(rows) == len(docs)
 
 
+def template_pages(seed, edits, apart=3, n=40, size=200):
+    """Pairs of pages of one template: pages of different pairs are 0.73 to 0.79 alike, those of a pair by ``edits`` changed words."""
+    rng = np.random.default_rng(seed)
+    base, docs = [f"w{i}" for i in range(size)], []
+    for i in range(n):
+        one = list(base)
+        for at in rng.choice(np.arange(3, size // 7) * 7, apart, replace=False):
+            one[at] = f"x{i}a{at}"
+        two = list(one)
+        for at in rng.choice(np.array([j for j in np.arange(3, size // 7) * 7 if one[j] == base[j]]), edits, replace=False):
+            two[at] = f"y{i}a{at}"
+        docs += [" ".join(one), " ".join(two)]
+    return list(enumerate(docs))
+
+
+def test_failed_claims_come_back(make):
+    docs = template_pages(1, 3)
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(make(docs)).collect()} == brute_classes(docs)
+
+
 def test_near_duplicates_of_driver_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
