@@ -25,8 +25,10 @@ from quarry.llm import files
 from quarry.llm.common import NULL_ID, keep, map_batches, null_id
 
 MAGIC = b"WARC/1.1\r\n"
-#: A header that is longer isn't taken for one.
-MAX_HEADER = 65_536
+#: Bytes read behind a split for a header that goes on there; doubled until the header's end is found.
+AHEAD = 65_536
+#: Lengths of more digits than a file can have aren't lengths.
+LENGTH = re.compile(r"[0-9]{1,17}")
 CONTROL = re.compile(r"[\x00-\x20\x7f]")
 
 
@@ -54,16 +56,37 @@ def page_record(page_id: int, url: str | None, html: bytes, digest: str, refers_
 
 def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """Header fields (lower-case names) of a record at ``at`` and the offset of its block; None if there is no whole header."""
-    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
-    if end < 0 or not data.startswith(MAGIC, at):
+    if not data.startswith(MAGIC, at):
         return None
-    fields = {}
-    for line in data[at + len(MAGIC):end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
-        if not colon:
+    fields, at = {}, at + len(MAGIC)
+    while (end := data.find(b"\r\n", at)) != at:
+        name, colon, value = data[at:end].partition(b":")
+        if end < 0 or not colon:
             return None
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    return (fields, end + 4) if fields.get("content-length", "").isdigit() else None
+        at = end + 2
+    return (fields, end + 2) if LENGTH.fullmatch(fields.get("content-length", "")) else None
+
+
+def unfinished(data: bytes, at: int) -> bool:
+    """Whether the header at ``at`` goes on behind the data: no blank line, and nothing before it that isn't a field."""
+    lines = data.find(b"\r\n", at)
+    while (end := data.find(b"\r\n", lines + 2)) >= 0:
+        if end == lines + 2 or data.find(b":", lines + 2, end) < 0:
+            return False
+        lines = end
+    return True
+
+
+def read_split(path: str, start: int, split_bytes: int) -> bytes:
+    """The split's bytes and as many more as the last candidate's header needs."""
+    length = split_bytes + AHEAD
+    while True:
+        data = files.read(path, start, length)
+        last = data.rfind(MAGIC, 0, split_bytes + len(MAGIC) - 1)
+        if last < 0 or len(data) < length or not unfinished(data, last):
+            return data
+        length *= 2
 
 
 def candidates(data: bytes, start: int, size: int) -> list[tuple[int, int, int]]:
@@ -142,20 +165,27 @@ def chains(found: DataFrame) -> DataFrame:
 
 
 def read(archives: DataFrame, split_bytes: int = 4_000_000) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the page records in the files (path, size)."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the page records in the files (path, size).
+
+    Fails if the records of a file don't follow each other up to its size.
+    """
     ranges = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))
     splits = keep(archives.where("size > 0").select("path", "size", F.explode(ranges).alias("start")), "warc-splits").repartition("path", "start")
 
     def scan(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for path, start in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-            data = files.read(path, start, split_bytes + MAX_HEADER + len(MAGIC))
+            data = read_split(path, start, split_bytes)
             rows += [(path, start, *c) for c in candidates(data, start, split_bytes)]
         cols = list(zip(*rows, strict=True)) or [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], ["path", "start", "offset", "after", "exit"])
 
     found = keep(map_batches(splits, scan, "path string, start long, offset long, after long, exit long"), "warc-candidates")
-    entries = chains(found).withColumn("start", F.col("offset") - F.col("offset") % split_bytes)
+    reached = chains(found)
+    ends = reached.select("path", F.col("offset").alias("size"))
+    for broken in archives.where("size > 0").join(ends.hint("merge"), ["path", "size"], "left_anti").limit(1).collect():
+        raise ValueError(f"{broken['path']}: the chain of records doesn't end at the file's size of {broken['size']} bytes")
+    entries = reached.withColumn("start", F.col("offset") - F.col("offset") % split_bytes)
     entered = entries.join(found.select("path", "offset", "exit").hint("merge"), ["path", "offset"])
 
     def payloads(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -124,6 +124,16 @@ def test_warc_round_trip_with_magic_in_payloads(spark, min_bytes):
     assert warc.read(warc.write(df.limit(0), files.new_folder(spark, "warc"))).count() == 0
 
 
+def test_warc_long_urls_and_broken_chains(spark):
+    pages = [(1, "u" * 200_000, "<p>a</p>"), (2, "http://h/", "b"), (3, "\x01" * 70_000, "c"), (4, "WARC/1.1", "d" * 100_000), (5, "x: " * 50_000, "<p>a</p>"), (6, None, "e")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    archives = warc.write(df, files.new_folder(spark, "warc"))
+    for split in (30_000, 4_000_000):
+        assert sorted(tuple(r) for r in warc.read(archives, split_bytes=split).collect()) == brute_warc([(i, h) for i, _, h in pages])
+    with pytest.raises(ValueError, match="chain"):
+        warc.read(archives.selectExpr("path", "size - 1 AS size"))
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(0, 1, 8).astype(np.float32).tolist()) for i in range(300)]
