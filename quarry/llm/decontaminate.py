@@ -9,21 +9,22 @@ least one block. Candidates are verified exactly: weighted similarity of the
 shingle multisets, sum of minima over sum of maxima, weight the number of
 characters of a shingle, at least ``threshold``.
 
-A window without any shingle of the benchmark has similarity 0, so only windows
-around a shared shingle are fingerprinted: the benchmark's shingles are joined
-to the documents' (broadcast if they are counted to be few, else a shuffled
-join). A window shifted by more than a quarter of the item (at 0.8) against the
-alignment of a shingle has lost too many others to be similar by it.
+A window can only be similar to an item if its shingles that the item has, in
+whatever order, weigh at least ``threshold`` times the item. So the benchmark's
+shingles are joined to the documents' (broadcast if they are counted to be few,
+else a shuffled join), a running sum over a document's shared shingles gives
+their weight in every window, and only windows that reach the bound are
+fingerprinted. A document shorter than the item is one window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import NULL_ID, keep, null_id, with_id
 
-#: Benchmark shingles up to this count are broadcast (about 24 bytes each).
+#: Benchmark shingles up to this count are broadcast (about 60 bytes each).
 BROADCAST_SHINGLES = 1_000_000
 
 
@@ -69,7 +70,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, k: in
     """(doc_id, item_id, start_word, n_words, similarity, hamming): for each document and item the best window, the first of equal ones.
 
     Null and empty texts, and documents or items of fewer than ``k`` words,
-    match nothing. Items of equal words match alike, each under its own id.
+    match nothing. A window has as many words as the item, or is the whole of
+    a shorter document. Items of equal words match alike, each under its own id.
     Rows that repeat a document id count as one document with their best
     window; a null item id is returned as null, as is a null document id.
     """
@@ -78,44 +80,60 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, k: in
     classes = keep(items.groupBy("words").agg(F.min("item_id").alias("item"), F.collect_set("item_id").alias("ids"))
                    .select("item", "ids", "words", F.size("words").alias("length")), "bench-items")
     places = keep(classes.select("item", "length", F.posexplode(_shingle_hashes(F.col("words"), k)).alias("at", "h")), "bench-places")
-    wanted = places.select("h", "item", "length", "at")
+    of_item = keep(_weighted(classes, ["item", "length"], "words", k), "bench-item-shingles")
+    total = lambda rows, keys, name: rows.groupBy(*keys).agg(F.sum(F.col("n") * F.col("weight")).alias(name))
+    item_totals = total(of_item, ["item"], "total")
+    firsts = places.groupBy("item", "h").agg(F.min("at").alias("first"))
+    wanted = keep(places.join(of_item.select("item", "h", "weight"), ["item", "h"]).join(firsts, ["item", "h"]).join(item_totals, "item")
+                  .select("h", "item", "length", "at", "weight", "total", (F.col("at") == F.col("first")).alias("first")), "bench-wanted")
     few = wanted.count() <= BROADCAST_SHINGLES
     text = with_id(docs, id_col, text_col)
-    rows = text.select("doc_id", _words(F.col("text")).alias("words")).where(F.size("words") >= k)
-    hashes = rows.select("doc_id", F.posexplode(_shingle_hashes(F.col("words"), k)).alias("pos", "h"))
-    hits = hashes.join(F.broadcast(wanted) if few else wanted, "h").select("doc_id", "item", "length", (F.col("pos") - F.col("at")).alias("start"))
-    # A window that is similar enough starts near the alignment of its shared shingles: their share limits the shift.
-    # Where a whole item stands as it is, no shifted window is more similar to it.
-    hits = hits.groupBy("doc_id", "item", "length", "start").agg(F.count("*").alias("votes"))
-    shift = F.when(F.col("votes") > F.col("length") - k, 0).otherwise(F.ceil(F.col("length") * F.lit(1.25 * (1 - threshold)))).cast("int")
-    around = hits.select("doc_id", "length", F.explode(F.sequence(F.col("start") - shift, F.col("start") + shift)).alias("start"))
-    starts = keep(around.where("start >= 0").distinct(), "bench-starts")
-    per_doc = starts.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spots"))
-    spots = rows.join(per_doc, "doc_id").select("doc_id", "words", F.explode("spots").alias("s"))
-    windows = keep(spots.where(F.col("s.start") + F.col("s.length") <= F.size("words"))
-                   .select("doc_id", F.col("s.start").alias("start"), F.col("s.length").alias("length"),
-                           F.expr("slice(words, s.start + 1, s.length)").alias("words")), "bench-windows")
+    # Rows of one id with different texts are told apart by the hash of their words.
+    rows = (text.select("doc_id", _words(F.col("text")).alias("words")).where(F.size("words") >= k).withColumn("row", F.xxhash64("words")))
+    hashes = rows.select("doc_id", "row", F.size("words").alias("size"), F.posexplode(_shingle_hashes(F.col("words"), k)).alias("pos", "h"))
+    one = ["doc_id", "row", "item"]
+    hits = keep(hashes.join(F.broadcast(wanted) if few else wanted, "h").drop("h").distinct(), "bench-hits")
+    # Where a whole item stands as it is, only an earlier window of all its shingles could be the first of the most similar.
+    aligned = hits.groupBy(*one, "length", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("votes"))
+    whole = aligned.where(F.col("votes") > F.col("length") - k).groupBy(*one).agg(F.min("start").alias("whole"))
+    shares = hits.where("first")
+    hopeful = (shares.groupBy(*one).agg(F.sum("weight").alias("share"), F.max("total").alias("total"))
+               .where(F.col("share") >= F.col("total") * threshold - 1e-6).select(*one).join(whole.hint("merge"), one, "left"))
+    # A shingle at pos is in the windows that start at pos - (length - k) to pos.
+    change = F.explode(F.array(F.struct((F.col("pos") - F.col("length") + k).alias("start"), F.col("weight").alias("by")),
+                               F.struct((F.col("pos") + 1).alias("start"), (-F.col("weight")).alias("by"))))
+    changes = (shares.join(hopeful.hint("merge"), one).select(*one, "length", "size", "total", "whole", change.alias("c"))
+               .groupBy(*one, "length", "size", "total", "whole", "c.start").agg(F.sum("c.by").alias("by")))
+    along = Window.partitionBy(*one).orderBy("start")
+    steps = (changes.withColumn("share", F.sum("by").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+             .withColumn("until", F.lead("start").over(along) - 1)
+             .where(F.col("share") >= F.col("total") * F.when(F.col("whole").isNull(), threshold).otherwise(1.0) - 1e-6))
+    low, high = F.greatest("start", F.lit(0)), F.least("until", F.greatest(F.col("size") - F.col("length"), F.lit(0)), "whole")
+    starts = keep(steps.select("doc_id", "row", "length", low.alias("low"), high.alias("high")).where("low <= high")
+                  .select("doc_id", "row", "length", F.explode(F.sequence("low", "high")).alias("start")).distinct(), "bench-starts")
+    per_doc = starts.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "length")).alias("spots"))
+    spots = rows.join(per_doc, ["doc_id", "row"]).select("doc_id", "words", F.explode("spots").alias("s"))
+    windows = keep(spots.select("doc_id", F.col("s.start").alias("start"), F.col("s.length").alias("length"),
+                                F.expr("slice(words, s.start + 1, s.length)").alias("words")), "bench-windows")
     # One fingerprint for each distinct window text: copies of a passage are fingerprinted and verified once.
-    windows = windows.withColumn("d1", F.xxhash64("words")).withColumn("d2", F.md5(F.concat_ws(" ", "words")))
+    windows = windows.withColumn("n_words", F.size("words")).withColumn("d1", F.xxhash64("words")).withColumn("d2", F.md5(F.concat_ws(" ", "words")))
     key = ["length", "d1", "d2"]
     texts = keep(windows.groupBy(*key).agg(F.first("words").alias("words")), "bench-texts")
     of_window = keep(_weighted(texts, key, "words", k), "bench-window-shingles")
-    of_item = keep(_weighted(classes, ["item", "length"], "words", k), "bench-item-shingles")
     left = _simhash(of_window, key).select(*key, "fp", F.explode(_blocks("fp", radius)).alias("b"))
     right = _simhash(of_item, ["item", "length"]).select("item", "length", F.col("fp").alias("item_fp"), F.explode(_blocks("fp", radius)).alias("b"))
     near = (left.join(right, ["length", "b"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
             .where(F.col("hamming") <= radius).select(*key, "item", "hamming").distinct())
-    total = lambda rows, keys, name: rows.groupBy(*keys).agg(F.sum(F.col("n") * F.col("weight")).alias(name))
     near = keep(near.join(total(of_window, key, "tw"), key).join(total(of_item, ["item", "length"], "ti"), ["item", "length"]), "bench-near")
     shared = (near.join(of_window, key).join(of_item.select("item", "length", "h", F.col("n").alias("m")), ["item", "length", "h"])
               .groupBy(*key, "item", "hamming", "tw", "ti").agg(F.sum(F.least("n", "m") * F.col("weight")).alias("both")))
     alike = keep(shared.withColumn("similarity", F.col("both") / (F.col("tw") + F.col("ti") - F.col("both")))
                  .where(F.col("similarity") >= threshold).select(*key, "item", "hamming", "similarity"), "bench-alike")
-    best = F.max_by(F.struct("start", "length", "similarity", "hamming"), F.struct("similarity", -F.col("start")))
-    found = windows.select("doc_id", "start", *key).join(alike, key).groupBy("doc_id", "item").agg(best.alias("b"))
+    best = F.max_by(F.struct("start", "n_words", "similarity", "hamming"), F.struct("similarity", -F.col("start")))
+    found = windows.select("doc_id", "start", "n_words", *key).join(alike, key).groupBy("doc_id", "item").agg(best.alias("b"))
     named = found.join(classes.select("item", F.explode("ids").alias("item_id")), "item")
     return named.select(null_id("doc_id"), F.when(F.col("item_id") != NULL_ID, F.col("item_id")).alias("item_id"), F.col("b.start").cast("long").alias("start_word"),
-                        F.col("b.length").cast("long").alias("n_words"), F.col("b.similarity").alias("similarity"), F.col("b.hamming").alias("hamming"))
+                        F.col("b.n_words").cast("long").alias("n_words"), F.col("b.similarity").alias("similarity"), F.col("b.hamming").alias("hamming"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:

@@ -70,6 +70,20 @@ def test_decontamination_equals_brute_force(spark, make, sf):
     assert decontaminate.matches(make(docs), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_shortened_and_reordered_items(spark, make):
+    w = [f"word{i}" for i in range(100)]
+    items, half = [(1, " ".join(w))], w[50:] + w[:50]
+    docs = [(20, " ".join(["so", *half, "end"])), (21, " ".join(half)), (22, " ".join(["a", *w[:30], "b", *w[30:]]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    check(decontaminate.matches(make(docs), bench), brute_matches(docs, items))
+    short = [(30, " ".join(w[:-1])), (31, " ".join(w[3:-2])), (32, " ".join(w[:50])), (33, " ".join(half[1:]))]
+    got = {r["doc_id"]: (r["start_word"], r["n_words"], r["similarity"]) for r in decontaminate.matches(make(short), bench).collect()}
+    whole = lambda d: brute_matches([(0, d)], [(1, " ".join(w))])
+    assert got.keys() == {30, 31, 33} and [got[i][:2] for i in (30, 31, 33)] == [(0, 99), (0, 95), (0, 99)] and not whole(short[0][1])
+    size = lambda x: sum(sum(map(len, x[i:i + 5])) for i in range(len(x) - 4))
+    assert abs(got[30][2] - size(w[:-1]) / size(w)) < 1e-9 and abs(got[31][2] - size(w[3:-2]) / size(w)) < 1e-9
+
+
 def test_decontamination_of_driver_rows(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
