@@ -141,6 +141,11 @@ def test_large_buckets_of_unlike_pages(make):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(make(docs), bound=10).collect()} == brute_classes(docs)
 
 
+def test_links_that_look_weak_are_verified(make):
+    docs = template_pages(3, 4, n=60)
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(make(docs)).collect()} == brute_classes(docs)
+
+
 def test_near_duplicates_of_driver_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
