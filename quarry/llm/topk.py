@@ -6,8 +6,7 @@ meet cell blocks, never single vectors: the cells give a lower and an upper
 bound of every score, and a vector whose upper bound is below the k-th best
 lower bound of its block can't be in the result. The surviving (query, vector)
 pairs are cut again by the k-th best lower bound over all blocks; only then are
-exact vectors read, in order of their bounds, as long as an upper bound reaches
-the k-th exact score so far.
+exact vectors read, those of all pairs left, in one join and in no order.
 """
 
 from __future__ import annotations
