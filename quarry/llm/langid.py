@@ -11,16 +11,16 @@ rejected, the least one whose accepted predictions are right often enough.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import hash_below, map_batches
 
-LETTER = re.compile(r"[^\W\d_]")
+#: Unicode category L, as in training: no fractions, superscripts, circled or Roman numerals.
+LETTER = regex.compile(r"\p{L}")
 #: Bytes that aren't ASCII letters or part of a longer character become blanks.
 FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)

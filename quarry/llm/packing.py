@@ -53,6 +53,26 @@ def best_pattern(price: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[f
     return float(worth[capacity]), pattern
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """Inverse of a regular matrix by row elimination, element by element.
+
+    The driver holds a JVM session, beside which LAPACK's threads can wait for ever.
+    """
+    m = len(a)
+    left, right = a.astype(float), np.eye(m)
+    for j in range(m):
+        i = j + int(np.abs(left[j:, j]).argmax())
+        if i != j:
+            left[[i, j]], right[[i, j]] = left[[j, i]], right[[j, i]]
+        right[j] /= left[j, j]
+        left[j] /= left[j, j]
+        factor = left[:, j].copy()
+        factor[j] = 0.0
+        left -= factor[:, None] * left[j]
+        right -= factor[:, None] * right[j]
+    return right
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often each is used, in a solution of the linear program that meets the demand.
 
@@ -63,8 +83,8 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
     m = len(sizes)
     columns = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / np.diag(columns))
-    used = inverse @ demand
-    bound, mark, step = float(sizes @ demand) / capacity, np.inf, 0
+    used = (inverse * demand).sum(1)
+    bound, mark, step = float((sizes * demand).sum()) / capacity, np.inf, 0
     while True:
         price = inverse.sum(0)
         worth, pattern = best_pattern(price, sizes, capacity)
@@ -84,12 +104,12 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
         used -= amount * move
         used[out] = amount
         row = inverse[out] / move[out]
-        inverse -= np.outer(move, row)
+        inverse -= move[:, None] * row
         inverse[out] = row
         columns[:, out] = pattern
         if step % 200 == 0:  # rounding errors don't add up
-            inverse = np.linalg.inv(columns)
-            used = inverse @ demand
+            inverse = inverted(columns)
+            used = (inverse * demand).sum(1)
     return [(columns[:, j].astype(np.int64), max(0.0, float(used[j]))) for j in range(m)]
 
 

@@ -76,6 +76,35 @@ def test_plan_holds_every_piece_with_little_padding():
     assert used / room > 0.98
 
 
+def test_inverse_by_elimination():
+    a = np.random.default_rng(4).integers(0, 9, (40, 40)) + np.diag([0, *range(1, 40)])
+    a[0, 0] = 0  # the first pivot must come from another row
+    assert np.allclose((packing.inverted(a)[:, :, None] * a[None]).sum(1), np.eye(40), atol=1e-8)
+
+
+def test_linear_program_after_a_spark_job(spark):
+    """Over 1,000 steps, with their fresh inverses, beside a session that has run a job."""
+    assert spark.range(1000).groupBy("id").count().count() == 1000
+    rng = np.random.default_rng(7)
+    sizes = np.sort(rng.choice(np.arange(16, 512), 240, replace=False))
+    demand = rng.integers(1000, 100_000, len(sizes)).astype(float)
+    steps = 0
+    best = packing.best_pattern
+
+    def counted(*args):
+        nonlocal steps
+        steps += 1
+        return best(*args)
+
+    packing.best_pattern = counted
+    try:
+        used = packing.column_generation(sizes, demand, 512, gap=0)
+    finally:
+        packing.best_pattern = best
+    held = sum(p * n for p, n in used)
+    assert steps > 1000 and (held > demand * (1 - 1e-6)).all()
+
+
 def test_knapsack_equals_enumeration():
     sizes, price = np.array([3, 5, 7]), np.array([0.31, 0.55, 0.7])
     best = max(0.31 * a + 0.55 * b + 0.7 * c for a in range(8) for b in range(5) for c in range(4) if 3 * a + 5 * b + 7 * c <= 23)

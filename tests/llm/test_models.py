@@ -68,11 +68,11 @@ def test_language_held_out(spark):
 
 def test_language_edges(spark):
     rows = [(i, "the cat and the dog", "en") for i in range(30)] + [(i, "der hund und die katze", "de") for i in range(30, 60)]
-    rows += [(100, None, "en"), (101, "", "de"), (102, "123 !?", "en"), (103, "der hund und " * 50_000, None), (None, "the dog", "en"), (104, "the cat", None), (104, "the cat", None)]
+    rows += [(100, None, "en"), (101, "", "de"), (102, "123 !?", "en"), (105, "² ½ ① ³ Ⅳ", "en"), (103, "der hund und " * 50_000, None), (None, "the dog", "en"), (104, "the cat", None), (104, "the cat", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as score", "'x' as rejected")
     out = langid.predict(docs, langid.train(docs)).collect()
     by = {r["doc_id"]: r for r in out}
-    assert len(out) == len(rows) and [by[i]["lang_pred"] for i in (100, 101, 102)] == ["und"] * 3 and by[100]["score"] == 0
+    assert len(out) == len(rows) and [by[i]["lang_pred"] for i in (100, 101, 102, 105)] == ["und"] * 4 and by[100]["score"] == 0
     assert by[103]["lang_pred"] == "de" and by[104]["lang_pred"] == "en" and by[None]["lang_pred"] == "en"
     none = langid.predict(docs.limit(0), langid.train(docs.limit(0)))
     assert none.count() == 0
