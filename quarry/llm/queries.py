@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, files, langid, licenses, near_dedup, packing, suffix_dedup, token_files, tokens, topk, toxicity, warc
+from quarry.llm import decontaminate, files, langid, licenses, near_dedup, packing, spelling, suffix_dedup, token_files, tokens, topk, toxicity, warc, whitening
 from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,15 @@ coded AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(8),
 firsts AS (SELECT payload_digest, payload_bytes, min(page_id) AS first FROM coded GROUP BY ALL)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
     CASE WHEN page_id <> first THEN first END AS refers_to FROM coded JOIN firsts USING (payload_digest, payload_bytes)"""
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among all words of the documents, with their forms and roots."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first four principal components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
