@@ -38,17 +38,10 @@ INVERSE = pow(BASE, -1, 2**64)
 HELD_WORDS = 300_000
 
 
-def damaged(doc_id: int | None, run: str, modulus: int) -> str:
-    """The run, less one code point if ``modulus`` divides the crc32 of ``<doc_id>:<run>``."""
-    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
-    at = h % len(run)
-    return run[:at] + run[at + 1:] if h % modulus == 0 else run
-
-
 def word_counts(docs: DataFrame, least_n: int = 3, least_size: int = 5, modulus: int = 97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word, n) over whole texts: words of at least ``least_size`` code points found at least ``least_n`` times.
 
-    Counted within each task first, in tables of at most ``HELD_WORDS`` words and one text's.
+    A run loses the code point h % length if ``modulus`` divides h, the crc32 of ``<doc_id>:<run>``. Counted within each task first, in tables of at most ``HELD_WORDS`` words and one text's.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
@@ -171,12 +164,12 @@ def variants(docs: DataFrame, symbols: int = 6, least_n: int = 3, least_size: in
     """One row per word of the texts: word, form, root, n, n_near, form_n.
 
     Words are maximal runs of ``[A-Za-z\\u00C0-\\u00FF]`` of whole texts, A-Z in lower
-    case, some damaged by ``damaged``. Near words differ by one inserted, deleted or
+    case, some damaged as ``word_counts`` says. Near words differ by one inserted, deleted or
     replaced code point. A word's form is its most frequent near word (ties: the
     smallest in code-point order) if that is found at least twice as often, else null;
     its root is the last of the forms followed from it, or the word itself.
 
-    Null texts have no words, a null id reads as empty text in ``damaged``; rows
+    Null texts have no words, a null id counts as empty text in that crc32; rows
     that repeat an id count like any other. Empty tables give no rows. Other
     columns are not read. Words of any length take part.
     """
