@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, files, langid, licenses, near_dedup, packing, spelling, suffix_dedup, token_files, tokens, topk, toxicity, warc, whitening
+from quarry.llm import decontaminate, files, langid, licenses, near_dedup, packing, rlz_dedup, spelling, suffix_dedup, token_files, tokens, topk, toxicity, warc, whitening
 from quarry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,9 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the first four principal components, whitened."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing repeated windows of 35 words leaves of every document."""
+    return rlz_dedup.repeats(table(spark, sf_dir, "documents"), result="digest")
