@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -47,6 +49,18 @@ def drop_kept(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Give back driver memory that earlier work no longer needs: Python's and Arrow's freed blocks, and what the JVM holds for
+    unreachable broadcasts, shuffles and plans."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+    spark.sparkContext._jvm.System.gc()
+
+
 def with_id(df: DataFrame, id_col: str, text_col: str, as_id: str = "doc_id", as_text: str = "text") -> DataFrame:
     """Only the id (null as NULL_ID) and the text (null as empty) of ``df``: clashing extra columns stay out."""
     return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias(as_id),

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hash_below, map_batches
+from quarry.llm.common import hash_below, map_batches, release
 
 #: Words, and sentence ends, which break chains.
 TOKEN = re.compile(r"\w+|[.!?\n]")
@@ -188,7 +188,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 3000, max_tr
     sample = (docs.select(F.col(id_col).alias("id"), text.alias("text")).where(F.length(text) <= max_train_chars)
               .join(F.broadcast(ids), "id").dropDuplicates(["id"]).collect())  # at most max_train_rows ids
     sample.sort(key=lambda r: r["id"])
-    return fit([r["text"] for r in sample], np.array([r["y"] for r in sample]), prior)
+    texts, toxic = [r["text"] for r in sample], np.array([r["y"] for r in sample])
+    del sample
+    model = fit(texts, toxic, prior)
+    del texts
+    release(spark)
+    return model
 
 
 def _score_batch(texts: list[str | None], model: dict) -> tuple[np.ndarray, list[list[dict]]]:
