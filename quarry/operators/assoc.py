@@ -1,20 +1,23 @@
 """Association statistics (D1-D10): correlation, quantile bins, mutual information.
 
-All of them reduce the raw rows once into a small table (a Gram matrix, a
-k x p projection, a contingency table) with map-side partial aggregation;
-the math that follows runs on that small table.
+All of them reduce the raw rows once into a small table (a Gram matrix by
+column blocks, a k x p projection, a contingency table) that is summed within
+each task first; the math that follows runs on that small table.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.freq import (exact_quantiles, fill_shifted_ranks, numeric_frequency, ranked_frequency,
-                                   value_frequency)
+from quarry.operators.freq import distinct_counts, value_frequency
 from quarry.operators.profile import columns_by_kind
+from quarry.operators.radix import interpolated, quantile_ranks, quantiles, select_ranks
 
 # Fixed values of the reference's mutual-information report.
 BIN_COUNTS = (10, 20, 30)
@@ -32,33 +35,90 @@ OTHER = "Other"
 # Exact mean-imputed Pearson (one-pass Gram matrix)
 # ---------------------------------------------------------------------------
 
+#: Columns of a block of the Gram matrix, and rows a task multiplies at a time.
+BLOCK = 64
+BLOCK_ROWS = 8192
+
+
 def _means(df: DataFrame, cols: list[str]) -> dict[str, float]:
     row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
     return {c: row[c] for c in cols}
 
 
+def gram(df: DataFrame, cols: list[str], block: int = BLOCK) -> DataFrame:
+    """``(i, j, v)`` for i <= j: sums over all rows of column i times column j; NULL counts as 0.
+
+    Each task multiplies blocks of columns as dense matrices and hands on one sum per
+    pair of blocks; these are dealt out by the pair and added up as they stream by.
+    A task holds one matrix of partial sums, an exchange one block pair of each task,
+    and the plan has one expression per column.
+    """
+    p = len(cols)
+    edges = list(range(0, p, block))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((p, p))
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK_ROWS):
+                part = b.slice(at, BLOCK_ROWS)
+                m = np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns])
+                for bi in edges:
+                    left = m[bi:bi + block]
+                    for bj in edges:
+                        if bj >= bi:
+                            total[bi:bi + block, bj:bj + block] += left @ m[bj:bj + block].T
+        pairs = [(bi, bj) for bi in edges for bj in edges if bj >= bi]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int32()), pa.array([y for _, y in pairs], pa.int32()),
+                                          pa.array([total[x:x + block, y:y + block].tobytes() for x, y in pairs], pa.binary())], ["bi", "bj", "sums"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        for b in batches:
+            for bi, bj, sums in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                m = np.frombuffer(sums).reshape(min(block, p - bi), min(block, p - bj))
+                if (bi, bj) == at:
+                    total += m
+                else:
+                    if at:
+                        yield cells(at, total)
+                    at, total = (bi, bj), m.copy()
+        if at:
+            yield cells(at, total)
+
+    def cells(at: tuple[int, int], m: np.ndarray) -> pa.RecordBatch:
+        i, j = np.indices(m.shape)
+        i, j = i.ravel() + at[0], j.ravel() + at[1]
+        upper = i <= j
+        return pa.RecordBatch.from_arrays([pa.array(i[upper], pa.int32()), pa.array(j[upper], pa.int32()), pa.array(m.ravel()[upper])], ["i", "j", "v"])
+
+    values = df.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"v{i}") for i, c in enumerate(cols)])
+    sums = values.mapInArrow(partial, "bi int, bj int, sums binary").repartition("bi", "bj").sortWithinPartitions("bi", "bj")
+    return sums.mapInArrow(added, "i int, j int, v double")
+
+
+def _cosines(cells: DataFrame, cols: list[str]) -> DataFrame:
+    """``(col_a, col_b, corr)`` for all ordered pairs, from the upper half of a Gram matrix; zero where a column has no variance.
+
+    The diagonal, one row per column, is joined to the cells; no side is larger than the matrix.
+    """
+    names = F.array(*[F.lit(c) for c in cols])
+    own = cells.where("i = j").select(F.col("i").alias("k"), F.col("v").alias("s"))
+    both = (cells.join(own.select(F.col("k").alias("i"), F.col("s").alias("si")), "i")
+            .join(own.select(F.col("k").alias("j"), F.col("s").alias("sj")), "j"))
+    corr = F.when((F.col("si") > 0) & (F.col("sj") > 0), F.col("v") / F.sqrt(F.col("si") * F.col("sj"))).otherwise(F.lit(0.0))
+    a, b = names[F.col("i")], names[F.col("j")]
+    pair = F.array(F.struct(a.alias("col_a"), b.alias("col_b")), F.struct(b.alias("col_a"), a.alias("col_b")))
+    return both.select(F.explode(F.when(F.col("i") == F.col("j"), F.slice(pair, 1, 1)).otherwise(pair)).alias("p"), corr.alias("corr")).select("p.*", "corr")
+
+
 def pearson_mean_imputed(df: DataFrame, cols: list[str], digits: int = 4) -> DataFrame:
     """Cosine of mean-centred columns with NULL -> 0; zero variance -> 0 (diagonal too).
 
-    One scan sums all p(p+1)/2 centred cross products (partial aggregation per
-    task); the p column means are a bounded statistic taken first.
+    One scan for the p means, one for the blocked Gram matrix of the centred columns.
     """
     means = _means(df, cols)
-    z = {c: F.coalesce(F.col(c).cast("double") - F.lit(means[c] if means[c] is not None else 0.0), F.lit(0.0))
-         for c in cols}
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    sums = df.agg(*[F.sum(z[a] * z[b]).alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
-    entries = []
-    idx = {p: i for i, p in enumerate(pairs)}
-    for a in cols:
-        for b in cols:
-            key = (a, b) if (a, b) in idx else (b, a)
-            saa, sbb = F.col(f"s{idx[(a, a)]}"), F.col(f"s{idx[(b, b)]}")
-            sab = F.col(f"s{idx[key]}")
-            corr = F.when((saa > 0) & (sbb > 0), sab / F.sqrt(saa * sbb)).otherwise(F.lit(0.0))
-            entries.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                    F.bround(corr, digits).alias("corr")))
-    return sums.select(F.inline(F.array(*entries)))
+    centred = df.select(*[(F.col(c).cast("double") - F.lit(means[c] if means[c] is not None else 0.0)).alias(c) for c in cols])
+    return _cosines(gram(centred, cols), cols).withColumn("corr", F.bround("corr", digits))
 
 
 def target_correlation(corr: DataFrame, target: str) -> DataFrame:
@@ -118,54 +178,34 @@ def pcc_sketch(df: DataFrame, cols: list[str], target: str | None = None, eps: f
                                      F.lit(k).alias("_k"))
     j = proj.join(stats, "_run")
     zs = {c: F.coalesce(F.try_divide(F.col(c) - F.col(f"m_{c}"), F.col(f"s_{c}")), F.lit(0.0)) for c in cols}
-    aggs = []
-    for a in cols:
-        for b in cols:
-            aggs.append(F.avg(zs[a] * zs[b]).alias(f"{a}__{b}"))
-    per_run = j.groupBy("_run", "_k").agg(*aggs)
-    entries = []
-    for a in cols:
-        for b in cols:
-            caa, cbb = F.col(f"{a}__{a}"), F.col(f"{b}__{b}")
-            r = F.when((caa > 0) & (cbb > 0), F.col(f"{a}__{b}") / F.sqrt(caa * cbb)).otherwise(F.lit(0.0))
-            if target is not None and a == target and b == target:
-                r = F.lit(1.0)
-            entries.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("corr")))
-    long = per_run.select("_run", F.inline(F.array(*entries)))
-    return long.groupBy("col_a", "col_b").agg(F.bround(F.avg("corr"), digits).alias("corr"))
+    # the runs stand side by side as p columns each, so one Gram matrix holds them all
+    wide = j.select(*[F.when(F.col("_run") == run, zs[c]).alias(f"{run} {c}") for run in range(n_projections) for c in cols])
+    cells = gram(wide, wide.columns).where(F.floor(F.col("i") / len(cols)) == F.floor(F.col("j") / len(cols)))
+    long = _cosines(cells, [c for _ in range(n_projections) for c in cols])
+    corr = F.bround(F.avg("corr"), digits)
+    if target is not None:
+        corr = F.when((F.col("col_a") == target) & (F.col("col_b") == target), F.lit(1.0)).otherwise(corr)
+    return long.groupBy("col_a", "col_b").agg(corr.alias("corr"))
 
 
 # ---------------------------------------------------------------------------
 # Quantile binning
 # ---------------------------------------------------------------------------
 
-def quantile_edges(freq: DataFrame, bin_counts=BIN_COUNTS, ranked: DataFrame | None = None) -> DataFrame:
-    """Equal-frequency edges per (column, bins) with near-duplicate edges merged.
+def edge_probs(bin_counts=BIN_COUNTS) -> list[float]:
+    """Probabilities of the edges of all bin counts, so that one selection serves them all."""
+    return sorted({i / b for b in bin_counts for i in range(b + 1)})
 
-    Returns ``(column, bins, edges array<double>, inner array<double>)``;
-    ``inner`` excludes the outer edges, as used by the right-side search.
-    All bin counts come from one quantile pass (the union of their probabilities).
-    """
-    probs = sorted({i / b for b in bin_counts for i in range(b + 1)})
-    qs = exact_quantiles(freq, probs, ranked=ranked)
-    allq = qs.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("p", "q"))).alias("pq"))
-    def on_grid(b):  # probability i/b for some integer i (a one-argument lambda: no index)
-        return lambda s: F.abs(s["p"] * b - F.round(s["p"] * b)) < 1e-9
 
-    per_bins = F.array(*[F.struct(F.lit(b).alias("bins"),
-                                  F.transform(F.filter(F.col("pq"), on_grid(b)), lambda s: s["q"]).alias("raw"))
-                         for b in bin_counts])
-    edges = allq.select("column", F.inline(per_bins))
-    # keep edge i when it exceeds the previous edge by more than the tolerance
-    kept = F.filter(F.col("raw"), lambda e, i: (i == 0) | (e - F.col("raw")[i - 1] > EDGE_TOLERANCE))
-    edges = edges.withColumn("edges", kept)
-    return edges.select("column", "bins", "edges",
-                        F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0))).alias("inner"))
+def inner_edges(at: dict[float, float | None], bins: int) -> list[float]:
+    """Equal-frequency edges from quantiles by probability, near-duplicate ones merged, without the outer two.
 
-
-def bin_index(x: Column, inner: Column) -> Column:
-    """Right-side search: number of inner edges <= x (value on an inner edge goes right)."""
-    return F.size(F.filter(inner, lambda e: e <= x))
+    Edge i stays when it exceeds the one before it by more than the tolerance.
+    """
+    raw = [at[i / bins] for i in range(bins + 1)]
+    if raw[0] is None:
+        return []
+    return [e for i, e in enumerate(raw) if i == 0 or e - raw[i - 1] > EDGE_TOLERANCE][1:-1]
 
 
 def bin_chain(x: Column, inner: list[float]) -> Column:
@@ -176,16 +216,9 @@ def bin_chain(x: Column, inner: list[float]) -> Column:
     return expr.otherwise(F.lit(len(inner)))
 
 
-def collect_edges(edges: DataFrame, key: str = "column") -> dict:
-    """(key, bins) -> inner edges; bounded by columns x bin counts x edges."""
-    return {(r[key], r["bins"]): list(r["inner"]) for r in edges.select(key, "bins", "inner").collect()}
-
-
 def quantile_binning(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """Ordinal equal-frequency bin per row, appended as ``<col>_bin``."""
-    freq = numeric_frequency(df, [col])
-    edges = collect_edges(quantile_edges(freq, (bins,)))  # one edges list (<= bins - 1 values)
-    inner = edges.get((col, bins), [])
+    inner = inner_edges(quantiles(df, [col], edge_probs((bins,)))[col], bins)  # bins - 1 values at most
     return df.withColumn(f"{col}_bin", bin_chain(F.col(col).cast("double"), inner))
 
 
@@ -258,14 +291,13 @@ def stable_mi(df: DataFrame, target: str, bin_counts=BIN_COUNTS, near_zero: floa
               drop_null_target: bool = False, per_run: bool = False) -> DataFrame:
     """MI per feature at several bin counts -> avg, population std, flags.
 
-    One frequency table of the numeric columns (target included) gives their
-    distinct counts, medians and every quantile edge (median-filled ranks are
-    derived by shifting, not recomputed); one unpivot of all features, one
-    explode over the bin counts and one shuffle build the ``(feature, bins,
-    x, y)`` contingency table, bounded by features x bins x categories x classes.
+    One radix selection gives the medians and all quantile edges of the numeric
+    columns (ranks among median-filled values are ranks among the others, shifted).
+    Rows are binned once, on the merged edges of all bin counts, and counted once by
+    ``(feature, x, y)``; each bin count's contingency table is a sum over this one,
+    which is bounded by features x cells x categories x classes.
     """
     from pyspark.sql import Window
-    bins_arr = F.array(*[F.lit(b) for b in bin_counts])
     if drop_null_target:
         df = df.filter(F.col(target).isNotNull())
     kinds = columns_by_kind(df, exclude=(target,))
@@ -273,59 +305,47 @@ def stable_mi(df: DataFrame, target: str, bin_counts=BIN_COUNTS, near_zero: floa
     tdt = df.schema[target].dataType.simpleString()
     t_numeric = tdt in ("tinyint", "smallint", "int", "bigint", "float", "double") or tdt.startswith("decimal")
     num_cols = kinds["numeric"] + ([target] if t_numeric else [])
-    total = df.agg(F.count(F.lit(1))).scalar()
-
-    nfreq = numeric_frequency(df, num_cols) if num_cols else None
-    nun = {}
-    if nfreq is not None:
-        nun = {r["column"]: r["n"] for r in nfreq.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}  # p rows
-    if dates:
-        row = df.agg(*[F.count_distinct(c).alias(c) for c in dates]).first()
-        nun.update({c: row[c] for c in dates})
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(c).alias(f"d_{c}") for c in dates],
+                    F.count_if(F.col(target).isNull()).alias("no_target")).first()
+    rows, total = counts["n"], F.lit(counts["n"])
+    nun = {c: counts[f"d_{c}"] for c in dates}
+    if num_cols:
+        nun |= {r["column"]: r["unique_values"] for r in distinct_counts(df, num_cols).collect()}  # p rows
     lowcard = bools + [c for c in kinds["numeric"] + dates if nun.get(c, 0) <= LOW_CARDINALITY]
     numeric = [c for c in kinds["numeric"] if nun.get(c, 0) > LOW_CARDINALITY]
     t_binned = t_numeric and nun.get(target, 0) > LOW_CARDINALITY
-    if t_binned and df.filter(F.col(target).isNull()).limit(1).count() > 0:
+    if t_binned and counts["no_target"]:
         raise ValueError("numeric target with NULLs cannot be binned; pass drop_null_target=True")
 
-    feat_edges, tgt_edges, med_vals = {}, None, {}
-    ranked_cols = numeric + ([target] if t_binned else [])
-    if ranked_cols:
-        ranked = ranked_frequency(nfreq.filter(F.col("column").isin(*ranked_cols)))
-        if numeric:
-            nranked = ranked.filter(F.col("column").isin(*numeric))
-            med = exact_quantiles(None, [0.5], ranked=nranked, detail=True)
-            fills = (med.join(nranked.groupBy("column").agg(F.max("total").alias("total")), "column")
-                     .select("column", F.col("q").alias("m"), (F.lit(total) - F.col("total")).alias("k"),
-                             (F.col("v_lo") != F.col("v_hi")).alias("new"), "total"))
-            fills_rows = fills.collect()  # one row per numeric feature
-            med_vals = {r["column"]: r["m"] for r in fills_rows}
-            fills_df = df.sparkSession.createDataFrame(
-                [(r["column"], r["m"], r["k"], r["new"], r["total"]) for r in fills_rows],
-                "column string, m double, k long, new boolean, total long")
-            filled = fill_shifted_ranks(nranked, fills_df)
-            feat_edges = collect_edges(quantile_edges(None, bin_counts, ranked=filled))
-        if t_binned:
-            tgt_edges = collect_edges(quantile_edges(None, bin_counts, ranked=ranked.filter(F.col("column") == target)))
-
-    # target per bin count: binned (CASE chain on its edges) when numeric with > 5 distinct values
-    base = df
-    if tgt_edges is not None:
-        y_arr = F.array(*[bin_chain(F.col(target).cast("double"), tgt_edges.get((target, b), [])).cast("string")
-                          for b in bin_counts])
-    else:
-        y_arr = F.array(*[F.col(target).cast("string") for _ in bin_counts])
-    base = base.withColumn("_ys", F.arrays_zip(bins_arr.alias("bins"), y_arr.alias("y")))
-
-    def explode_bins(d: DataFrame) -> DataFrame:
-        return d.select("feature", "branch", "x", F.explode("_ys").alias("_b")).select(
-            "feature", "branch", "x", F.col("_b.bins").alias("bins"), F.col("_b.y").alias("y"))
+    probs = edge_probs(bin_counts)
+
+    def filled_rank(n: int, r: int) -> int | None:
+        """Rank among the n values of rank r among them and rows - n medians; None for one of these medians."""
+        below, above = (n - 1) // 2, n // 2
+        return r if r <= below else r - (rows - n) if r >= above + rows - n else None
+
+    def wanted(c: str, n: int) -> set[int]:
+        shifted = {filled_rank(n, r) for r in quantile_ranks(rows, probs)} if n else set()
+        return quantile_ranks(n, [0.5]) | {r for r in shifted if r is not None}
+
+    med_vals, edges = {}, {}
+    for c, (n, at) in select_ranks(df, numeric + ([target] if t_binned else []), wanted).items():
+        med = med_vals[c] = interpolated(n, at.__getitem__, 0.5)
+        value = lambda r, n=n, at=at, med=med: med if (own := filled_rank(n, r)) is None else at[own]
+        edges[c] = {b: inner_edges({p: interpolated(rows, value, p) for p in probs}, b) for b in bin_counts}
+    merged = {c: sorted({e for inner in own.values() for e in inner}) for c, own in edges.items()}
+
+    # the target's cell on its merged edges when numeric with > 5 distinct values
+    y = bin_chain(F.col(target).cast("double"), merged[target]).cast("string") if t_binned else F.col(target).cast("string")
+    base = df.withColumn("_y", y)
+
+    def unpivoted(columns: dict[str, Column], branch: str) -> DataFrame:
+        return (base.select(F.col("_y").alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), x.alias("x")) for c, x in columns.items()])).alias("kv"))
+                .select("kv.feature", F.lit(branch).alias("branch"), "kv.x", "y"))
 
     parts = []
     if strings:
-        s_long = base.select("_ys", F.explode(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c), F.lit(MISSING)).alias("x")) for c in strings])).alias("kv")
-        ).select("_ys", "kv.*")
+        s_long = unpivoted({c: F.coalesce(F.col(c), F.lit(MISSING)) for c in strings}, "onehot")
         sfreq = value_frequency(df.select(*[F.coalesce(F.col(c), F.lit(MISSING)).alias(c) for c in strings]), strings)
         card = sfreq.groupBy("column").agg(F.count(F.lit(1)).alias("card"))
         w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc())
@@ -335,41 +355,42 @@ def stable_mi(df: DataFrame, target: str, bin_counts=BIN_COUNTS, near_zero: floa
                .select(F.col("column").alias("feature"), F.col("value").alias("x")))
         keep = top.withColumn("_keep", F.lit(True))
         highs = card.filter(F.col("card") > max_cardinality).select(F.col("column").alias("feature"), F.lit(True).alias("_high"))
-        s_long = (s_long.join(F.broadcast(highs), "feature", "left")
-                  .join(F.broadcast(keep), ["feature", "x"], "left")  # <= features x top_k rows
-                  .withColumn("x", F.when(F.col("_high").isNull() | F.col("_keep").isNotNull(), F.col("x"))
-                              .otherwise(F.lit(OTHER)))
-                  .withColumn("branch", F.lit("onehot")))
-        parts.append(explode_bins(s_long))
+        parts.append(s_long.join(F.broadcast(highs), "feature", "left")
+                     .join(F.broadcast(keep), ["feature", "x"], "left")  # <= features x top_k rows
+                     .withColumn("x", F.when(F.col("_high").isNull() | F.col("_keep").isNotNull(), F.col("x")).otherwise(F.lit(OTHER)))
+                     .select("feature", "branch", "x", "y"))
     if lowcard:
-        l_long = base.select("_ys", F.explode(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("x"))
-            for c in lowcard])).alias("kv")).select("_ys", "kv.*").withColumn("branch", F.lit("lowcard"))
-        parts.append(explode_bins(l_long))
+        parts.append(unpivoted({c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in lowcard}, "lowcard"))
     if numeric:
-        # per feature and bin count the bin id comes from a literal CASE chain on the median-filled value
-        per_feat = []
-        for c in numeric:
-            filled_c = F.coalesce(F.col(c).cast("double"), F.lit(med_vals.get(c)).cast("double"))
-            xs = F.array(*[bin_chain(filled_c, feat_edges.get((c, b), [])).cast("string") for b in bin_counts])
-            per_feat.append(F.struct(F.lit(c).alias("feature"), F.arrays_zip(bins_arr.alias("bins"), xs.alias("x"),
-                                                                             y_arr.alias("y")).alias("bxy")))
-        n_long = (df.select(F.explode(F.array(*per_feat)).alias("f"))
-                  .select(F.col("f.feature").alias("feature"), F.explode("f.bxy").alias("b"))
-                  .select("feature", F.lit("numeric").alias("branch"), F.col("b.x").alias("x"),
-                          F.col("b.bins").alias("bins"), F.col("b.y").alias("y")))
-        parts.append(n_long)
+        # the cell id comes from a literal CASE chain on the median-filled value
+        parts.append(unpivoted({c: bin_chain(F.coalesce(F.col(c).cast("double"), F.lit(med_vals[c]).cast("double")), merged[c]).cast("string")
+                                for c in numeric}, "numeric"))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    cont = long.groupBy("feature", "branch", "bins", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    cells = long.groupBy("feature", "branch", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+    def bin_of(c: str) -> list[tuple[str, int, str]]:
+        """(cell, bins, bin): a cell lies in the bin whose lower edge is at or below its own."""
+        return [(str(cell), b, str(sum(e <= low for e in inner))) for b, inner in edges[c].items() for cell, low in enumerate([-math.inf, *merged[c]])]
+
+    spark = df.sparkSession
+    cells = cells.withColumn("bins", F.explode(F.array(*[F.lit(b) for b in bin_counts])))
+    if numeric:  # features x cells x bin counts, a table of edges
+        of_x = spark.createDataFrame([(c, *r) for c in numeric for r in bin_of(c)], "feature string, x string, bins int, x_bin string")
+        cells = cells.join(F.broadcast(of_x), ["feature", "x", "bins"], "left").withColumn(
+            "x", F.when(F.col("branch") == "numeric", F.col("x_bin")).otherwise(F.col("x")))
+    if t_binned:
+        of_y = spark.createDataFrame(bin_of(target), "y string, bins int, y_bin string")
+        cells = cells.join(F.broadcast(of_y), ["y", "bins"], "left").withColumn("y", F.col("y_bin"))
+    cont = cells.groupBy("feature", "branch", "bins", "x", "y").agg(F.sum("n").alias("n"))
     g = ["feature", "bins"]
     mi_std = mi_from_contingency(cont.filter(F.col("branch") != "onehot"), g, total)
     mi_oh = onehot_mi_from_contingency(cont.filter(F.col("branch") == "onehot"), g, total)
     runs = mi_std.unionByName(mi_oh)
     if per_run:
         return runs
-    out = runs.groupBy("feature").agg(F.avg("mi").alias("avg"), F.stddev_pop("mi").alias("std"))
+    out = runs.groupBy("feature").agg(F.avg("mi").alias("avg"), F.stddev_pop("mi").alias("std")).orderBy(F.desc("avg"), "feature")  # one row a feature
     return out.select(
         "feature", F.bround("avg", 6).alias("avg_mi"), F.bround("std", 6).alias("std_mi"),
         F.when(F.col("std") > UNSTABLE_STD, F.lit("Unstable")).otherwise(F.lit("Stable")).alias("stability"),

@@ -7,13 +7,17 @@ range-partitioned segmented scan so a hot key never lands in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.freq import exact_quantiles, numeric_frequency, value_frequency
+from quarry.operators.digests import digest_frequency, top_texts
+from quarry.operators.freq import value_frequency
 from quarry.operators.ordered import segmented_scan
 from quarry.operators.profile import columns_by_kind
+from quarry.operators.radix import quantiles
 
 STRATEGIES = ("drop", "mean", "median", "mode", "ffill", "bfill", "constant")
 
@@ -59,23 +63,30 @@ def fill_mean(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def fill_median(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Numeric columns with NULLs <- exact median (linear interpolation)."""
+    """Numeric columns with NULLs <- exact median (linear interpolation), by radix selection."""
     cols = list(cols if cols is not None else _numeric_cols(df))
     nulls = _null_counts(df, cols) if cols else {}
     cols = [c for c in cols if nulls.get(c, 0) > 0]
     if not cols:
         return df
-    med = exact_quantiles(numeric_frequency(df, cols), [0.5]).collect()  # p rows
-    return _fill_with(df, {r["column"]: r["q"] for r in med}, cast_double=True)
+    med = quantiles(df, cols, [0.5])
+    return _fill_with(df, {c: q[0.5] for c, q in med.items()}, cast_double=True)
 
 
 def mode_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Most frequent non-null value per column, smallest on a tie: ``(column, value)``."""
-    freq = value_frequency(df, cols, drop_null=True)
-    # typed ordering: compare numerically for numeric columns via a double key
-    w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("key_num").asc_nulls_last(), F.col("value").asc())
-    return (freq.withColumn("key_num", F.col("value").try_cast("double"))
-            .withColumn("rk", F.row_number().over(w)).filter(F.col("rk") == 1).select("column", "value"))
+    """Most frequent non-null value per column, smallest on a tie: ``(column, value)``; texts are counted by digest."""
+    texts = [f.name for f in df.schema.fields if f.name in cols and isinstance(f.dataType, T.StringType)]
+    others = [c for c in cols if c not in texts]
+    parts = []
+    if texts:
+        freq = digest_frequency(df, texts).filter(F.col("h1").isNotNull())
+        parts.append(top_texts(df, texts, 1, freq).select("column", "value"))
+    if others:
+        # typed ordering: compare numerically for numeric columns via a double key
+        w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("key_num").asc_nulls_last(), F.col("value").asc())
+        parts.append(value_frequency(df, others, drop_null=True).withColumn("key_num", F.col("value").try_cast("double"))
+                     .withColumn("rk", F.row_number().over(w)).filter(F.col("rk") == 1).select("column", "value"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fill_mode(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

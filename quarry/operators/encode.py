@@ -8,12 +8,12 @@ a single ``select``. One-hot category lists are bounded by the <= 50 rule.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.freq import value_frequency
+from quarry.operators.digests import cardinality
+from quarry.operators.freq import dictionary, value_frequency
 
 # Fixed values of the reference's encoding rules.
 ONEHOT_MAX = 50
@@ -66,6 +66,11 @@ def smallest_int_type(lo, hi) -> str:
     return "bigint"
 
 
+def drop_pii(df: DataFrame, protect=()) -> DataFrame:
+    """the table without columns whose name is that of personal data, but for protected ones."""
+    return df.drop(*[c for c in df.columns if c not in protect and is_pii_name(c)])
+
+
 def is_pii_name(name: str) -> bool:
     """column name contains name/email/phone, case-insensitive."""
     low = name.lower()
@@ -73,13 +78,12 @@ def is_pii_name(name: str) -> bool:
 
 
 def column_stats(df: DataFrame) -> dict[str, dict]:
-    """Rows, non-null distinct counts and integer min/max in two scans (p values returned)."""
+    """Rows, non-null distinct counts (of texts by digest) and integer min/max (p values returned)."""
     fields = df.schema.fields
     ints = [f.name for f in fields if isinstance(f.dataType, _INTS)]
     agg = df.agg(F.count(F.lit(1)).alias("__rows"),
                  *[F.min(c).alias(f"{c}__min") for c in ints], *[F.max(c).alias(f"{c}__max") for c in ints]).first()
-    nun = {r["column"]: r["n"] for r in value_frequency(df, None, drop_null=True)
-           .groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    nun = {r["column"]: r["unique_values"] for r in cardinality(df, df.columns).collect()}
     out = {}
     for f in fields:
         out[f.name] = {"rows": agg["__rows"], "nunique": nun.get(f.name, 0),
@@ -162,12 +166,17 @@ def encoding_report(spark, plan: list[dict]) -> DataFrame:
 
 
 def target_encode_label(df: DataFrame, target: str, output: str | None = None) -> DataFrame:
-    """label-encode a non-numeric target by sorted distinct values (never one-hot)."""
-    out = output or f"{target}_label"
-    model = StringIndexer(inputCol=target, outputCol=out, stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(df)
-    res = model.transform(df)
-    return res.withColumn(out, F.when(F.col(target).isNull(), F.lit(None)).otherwise(F.col(out).cast("int")))
+    """label-encode a non-numeric target by sorted distinct values (never one-hot); any number of them."""
+    codes = dictionary(df, [target]).select(F.col("value").alias("_value"), F.col("code").cast("int").alias(output or f"{target}_label"))
+    return df.join(codes, F.col(f"`{target}`").cast("string") == F.col("_value"), "left").drop("_value")
+
+
+def categories(df: DataFrame, col: str) -> list[str]:
+    """the sorted values of a column to be one-hot encoded; more than the one-hot rule's 50 are an error."""
+    rows = df.select(F.col(f"`{col}`").cast("string")).dropna().distinct().limit(ONEHOT_MAX + 1).collect()
+    if len(rows) > ONEHOT_MAX:
+        raise ValueError(f"{col} has more than {ONEHOT_MAX} values: hash it instead")
+    return sorted(r[0] for r in rows)
 
 
 def type_suggest(df: DataFrame, cols: list[str] | None = None, threshold: float = 1.0) -> DataFrame:

@@ -61,6 +61,20 @@ def numeric_frequency(df: DataFrame, cols: list[str]) -> DataFrame:
             .groupBy("column", "value", "own").agg(F.count(F.lit(1)).alias("n")).drop("own"))
 
 
+def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(column, unique_values)`` of numeric columns, NULL not counted: integers are grouped as longs, floating point
+    numbers as doubles and decimals by their own type, so no value becomes text and none is rounded."""
+    carriers: dict[str, list[str]] = {}
+    for c in cols:
+        t = df.schema[c].dataType
+        own = "double" if isinstance(t, (T.FloatType, T.DoubleType)) else t.simpleString() if isinstance(t, T.DecimalType) else "bigint"
+        carriers.setdefault(own, []).append(c)
+    parts = [df.select(*[F.col(c).cast(t).alias(c) for c in mine]).unpivot([], mine, "column", "value").filter(F.col("value").isNotNull())
+             .groupBy("column", "value").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("one").alias("unique_values"))
+             for t, mine in carriers.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _partitions(df: DataFrame, partitions: int | None) -> int:
     if partitions:
         return partitions
@@ -124,6 +138,17 @@ def ranked_frequency(freq: DataFrame, partitions: int | None = None) -> DataFram
                       (F.col("offset") + F.col("local_end")).alias("rank_hi"), "total")
 
 
+def dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(column, value, code)``: dense codes from 0 of the distinct non-null values of each column, as text, in their order.
+
+    A code is a rank after one range exchange, so no list of values is on the driver.
+    The table is written: the planner knows its size when it is joined back, and sends
+    it to the rows or shuffles both.
+    """
+    distinct = value_frequency(df, cols, drop_null=True).select("column", "value", F.lit(1).cast("long").alias("n"))
+    return materialize(ranked_frequency(distinct).select("column", "value", F.col("rank_lo").alias("code")), "dictionary")
+
+
 def column_totals(ranked: DataFrame) -> DataFrame:
     """Per-column non-null totals of a ranked table (small)."""
     return ranked.groupBy("column").agg(F.max("total").alias("total"))
@@ -160,30 +185,6 @@ def exact_quantiles(freq: DataFrame, probs: list[float], partitions: int | None
     return picked.select("column", "p", (F.col("v_lo") + frac * (F.col("v_hi") - F.col("v_lo"))).alias("q"), *extra)
 
 
-def fill_shifted_ranks(ranked: DataFrame, fills: DataFrame) -> DataFrame:
-    """Ranks of the distribution with ``k`` extra copies of ``m`` per column (NULL -> median fill).
-
-    ``fills``: (column, m, k, new) with ``new`` true when m is not an existing
-    value (even count with distinct middle values: it then sits at rank N/2).
-    Values above m shift by k; an existing m grows by k; a new m is added.
-    Narrow: one broadcast join of a one-row-per-column table, no new shuffle.
-    """
-    j = ranked.join(F.broadcast(fills.select("column", "m", "k")), "column", "left")
-    k = F.coalesce(F.col("k"), F.lit(0))
-    above = F.col("value") > F.col("m")
-    at = F.col("value") == F.col("m")
-    shifted = j.select(
-        "column", "value",
-        (F.col("n") + F.when(at, k).otherwise(0)).alias("n"),
-        (F.col("rank_lo") + F.when(above, k).otherwise(0)).alias("rank_lo"),
-        (F.col("rank_hi") + F.when(above | at, k).otherwise(0)).alias("rank_hi"),
-        (F.col("total") + k).alias("total"))
-    added = fills.filter(F.col("new") & (F.col("k") > 0)).select(
-        "column", F.col("m").alias("value"), F.col("k").alias("n"), F.floor(F.col("total") / 2).cast("long").alias("rank_lo"),
-        (F.floor(F.col("total") / 2) + F.col("k")).cast("long").alias("rank_hi"), (F.col("total") + F.col("k")).alias("total"))
-    return shifted.unionByName(added)
-
-
 def quantiles_wide(quant: DataFrame, names: dict[float, str]) -> DataFrame:
     """Pivot ``(column, p, q)`` to one row per column with named quantile fields."""
     aggs = [F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(n) for p, n in names.items()]

@@ -1,9 +1,10 @@
 """Column profiling.
 
 One wide partial aggregation per column chunk gives counts and moments in a
-single scan; the shared ``(column, value, n)`` frequency table gives nunique,
-top-k, entropy and exact quantiles. Everything is returned as long tables:
-one row per profiled column with a nullable superset schema.
+single scan, exact quantiles come from radix selection, and the shared
+``(column, value, n)`` frequency table gives top-k and entropy. Everything is
+returned as long tables: one row per profiled column with a nullable superset
+schema.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.freq import (exact_quantiles, numeric_frequency, quantiles_wide,
-                                   ranked_frequency, value_frequency)
+from quarry.operators.digests import digest_frequency, top_texts, two_valued
+from quarry.operators.freq import distinct_counts, value_frequency
 from quarry.operators.ordered import lag1_autocorr
+from quarry.operators.radix import quantiles
+from quarry.operators.sketches import sketch_profile, sketch_table
+from quarry.session import materialize
 
 # Fixed values of the reference profile.
 TOP_K = 10
@@ -86,20 +90,20 @@ def _pct(num: Column, den: Column) -> Column:
 # C0 / B11 / C2
 # ---------------------------------------------------------------------------
 
-def top_values(df: DataFrame, cols: list[str] | None = None, k: int = TOP_K, freq: DataFrame | None = None) -> DataFrame:
+def top_values(df: DataFrame | None, cols: list[str] | None = None, k: int = TOP_K, freq: DataFrame | None = None) -> DataFrame:
     """Top-k values per column by count (NULL counted), ties by value, NULL last.
 
-    ``row_number() <= k`` lets Spark insert a partial WindowGroupLimit before
-    the shuffle, so each task forwards at most k rows per column.
+    Values are counted by digest; given a frequency table with the values, by these.
+    Either way a limit per column runs in each task before the shuffle.
     """
-    freq = freq if freq is not None else value_frequency(df, cols)
+    if freq is None:
+        return top_texts(df, list(cols or df.columns), k)
     w = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())
     return freq.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def top_values_text(freq: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Top-k per column rendered as ``value:count|...`` in rank order (NULL shown as ``NULL``)."""
-    top = top_values(None, freq=freq, k=k)
+def top_values_text(top: DataFrame) -> DataFrame:
+    """Top values rendered as ``value:count|...`` in rank order (NULL shown as ``NULL``)."""
     item = F.struct(F.col("rank"), F.concat(F.coalesce(F.col("value"), F.lit("NULL")), F.lit(":"),
                                             F.col("n").cast("string")).alias("txt"))
     return top.groupBy("column").agg(
@@ -108,10 +112,7 @@ def top_values_text(freq: DataFrame, k: int = TOP_K) -> DataFrame:
 
 def binary_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Exactly two distinct values, NULL counting as one value."""
-    cols = list(cols or df.columns)
-    freq = value_frequency(df, cols)
-    counts = freq.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_with_null"))
-    return counts.select("column", (F.col("distinct_with_null") == 2).alias("is_binary"))
+    return df.sparkSession.createDataFrame(list(two_valued(df, list(cols or df.columns)).items()), "column string, is_binary boolean")
 
 
 def head_n(df: DataFrame, order: list[str], n: int = 10) -> DataFrame:
@@ -132,45 +133,38 @@ def basic_profile(df: DataFrame) -> DataFrame:
 # C3 / C4 / C5-C7 / C8-C9
 # ---------------------------------------------------------------------------
 
-def numeric_profile(df: DataFrame, cols: list[str] | None = None, partitions: int | None = None,
-                    approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """C4 (C17 with ``approx=True``): moments, exact quartiles, outliers, zero/missing share."""
+def numeric_profile(df: DataFrame, cols: list[str] | None = None, approx: bool = False, sketches: DataFrame | None = None) -> DataFrame:
+    """C4 (C17 with ``approx=True``): moments, exact quartiles, outliers, zero/missing share.
+
+    Quartiles come from radix selection (bucket counts are exchanged, no values), so
+    the fences are literals of the one aggregate that takes moments and outliers. Only
+    the exact number of distinct values exchanges values, once each per task. With
+    ``approx`` quartiles and distinct values are those of sketches, given (one merged
+    row per column) or made in one scan.
+    """
     cols = list(cols if cols is not None else columns_by_kind(df)["numeric"])
     dtypes = _dtype_map(df)
+    distinct = {}
+    if approx:
+        names = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+        rows = {r["column"]: r for r in sketch_profile(sketches if sketches is not None else sketch_table(df, cols), names).collect()}  # p rows
+        quart = {c: {p: rows[c][name] for name, p in names.items()} for c in cols}
+        distinct = {c: rows[c]["unique_values"] for c in cols}
+    else:
+        quart = quantiles(df, cols, [0.25, 0.5, 0.75])
 
     def per_col(c):
-        x = F.col(c).cast("double")
-        return [("nn", F.count(x)), ("mean", F.avg(x)), ("std_dev", F.stddev_samp(x)),
-                ("skewness", F.skewness(x)), ("kurtosis", F.kurtosis(x)),
-                ("zeros", F.count_if(x == 0)), ("vmin", F.min(x)), ("vmax", F.max(x))]
+        x, (q1, mid, q3) = F.col(c).cast("double"), (quart[c][p] for p in (0.25, 0.5, 0.75))
+        outside = F.lit(False) if q1 is None else (x < F.lit(q1 - IQR_FENCE * (q3 - q1))) | (x > F.lit(q3 + IQR_FENCE * (q3 - q1)))
+        out = [("nn", F.count(x)), ("mean", F.avg(x)), ("std_dev", F.stddev_samp(x)),
+               ("skewness", F.skewness(x)), ("kurtosis", F.kurtosis(x)),
+               ("zeros", F.count_if(x == 0)), ("vmin", F.min(x)), ("vmax", F.max(x)), ("n_out", F.count_if(outside)),
+               *[(name, F.lit(v).cast("double")) for name, v in (("q1", q1), ("median", mid), ("q3", q3))]]
+        return out + [("unique_values", F.lit(distinct[c]))] if approx else out
 
     stats = _long_stats(df, cols, per_col)
-    if approx:
-        qs = _long_stats(df, cols, lambda c: [
-            ("qs", F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75], accuracy)),
-            ("nunique", F.approx_count_distinct(c))])
-        quart = qs.select("column", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"),
-                          F.col("qs")[2].alias("q3"), F.col("nunique").alias("unique_values"))
-        raw = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-        fences = quart.select("column", (F.col("q1") - IQR_FENCE * (F.col("q3") - F.col("q1"))).alias("lo"),
-                              (F.col("q3") + IQR_FENCE * (F.col("q3") - F.col("q1"))).alias("hi"))
-        outl = (raw.filter(F.col("value").isNotNull()).join(F.broadcast(fences), "column")
-                .groupBy("column").agg(F.count_if((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).alias("n_out")))
-    else:
-        freq = numeric_frequency(df, cols)
-        ranked = ranked_frequency(freq, partitions)
-        quart = quantiles_wide(exact_quantiles(freq, [0.25, 0.5, 0.75], ranked=ranked),
-                               {0.25: "q1", 0.5: "median", 0.75: "q3"})
-        # fences: one row per column -> broadcast; one more pass over the frequency
-        # table (not the raw rows) counts distinct values and outliers together.
-        fences = quart.select("column", (F.col("q1") - IQR_FENCE * (F.col("q3") - F.col("q1"))).alias("lo"),
-                              (F.col("q3") + IQR_FENCE * (F.col("q3") - F.col("q1"))).alias("hi"))
-        outl = (ranked.join(F.broadcast(fences), "column").groupBy("column")
-                .agg(F.count(F.lit(1)).alias("unique_values"),
-                     F.sum(F.when((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")),
-                                  F.col("n")).otherwise(0)).alias("n_out")))
+    out = stats if approx else stats.join(distinct_counts(df, cols), "column", "left")
     dtype_col = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(dtypes[c]))])
-    out = stats.join(quart, "column", "left").join(outl, "column", "left")
     nn = F.col("nn")
     return out.select(
         "column",
@@ -181,7 +175,7 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, partitions: in
         _pct(F.col("rows") - nn, F.col("rows")).alias("missing_percent"),
         _pct(F.col("zeros"), F.col("rows")).alias("zero_percent"),
         F.coalesce(F.col("unique_values"), F.lit(0)).cast("long").alias("unique_values"),
-        F.when(nn > 0, _pct(F.coalesce(F.col("n_out"), F.lit(0)), nn)).alias("outlier_percent"),
+        F.when(nn > 0, _pct(F.col("n_out"), nn)).alias("outlier_percent"),
         F.when(F.col("mean") != 0, F.col("std_dev") / F.col("mean")).alias("coefficient_of_variation"),
         (F.coalesce(F.col("unique_values"), F.lit(0)) == 1).alias("is_constant"),
         F.col("vmin").alias("min"), F.col("vmax").alias("max"),
@@ -192,7 +186,7 @@ def bool_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Value counts (NULL included), missing share, constant = one distinct non-null value."""
     cols = list(cols if cols is not None else columns_by_kind(df)["bool"])
     freq = value_frequency(df, cols)
-    txt = top_values_text(freq, k=3).withColumnRenamed("top_values", "value_counts")
+    txt = top_values_text(top_values(None, freq=freq, k=3)).withColumnRenamed("top_values", "value_counts")
     agg = freq.groupBy("column").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
@@ -204,19 +198,23 @@ def bool_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def categorical_profile(df: DataFrame, cols: list[str] | None = None, k: int = TOP_K) -> DataFrame:
-    """Cardinality, entropy (NULL as a category), top-k, casing and length."""
+    """Cardinality, entropy (NULL as a category), top-k, casing and length.
+
+    Values are grouped by digest, however long they are; the texts of the top values come from a second scan.
+    """
     cols = list(cols if cols is not None else columns_by_kind(df)["categorical"])
     dtypes = _dtype_map(df)
-    freq = value_frequency(df, cols)
-    v, n = F.col("value"), F.col("n")
+    freq = materialize(digest_frequency(df, cols, lower=True), "digests")  # for counts, top values and casing
+    v, n = F.col("h1"), F.col("n")
     agg = freq.groupBy("column").agg(
         F.sum(n).alias("rows"),
         F.sum(F.when(v.isNull(), n).otherwise(0)).alias("nulls"),
         F.count(v).alias("cardinality"),
         F.sum(n * F.log2(n)).alias("s_nlogn"),
-        F.count_distinct(F.lower(v)).alias("lower_distinct"),
-        F.sum(F.when(v.isNotNull(), n * F.char_length(v))).alias("len_sum"))
-    txt = top_values_text(freq, k)
+        F.sum(F.when(v.isNotNull(), n * F.col("size"))).alias("len_sum"))
+    lower = freq.filter(v.isNotNull()).select("column", "low").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("lower_distinct"))
+    agg = agg.join(lower, "column", "left").withColumn("lower_distinct", F.coalesce("lower_distinct", F.lit(0)))
+    txt = top_values_text(top_texts(df, cols, k, freq))
     rows = F.col("rows").cast("double")
     ent = F.when(F.col("cardinality") > 1,
                  F.log2(rows) - F.col("s_nlogn") / rows).otherwise(F.lit(0.0))
@@ -269,7 +267,7 @@ def feature_profile(df: DataFrame, target: str | None = None, order: list[str] |
     if kinds["bool"]:
         parts.append(bool_profile(df, kinds["bool"]).withColumn("kind", F.lit("bool")))
     if kinds["numeric"]:
-        parts.append(numeric_profile(df, kinds["numeric"], partitions).drop("min", "max")
+        parts.append(numeric_profile(df, kinds["numeric"]).drop("min", "max")
                      .withColumn("kind", F.lit("numeric")))
     if kinds["categorical"]:
         parts.append(categorical_profile(df, kinds["categorical"]).withColumn("kind", F.lit("categorical")))
@@ -287,10 +285,10 @@ def feature_profile(df: DataFrame, target: str | None = None, order: list[str] |
 # C11 / C12 targets
 # ---------------------------------------------------------------------------
 
-def target_profile_numeric(df: DataFrame, target: str, partitions: int | None = None) -> DataFrame:
+def target_profile_numeric(df: DataFrame, target: str) -> DataFrame:
     """C11: numeric or bool target; bool is taken as 0/1."""
     x = df.select(F.col(target).cast("double").alias(target))
-    p = numeric_profile(x, [target], partitions)
+    p = numeric_profile(x, [target])
     return p.select(
         "column", F.lit(df.schema[target].dataType.simpleString()).alias("dtype"), "missing_percent",
         F.col("is_constant").alias("constant_value"), "mean", "median", "std_dev", "q1", "q3",
@@ -358,16 +356,15 @@ def missing_overall_pct(df: DataFrame) -> DataFrame:
 
 
 def dtype_counts(df: DataFrame) -> DataFrame:
-    """Number of columns per dtype."""
-    rows = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"))
-                     for f in df.schema.fields])
-    return (df.sparkSession.range(1).select(F.inline(rows)).groupBy("dtype")
-            .agg(F.count(F.lit(1)).alias("n_columns")))
+    """Number of columns, and of non-null values in them, per dtype."""
+    stats = _long_stats(df, df.columns, lambda c: [("nn", F.count(F.col(c)))])
+    dtypes = F.create_map(*[x for c, t in _dtype_map(df).items() for x in (F.lit(c), F.lit(t))])
+    return stats.groupBy(dtypes[F.col("column")].alias("dtype")).agg(F.count(F.lit(1)).alias("n_columns"), F.sum("nn").alias("n_values"))
 
 
-def approx_profile(df: DataFrame, cols: list[str] | None = None, accuracy: int = 10000) -> DataFrame:
-    """C17: sketch-based numeric profile (approx quantiles and distinct counts)."""
-    return numeric_profile(df, cols, approx=True, accuracy=accuracy)
+def approx_profile(df: DataFrame, cols: list[str] | None = None, sketches: DataFrame | None = None) -> DataFrame:
+    """C17: numeric profile with quartiles and distinct counts of mergeable sketches (``operators.sketches``)."""
+    return numeric_profile(df, cols, approx=True, sketches=sketches)
 
 
 def complete_profile(df: DataFrame, target: str, order: list[str] | None = None) -> dict[str, DataFrame]:

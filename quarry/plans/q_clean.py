@@ -123,7 +123,7 @@ SELECT c_custkey, 'c_mktsegment___' || k.v AS "column", CAST(coalesce(c_mktsegme
 FROM customer, k""")
 def q_one_hot(spark, sf):
     cu = load(spark, sf, "customer")
-    cats = [r[0] for r in cu.select("c_mktsegment").distinct().collect()]  # <= 50 by the one-hot rule
+    cats = E.categories(cu, "c_mktsegment")
     wide = cu.select("c_custkey", *E.one_hot_columns(F.col("c_mktsegment"), "c_mktsegment", cats))
     return _long(wide, "c_custkey", [c for c in wide.columns if c != "c_custkey"])
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import profile as P
-from quarry.operators.freq import value_frequency
+from quarry.operators import sketches as SK
+from quarry.operators.freq import distinct_counts, value_frequency
 from quarry.operators.ordered import lag1_autocorr
 from quarry.plans.catalog import register, rounded
 from quarry.plans.fixtures import LINEITEM_NULLS_SQL as LN, LINEITEM_NULLS_TYPES as LT, lineitem_nulls
 from quarry.plans.sqlgen import (bool_profile_sql, categorical_profile_sql, datetime_profile_sql,
                                  numeric_profile_sql, q, r6, top_values_sql)
+from quarry.session import materialize
 from quarry.sources.tables import dataset_columns, load, read_table
 
 NUMERIC = [c for c, t in LT.items() if t in ("bigint", "int", "double")]
@@ -165,12 +167,33 @@ def q_missing_overall(spark, sf):
     return P.missing_overall_pct(lineitem_nulls(spark, sf))
 
 
-@register("dtype_counts", f"""SELECT dtype, CAST(count(*) AS BIGINT) AS n_columns FROM (
-  {' UNION ALL '.join(f"SELECT '{t}' AS dtype" for t in LT.values())}) GROUP BY dtype""")
+@register("dtype_counts", f"""SELECT dtype, CAST(count(*) AS BIGINT) AS n_columns, CAST(sum(n) AS BIGINT) AS n_values FROM (
+  {' UNION ALL '.join(f"SELECT '{t}' AS dtype, count({c}) AS n FROM {LN}" for c, t in LT.items())}) GROUP BY dtype""")
 def q_dtype_counts(spark, sf):
     return P.dtype_counts(lineitem_nulls(spark, sf))
 
 
+_SKETCHED = ["l_extendedprice", "l_quantity", "l_partkey"]
+
+
+@register("sketch_merge", "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", (SELECT CAST(count(DISTINCT date_trunc('month', l_shipdate)) AS BIGINT) FROM {LN}) AS parts, CAST(count(*) AS BIGINT) AS rows,
+  CAST(count({c}) AS BIGINT) AS n, {r6(f'avg({c})')} AS mean, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, true AS ranks_within, true AS distinct_within FROM {LN}"""
+    for c in _SKETCHED))
+def q_sketch_merge(spark, sf):
+    """C17: monthly sketches, merged; whether their quantiles and distinct counts are within the stated errors of the exact ones."""
+    li = lineitem_nulls(spark, sf)
+    probs = {"p05": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95}
+    monthly = materialize(SK.sketch_table(li.withColumn("month", F.date_trunc("month", F.col("l_shipdate").cast("timestamp"))), _SKETCHED, ["month"]), "sketches")
+    prof = materialize(SK.sketch_profile(SK.merge_sketches(monthly), probs), "sketch-profile")  # one row per column
+    parts = monthly.groupBy("column").agg(F.count(F.lit(1)).alias("parts"))
+    ranks = SK.rank_check(li, prof, probs).groupBy("column").agg(F.bool_and("within").alias("ranks_within"))
+    exact = distinct_counts(li, _SKETCHED)
+    near = (F.abs(prof["unique_values"] / exact["unique_values"] - 1) <= SK.distinct_error()).alias("distinct_within")
+    out = prof.join(exact, "column").join(ranks, "column").join(parts, "column")
+    return rounded(out.select("column", "parts", "rows", "n", "mean", "min", "max", "ranks_within", near))
+
+
 @register("approx_profile")
 def q_approx_profile(spark, sf):
     return rounded(P.approx_profile(lineitem_nulls(spark, sf), NUMERIC))
