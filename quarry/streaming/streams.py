@@ -72,11 +72,6 @@ def progress_stream(events: DataFrame, job: str = "job_id", event_id: str = "eve
         F.count(F.lit(1)).alias("events")).select(job, "s.*", "events")
 
 
-def overwrite_batch(batch: DataFrame, batch_id: int, out: str) -> None:
-    """Complete-mode result table: each micro-batch rewrites the whole (small, per-job) state."""
-    batch.write.mode("overwrite").parquet(out)
-
-
 # --------------------------------------------------------------------------- M5 stateful
 _BEST_OUT = "run_id string, iteration int, tie1 long, tie2 long, accuracy double, loss double, best_accuracy double, best_loss double"
 _BEST_STATE = "best_accuracy double, best_loss double"
