@@ -9,14 +9,17 @@ steps of the reference become rule tables joined with profile rows.
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.session import materialize
+from quarry.operators.digests import cardinality
+from quarry.operators.encode import HASH_BUCKETS, ONEHOT_MAX
 from quarry.operators.sample import hash_key
 
 # Family codes, schedule tiers, default hyperparameters, image normalisation.
@@ -58,7 +63,7 @@ ADVICE_RULES = [
 # ---------------------------------------------------------------------------
 
 def make_estimator(code: str, problem_type: str, label: str = "label", features: str = "features", seed: int = 42,
-                   n_classes: int | None = None):
+                   n_classes: int | None = None, iterations: int = 20):
     """Family code -> Spark ML estimator; codes without a Spark ML class are rejected."""
     code = code.upper()
     if code in UNSUPPORTED or code not in FAMILY_CODES:
@@ -67,10 +72,10 @@ def make_estimator(code: str, problem_type: str, label: str = "label", features:
     kw = dict(labelCol=label, featuresCol=features)
     if code == "GBM":
         if reg:
-            return GBTRegressor(maxIter=20, seed=seed, **kw)
+            return GBTRegressor(maxIter=iterations, seed=seed, **kw)
         if n_classes and n_classes > 2:
-            return OneVsRest(classifier=GBTClassifier(maxIter=20, seed=seed), **kw)
-        return GBTClassifier(maxIter=20, seed=seed, **kw)
+            return OneVsRest(classifier=GBTClassifier(maxIter=iterations, seed=seed), **kw)
+        return GBTClassifier(maxIter=iterations, seed=seed, **kw)
     if code == "RF":
         return (RandomForestRegressor if reg else RandomForestClassifier)(numTrees=20, seed=seed, **kw)
     if code == "LR":
@@ -92,18 +97,26 @@ def _vector_size(df: DataFrame, col: str) -> int:
 
 
 def feature_pipeline(df: DataFrame, target: str, problem_type: str) -> tuple[list, list[str]]:
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != target]
+    # ``label`` is the target again where it is a number
+    own = (target, "label") if problem_type == "regression" else (target,)
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in own]
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType,
                                                                              T.LongType, T.FloatType, T.DoubleType,
-                                                                             T.BooleanType)) and f.name != target]
+                                                                             T.BooleanType)) and f.name not in own]
     stages = []
+    # lists of categories stay within the one-hot rule; wider columns are hashed, as F8 does
+    unique = {r["column"]: r["unique_values"] for r in cardinality(df, strings).collect()} if strings else {}
+    wide = [c for c in strings if unique.get(c, 0) > ONEHOT_MAX]
+    strings = [c for c in strings if c not in wide]
+    for c in wide:
+        stages.append(FeatureHasher(inputCols=[c], outputCol=f"{c}__hash", numFeatures=HASH_BUCKETS))
     if strings:
         stages.append(StringIndexer(inputCols=strings, outputCols=[f"{c}__idx" for c in strings], handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in strings], outputCols=[f"{c}__oh" for c in strings],
                                     handleInvalid="keep"))
     if numeric:
         stages.append(Imputer(inputCols=numeric, outputCols=[f"{c}__imp" for c in numeric], strategy="mean"))
-    assembled = [f"{c}__oh" for c in strings] + [f"{c}__imp" for c in numeric]
+    assembled = [f"{c}__oh" for c in strings] + [f"{c}__hash" for c in wide] + [f"{c}__imp" for c in numeric]
     stages.append(VectorAssembler(inputCols=assembled, outputCol="features", handleInvalid="keep"))
     if problem_type != "regression":
         stages.insert(0, StringIndexer(inputCol=target, outputCol="label", handleInvalid="skip",
@@ -127,16 +140,23 @@ def _prep(df: DataFrame, target: str, problem_type: str) -> DataFrame:
 
 
 def automl_fit(df: DataFrame, target: str, problem_type: str, families=("LR", "RF"), id_cols: list[str] | None = None,
-               test_size: float = 0.2, seed: int = 42):
-    """Split -> fit each family -> evaluate -> leaderboard; returns (models, leaderboard, stage_times)."""
+               test_size: float = 0.2, seed: int = 42, estimators: dict | None = None, on_event=None):
+    """Split -> fit each family -> evaluate -> leaderboard; returns (models, leaderboard, stage_times).
+
+    ``estimators`` adds own Spark ML estimators by name; they read ``features`` and
+    ``label`` unless set otherwise. ``on_event(stage, status)`` hears of every stage.
+    """
     from quarry.operators.sample import split_random
+    tell = on_event or (lambda stage, status: None)
     times = []
     t0 = time.time()
+    tell("split", "start")
     data = _prep(df, target, problem_type)
     split = split_random(data, id_cols or [data.columns[0]], test_size, seed)
     train = split.filter(F.col("split") == "train").drop("split")
     test = split.filter(F.col("split") == "test").drop("split")
     times.append(("split", time.time() - t0))
+    tell("split", "complete")
     stages, _ = feature_pipeline(data, target, problem_type)
     n_classes = None
     if problem_type != "regression":
@@ -145,9 +165,11 @@ def automl_fit(df: DataFrame, target: str, problem_type: str, families=("LR", "R
     prepared = Pipeline(stages=stages).fit(train)  # once, on all training rows, for every family
     features = prepared.transform(train).persist(StorageLevel.DISK_ONLY)
     n_feat = _vector_size(features, "features")
-    for code in families:
+    own = estimators or {}
+    for code in [*families, *own]:
         t1 = time.time()
-        est = make_estimator(code, problem_type, seed=seed, n_classes=n_classes)
+        tell(f"fit_{code}", "start")
+        est = own[code] if code in own else make_estimator(code, problem_type, seed=seed, n_classes=n_classes)
         if isinstance(est, tuple):
             est = MultilayerPerceptronClassifier(layers=[n_feat, 16, int(n_classes or 2)], seed=seed, maxIter=50, **est[1])
         model = PipelineModel(stages=[*prepared.stages, est.fit(features)])
@@ -161,6 +183,7 @@ def automl_fit(df: DataFrame, target: str, problem_type: str, families=("LR", "R
         models[code] = model
         rows.append((code, score))
         times.append((f"fit_{code}", time.time() - t1))
+        tell(f"fit_{code}", "complete")
     features.unpersist()
     board = df.sparkSession.createDataFrame(rows, "model string, score_test double")
     board = board.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score_test").desc(), "model")))
@@ -178,33 +201,111 @@ def predict(model: PipelineModel | None, df: DataFrame, proba: bool = False) ->
     return out
 
 
-def bagged_stack(df: DataFrame, target: str, problem_type: str, id_col: str, families=("LR", "RF"), folds: int = 5,
-                 seed: int = 42) -> DataFrame:
-    """K-fold bagging, out-of-fold predictions joined by id, level-2 linear model; returns scored rows."""
+STACK = "STACK"
+
+
+def _member(scored: DataFrame, problem_type: str, n_classes: int | None) -> Column:
+    """A model's answer as an array: class probabilities, votes where it has none, or the one predicted number."""
+    if problem_type == "regression":
+        return F.array(F.col("prediction"))
+    if "probability" in scored.columns:
+        return vector_to_array("probability")
+    return F.array(*[(F.col("prediction") == i).cast("double") for i in range(n_classes)])
+
+
+def out_of_fold(df: DataFrame, target: str, problem_type: str, id_col: str, families=("LR", "RF", "GBM"), folds: int = 5, seed: int = 42,
+                iterations: int = 10) -> DataFrame:
+    """J3, first level: ``(id, _fold, label, m_<family>...)``, every row answered by models that haven't seen its fold.
+
+    Encoders, too, are fitted on the other folds. Labels are indices of the sorted classes.
+    """
     data = _prep(df, target, problem_type).withColumn("_fold", F.pmod(hash_key([id_col], seed), F.lit(folds)))
-    stages, _ = feature_pipeline(data.drop("_fold"), target, problem_type)
-    n_classes = None if problem_type == "regression" else data.agg(F.count_distinct(target)).first()[0]
+    n_classes = None
+    if problem_type != "regression":  # one order of classes for all folds
+        names = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc").fit(data)
+        data, n_classes = names.transform(data), len(names.labels)
+    stages = [s for s in feature_pipeline(data.drop("_fold", "label"), target, problem_type)[0] if not (isinstance(s, StringIndexer) and s.isSet("outputCol"))]
     oof = None
-    for k in range(folds):  # encoders and models see the other folds only
+    for k in range(folds):
         prepared = Pipeline(stages=stages).fit(data.filter(F.col("_fold") != k))
-        seen = prepared.transform(data.filter(F.col("_fold") != k)).persist(StorageLevel.DISK_ONLY)
+        seen = prepared.transform(data.filter(F.col("_fold") != k)).select("label", "features").persist(StorageLevel.DISK_ONLY)
         held = prepared.transform(data.filter(F.col("_fold") == k)).select(id_col, "_fold", "label", "features")
         for code in families:
-            est = make_estimator(code, problem_type, seed=seed, n_classes=n_classes)
+            est = make_estimator(code, problem_type, seed=seed, n_classes=n_classes, iterations=iterations)
             if isinstance(est, tuple):
                 est = MultilayerPerceptronClassifier(layers=[_vector_size(seen, "features"), 16, int(n_classes or 2)], seed=seed, maxIter=50, **est[1])
-            held = est.fit(seen).transform(held).withColumn(f"p_{code}", F.col("prediction")).drop("prediction", "probability", "rawPrediction")
+            scored = est.fit(seen).transform(held)
+            held = scored.withColumn(f"m_{code}", _member(scored, problem_type, n_classes)).drop("prediction", "probability", "rawPrediction")
+        part = materialize(held.drop("features"), "stack-fold")
         seen.unpersist()
-        part = held.drop("features")
         oof = part if oof is None else oof.unionByName(part)
-    meta = materialize(VectorAssembler(inputCols=[f"p_{c}" for c in families], outputCol="meta").transform(oof), "stack")
+    return oof
+
+
+def add_stack(oof: DataFrame, members: list[str], problem_type: str) -> DataFrame:
+    """J3, second level: a linear model over the members' answers, which answers each fold from the others (``m_STACK``)."""
+    meta = oof.withColumn("meta", array_to_vector(F.concat(*[F.col(f"m_{m}") for m in members])))
     lvl2 = (LinearRegression(featuresCol="meta", labelCol="label") if problem_type == "regression"
             else LogisticRegression(featuresCol="meta", labelCol="label", maxIter=50))
+    n_classes = None if problem_type == "regression" else int(meta.agg(F.max("label")).first()[0] or 0) + 1
     out = None
-    for k in range(folds):  # the second level, too, scores rows that it wasn't fitted on
-        part = lvl2.fit(meta.filter(F.col("_fold") != k)).transform(meta.filter(F.col("_fold") == k)).select(id_col, "label", "prediction")
+    for k in [r[0] for r in meta.select("_fold").distinct().collect()]:  # as many as there are folds
+        scored = lvl2.fit(meta.filter(F.col("_fold") != k)).transform(meta.filter(F.col("_fold") == k))
+        part = scored.withColumn(f"m_{STACK}", _member(scored, problem_type, n_classes)).select(*oof.columns, f"m_{STACK}")
         out = part if out is None else out.unionByName(part)
-    return out
+    return materialize(out, "stack")
+
+
+def _blend(weights: dict[str, int]) -> Column:
+    """Weighted sum of the members' answers."""
+    def times(w: int):
+        return lambda x: x * float(w)
+
+    held = [F.transform(F.col(f"m_{m}"), times(w)) for m, w in weights.items() if w]
+    return reduce(lambda total, one: F.zip_with(total, one, lambda a, b: a + b), held)
+
+
+def _answer(weights: dict[str, int], problem_type: str) -> Column:
+    """The ensemble's prediction: the mean, or the class of most weight (ties: the first)."""
+    blend = _blend(weights)
+    if problem_type == "regression":
+        return F.element_at(blend, 1) / float(sum(weights.values()))
+    return (F.array_position(blend, F.array_max(blend)) - 1).cast("double")
+
+
+def ensemble_weights(oof: DataFrame, members: list[str], problem_type: str, rounds: int = 10) -> tuple[dict[str, int], list[tuple]]:
+    """J3, last level: greedy selection with replacement on out-of-fold answers.
+
+    Each round adds the member with which the ensemble scores best (accuracy, or mean
+    squared error; ties: the first member) and one aggregate scores all candidates; the
+    round of the best score decides, so the weights are no worse than the best member's
+    own. Returns the weights and (round, member, score) of every round.
+    """
+    def quality(weights: dict[str, int]) -> Column:
+        answer = _answer(weights, problem_type)
+        return -F.avg((answer - F.col("label")) ** 2) if problem_type == "regression" else F.avg((answer == F.col("label")).cast("double"))
+
+    held, history, best = dict.fromkeys(members, 0), [], (None, None)
+    for i in range(rounds):
+        trials = {m: {**held, m: held[m] + 1} for m in members}
+        row = oof.agg(*[quality(w).alias(m) for m, w in trials.items()]).first()  # one number a member
+        scores = {m: row[m] if row[m] is not None else float("-inf") for m in members}
+        pick = max(members, key=lambda m: (scores[m], -members.index(m)))
+        held = trials[pick]
+        history.append((i + 1, pick, scores[pick]))
+        if best[0] is None or scores[pick] > best[0]:
+            best = (scores[pick], dict(held))
+    return best[1], history
+
+
+def bagged_stack(df: DataFrame, target: str, problem_type: str, id_col: str, families=("LR", "RF", "GBM"), folds: int = 5,
+                 seed: int = 42, rounds: int = 10, iterations: int = 10) -> DataFrame:
+    """K-fold bagging of several families, a linear stack over their out-of-fold answers, and a weighted
+    ensemble of all of them; returns ``(id, label, prediction)``."""
+    members = list(families)
+    oof = add_stack(out_of_fold(df, target, problem_type, id_col, families, folds, seed, iterations), members, problem_type)
+    weights, _ = ensemble_weights(oof, [*members, STACK], problem_type, rounds)
+    return oof.select(id_col, "label", _answer(weights, problem_type).alias("prediction"))
 
 
 # ---------------------------------------------------------------------------
@@ -307,23 +408,20 @@ def vote(plans: DataFrame) -> DataFrame:
 
 def apply_recommendations(df: DataFrame, plan: list[tuple[str, str]], stats: dict[str, dict] | None = None) -> DataFrame:
     """Apply (column, action) advice as one projection (never executes generated code)."""
-    from quarry.operators.freq import exact_quantiles, numeric_frequency
+    from quarry.operators.radix import quantiles
     actions = {}
     for col, action in plan:
         actions.setdefault(col, []).append(action)
     med_cols = [c for c, a in actions.items() if "impute_median" in a or "clip_iqr" in a]
-    q = {}
-    if med_cols:
-        for r in exact_quantiles(numeric_frequency(df, med_cols), [0.25, 0.5, 0.75]).collect():  # 3 per column
-            q.setdefault(r["column"], {})[r["p"]] = r["q"]
+    q = {c: v for c, v in quantiles(df, med_cols, [0.25, 0.5, 0.75]).items() if v[0.5] is not None} if med_cols else {}
     out = []
     for f in df.schema.fields:
         c, acts = F.col(f.name), actions.get(f.name, [])
         if "drop" in acts:
             continue
-        if "impute_median" in acts:
+        if "impute_median" in acts and f.name in q:
             c = F.coalesce(c.cast("double"), F.lit(q[f.name][0.5]))
-        if "clip_iqr" in acts:
+        if "clip_iqr" in acts and f.name in q:
             lo = q[f.name][0.25] - 1.5 * (q[f.name][0.75] - q[f.name][0.25])
             hi = q[f.name][0.75] + 1.5 * (q[f.name][0.75] - q[f.name][0.25])
             c = F.least(F.greatest(c.cast("double"), F.lit(lo)), F.lit(hi))
@@ -338,6 +436,63 @@ def apply_recommendations(df: DataFrame, plan: list[tuple[str, str]], stats: dic
     return df.select(*out)
 
 
+# ---------------------------------------------------------------------------
+# J12 / K7
+# ---------------------------------------------------------------------------
+
+def end_to_end(df: DataFrame, target: str, id_col: str, problem_type: str = "multiclass", families: list[str] | None = None, sample_pct: float | None = None,
+               on_event=None) -> DataFrame:
+    """cast/encode -> fill mean -> sample if asked (default: the whole table) -> profile -> advise -> apply all
+    advice -> profile again -> select (unless families are given) -> fit every selected family; the leaderboard."""
+    from quarry.operators import clean, encode, profile, sample
+    tell, keys = on_event or (lambda stage, status: None), (id_col, target)
+    tell("prepare", "start")
+    enc, _ = encode.auto_cast_and_encode(df.drop(target), protect=(id_col,), mode="id_like_only")
+    data = enc.join(df.select(*keys), id_col)
+    data = clean.fill_mean(data, [c for c in data.columns if c not in keys])
+    data = materialize(sample.sample_pct(data, sample_pct, [id_col]), "end-to-end")
+    tell("prepare", "complete")
+    tell("profile", "start")
+    advice = preprocess_recommend(profile.feature_profile(data, target=target))
+    plan = [(r["column"], r["action"]) for r in advice.filter(~F.col("column").isin(*keys)).collect()]  # <= columns x rules
+    applied = materialize(apply_recommendations(data, plan), "end-to-end-applied")
+    traits = dataset_traits(profile.feature_profile(applied, target=target), applied.count())
+    chosen = families or [r["family"] for r in select_models(traits).collect()]
+    tell("profile", "complete")
+    return automl_fit(applied, target, problem_type, families=chosen, id_cols=[id_col], on_event=on_event)[1]
+
+
+def benchmark_loop(df: DataFrame, group: str, run, names: list | None = None, workers: int = 3, max_groups: int = 200) -> DataFrame:
+    """K7: ``run(rows of the group) -> (model, score_test, ...)`` for every group of a table (a dataset's name, say), or those named.
+
+    Groups run as concurrent Spark jobs from ``workers`` threads, each in a scheduler
+    pool of its own (pools share executors evenly where the scheduler is FAIR). A group
+    that fails is a row with its error, and the others go on. Returns ``(group, model,
+    score_test, status, error)``; more than ``max_groups`` groups are an error.
+    """
+    spark = df.sparkSession
+    found = [r[0] for r in df.select(group).distinct().limit(max_groups + 1).collect()]
+    if len(found) > max_groups:
+        raise ValueError(f"{group} has more than {max_groups} groups")
+    wanted = sorted((g for g in found if names is None or g in names), key=lambda g: (g is None, g))
+    missing = [g for g in names or [] if g not in found]
+
+    def one(name) -> list[tuple]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"benchmark {name}")
+        try:
+            rows = df.where(F.col(f"`{group}`").eqNullSafe(F.lit(name))).drop(group)
+            return [(name, r["model"], r["score_test"], "completed", None) for r in run(rows).collect()]  # one row a model
+        except Exception as e:  # noqa: BLE001 - a failing group is a result
+            return [(name, None, None, "failed", (str(e).splitlines() or [type(e).__name__])[0][:300])]
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(workers) as threads:
+        rows = [r for part in threads.map(inheritable_thread_target(spark)(one), wanted) for r in part]
+    rows += [(g, None, None, "failed", "no such group") for g in missing]
+    return spark.createDataFrame(rows, T.StructType([df.schema[group], *T._parse_datatype_string("model string, score_test double, status string, error string").fields]))
+
+
 # ---------------------------------------------------------------------------
 # J13 image normalisation
 # ---------------------------------------------------------------------------

@@ -90,6 +90,25 @@ def roc_auc(pred: DataFrame, y_true: str = "y_true", score: str = "score", posit
     return u.select(F.try_divide(F.col("U"), (F.col("P") * F.col("N")).cast("double")).alias("roc_auc"))
 
 
+def roc_auc_weighted(scores: DataFrame, cls: str = "class", y_true: str = "y_true", score: str = "score") -> DataFrame:
+    """I7, several classes: one-vs-rest AUCs, weighted by how often each class is true.
+
+    ``scores`` has a row per case and class. Counts per (class, score) are ranked for
+    all classes by one range exchange; classes that never, or always, are true have no
+    AUC and no weight.
+    """
+    from quarry.operators.freq import ranked_frequency
+    per = scores.filter(F.col(score).isNotNull() & F.col(y_true).isNotNull()).groupBy(
+        F.col(cls).cast("string").alias("column"), F.col(score).cast("double").alias("value")).agg(
+        F.count_if(F.col(y_true).cast("string") == F.col(cls).cast("string")).alias("pos"),
+        F.count_if(F.col(y_true).cast("string") != F.col(cls).cast("string")).alias("n"))
+    ranked = ranked_frequency(per.select("column", "value", "n"))
+    u = ranked.join(per.select("column", "value", "pos"), ["column", "value"]).groupBy("column").agg(
+        F.sum(F.col("pos") * (F.col("rank_lo") + 0.5 * F.col("n"))).alias("u"), F.sum("pos").alias("p"), F.sum("n").alias("q"))
+    auc = F.try_divide(F.col("u"), (F.col("p") * F.col("q")).cast("double"))
+    return u.withColumn("auc", auc).where("auc is not null").agg(F.try_divide(F.sum(F.col("auc") * F.col("p")), F.sum("p").cast("double")).alias("roc_auc_weighted"))
+
+
 def regression_metrics(pred: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
     """I8: MAE, MSE, RMSE, R^2 (1 - SSE/SST) in one aggregate."""
     e = F.col(y_pred).cast("double") - F.col(y_true).cast("double")

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.constraints import CHECKS, FOREIGN_KEYS, violations
+
 # The eight pipeline stages and the registry enumerations.
 PIPELINE_STAGES = ["Type Conversion", "Data Sampling", "Profile Generation (Sampled)", "Preprocessing Insights Generation",
                    "Preprocessing Code Execution", "Profile Generation (Preprocessed)", "Model Recommendation", "Model Training"]
@@ -47,6 +49,12 @@ def tag_search(df: DataFrame, tag: str, tags_col: str = "tags") -> DataFrame:
     return df.filter(F.array_contains(F.col(tags_col), tag))
 
 
+def rename_project(df: DataFrame, names: dict[str, str], lifted: dict[str, str] | None = None) -> DataFrame:
+    """Columns under the names of the interface (old -> new), and fields lifted out of JSON columns (new -> ``column.path``), as text."""
+    lift = [F.get_json_object(F.col(p.split(".", 1)[0]), "$." + p.split(".", 1)[1]).alias(new) for new, p in (lifted or {}).items()]
+    return df.select(*[F.col(old).alias(new) for old, new in names.items()], *lift)
+
+
 def coalesce_defaults(df: DataFrame) -> DataFrame:
     """NULL -> defaults (size 0, path '', tags [])."""
     return df.select(*[c for c in df.columns if c not in ("file_size", "file_path", "tags")],
@@ -243,35 +251,17 @@ def best_epoch(epochs: DataFrame, run: str = "run_id", tie: list[str] | None = N
 
 
 def validate_registry(datasets: DataFrame, models: DataFrame, runs: DataFrame) -> DataFrame:
-    """CHECK / FK rule violations as a long report (table, rule, id)."""
-    parts = [
-        datasets.filter(~F.col("domain").isin(*ENUMS["datasets.domain"])).select(F.lit("datasets").alias("table"), F.lit("domain").alias("rule"), "id"),
-        datasets.filter(~F.col("readiness").isin(*ENUMS["datasets.readiness"])).select(F.lit("datasets"), F.lit("readiness"), "id"),
-        datasets.filter(F.col("total_samples") < 0).select(F.lit("datasets"), F.lit("total_samples"), "id"),
-        datasets.filter(F.col("file_size").isNotNull() & (F.col("file_size") <= 0)).select(F.lit("datasets"), F.lit("file_size"), "id"),
-        models.filter(~F.col("task").isin(*ENUMS["models.task"])).select(F.lit("models"), F.lit("task"), "id"),
-        models.filter(~F.col("framework").isin(*ENUMS["models.framework"])).select(F.lit("models"), F.lit("framework"), "id"),
-        models.filter(~F.col("status").isin(*ENUMS["models.status"])).select(F.lit("models"), F.lit("status"), "id"),
-        models.filter(F.col("accuracy").isNotNull() & ((F.col("accuracy") < 0) | (F.col("accuracy") > 100))).select(
-            F.lit("models"), F.lit("accuracy"), "id"),
-        models.join(datasets.select(F.col("id").alias("dataset_id")), "dataset_id", "left_anti")
-        .filter(F.col("dataset_id").isNotNull()).select(F.lit("models"), F.lit("fk_dataset"), "id"),
-        runs.filter(~F.col("status").isin(*ENUMS["training_runs.status"])).select(F.lit("training_runs"), F.lit("status"), "id"),
-        runs.filter((F.col("current_epoch") < 0) | (F.col("total_epochs").isNotNull() & (F.col("current_epoch") > F.col("total_epochs"))))
-        .select(F.lit("training_runs"), F.lit("epochs"), "id"),
-        runs.join(models.select(F.col("id").alias("model_id")), "model_id", "left_anti").select(
-            F.lit("training_runs"), F.lit("fk_model"), "id"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
-def dataset_record(datasets: DataFrame) -> DataFrame:
-    """Catalog row: parsed tags, size default, description fallback."""
+    """CHECK / FK rule violations of three tables as a long report (table, rule, id), one scan per table for its CHECKs."""
+    tables = {"datasets": datasets, "models": models, "training_runs": runs}
+    rules = [r for r in [*CHECKS, *FOREIGN_KEYS] if r.table in tables and (r.table, r.name) != ("training_runs", "fk_dataset")]
+    return violations(tables, rules)
+
+
+def dataset_record(datasets: DataFrame, tasks: Column | None = None) -> DataFrame:
+    """Catalog row: parsed tags, size default, description fallback and, given an expression for them, the supported tasks."""
     from quarry.functions.scalar import parse_tags
-    return datasets.select("id", "name", parse_tags(F.col("tags_text")).alias("tags"),
+    extra = [] if tasks is None else [tasks.alias("tasks")]
+    return datasets.select(*extra, "id", "name", parse_tags(F.col("tags_text")).alias("tags"),
                            F.coalesce("file_size", F.lit(0).cast("bigint")).alias("size"),
                            F.coalesce("description", F.concat(F.lit("Dataset "), F.col("name"))).alias("description"))
 

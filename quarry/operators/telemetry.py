@@ -71,8 +71,11 @@ def training_curve(epochs: DataFrame, run: str = "run_id") -> DataFrame:
 
 
 def append_epoch(epochs: DataFrame, run: str = "run_id") -> DataFrame:
-    """M8 (batch): per-run epoch_metrics array sorted by iteration."""
-    item = F.struct("iteration", "accuracy", "loss", "precision", "recall", "f1_score", "ts")
+    """M8 (batch): per-run epoch_metrics array sorted by iteration, with the iteration's hyperparameters where the table has them.
+
+    An array holds the iterations of one run, which the training loop bounds.
+    """
+    item = F.struct(*["iteration", "accuracy", "loss", "precision", "recall", "f1_score", "ts"], *[c for c in ("hyperparameters",) if c in epochs.columns])
     return epochs.groupBy(run).agg(F.array_sort(F.collect_list(item)).alias("epoch_metrics"))
 
 
@@ -139,9 +142,14 @@ def final_summary(epochs: DataFrame, runs: DataFrame, run: str = "run_id", order
     return done.join(agg, run, "left")
 
 
-def failure_summary(events: DataFrame, job: str = "job_id") -> DataFrame:
-    """Failed jobs: first failed stage, completed stage count."""
+def failure_summary(events: DataFrame, job: str = "job_id", message: str | None = None) -> DataFrame:
+    """Failed jobs: first failed stage, completed stage count and, from a column ``message``, the text of that stage's last error."""
     st = stage_state(events, job)
-    return st.groupBy(job).agg(
+    out = st.groupBy(job).agg(
         F.min(F.when(F.col("status") == "failed", F.col("stage"))).alias("failed_stage"),
         F.count_if(F.col("status") == "completed").alias("completed_stages")).filter(F.col("failed_stage").isNotNull())
+    if message is None:
+        return out
+    texts = events.filter(F.col("event") == "error").groupBy(job, F.col("stage").alias("failed_stage")).agg(
+        F.max_by(message, F.struct("ts", "event_id")).alias("error_message"))
+    return out.join(texts, [job, "failed_stage"], "left").select(job, "failed_stage", "completed_stages", "error_message")

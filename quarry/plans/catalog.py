@@ -38,4 +38,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 # import the modules that register queries
 from quarry.plans import q_assoc, q_automl, q_checks, q_clean, q_profile, q_registry, q_sample_eval  # noqa: E402,F401
-from quarry.plans import q_extra, q_streaming  # noqa: E402,F401
+from quarry.plans import q_extra, q_more, q_streaming  # noqa: E402,F401

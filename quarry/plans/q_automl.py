@@ -6,8 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import automl as J
-from quarry.operators import clean as C
-from quarry.operators import encode as E
 from quarry.operators import evaluate as V
 from quarry.operators import profile as P
 from quarry.operators import sample as S
@@ -26,7 +24,7 @@ def orders_ml(spark, sf):
 
 @register("automl_fit")
 def q_automl_fit(spark, sf):
-    _, board, _ = J.automl_fit(orders_ml(spark, sf), "o_orderstatus", "multiclass", families=("LR", "RF"),
+    _, board, _ = J.automl_fit(orders_ml(spark, sf), "o_orderstatus", "multiclass", families=("LR", "RF", "GBM"),
                                id_cols=["o_orderkey"])
     return board
 
@@ -44,7 +42,7 @@ def q_predict(spark, sf):
 
 @register("bagged_stack")
 def q_bagged_stack(spark, sf):
-    return J.bagged_stack(orders_ml(spark, sf), "o_orderstatus", "multiclass", "o_orderkey", families=("LR",), folds=5)
+    return J.bagged_stack(orders_ml(spark, sf), "o_orderstatus", "multiclass", "o_orderkey", families=("LR", "RF", "GBM"), folds=5)
 
 
 @register("feature_importance")
@@ -167,19 +165,15 @@ def q_apply(spark, sf):
 
 @register("end_to_end")
 def q_end_to_end(spark, sf, sample_pct: float | None = None):
-    """cast/encode -> fill mean -> sample if asked (default: the whole table) -> profile -> advise -> apply all
-    advice -> profile again -> select -> fit every selected family."""
-    o = orders_ml(spark, sf)
-    enc, _ = E.auto_cast_and_encode(o.drop("o_orderstatus"), protect=("o_orderkey",), mode="id_like_only")
-    data = enc.join(o.select("o_orderkey", "o_orderstatus"), "o_orderkey")
-    data = C.fill_mean(data, [c for c in data.columns if c not in ("o_orderkey", "o_orderstatus")])
-    sample = S.sample_pct(data, sample_pct, ["o_orderkey"]).persist()
-    prof = P.feature_profile(sample, target="o_orderstatus")
-    advice = J.preprocess_recommend(rounded(prof))
-    keys = ("o_orderkey", "o_orderstatus")
-    plan = [(r["column"], r["action"]) for r in advice.filter(~F.col("column").isin(*keys)).collect()]  # <= columns x rules
-    applied = J.apply_recommendations(sample, plan)
-    traits = J.dataset_traits(P.feature_profile(applied, target="o_orderstatus"), applied.count())
-    fams = [r["family"] for r in J.select_models(traits).collect()]
-    _, board, _ = J.automl_fit(applied, "o_orderstatus", "multiclass", families=fams, id_cols=["o_orderkey"])
-    return board
+    """J12 over the whole table of orders."""
+    return J.end_to_end(orders_ml(spark, sf), "o_orderstatus", "o_orderkey", sample_pct=sample_pct)
+
+
+@register("benchmark_loop", """SELECT o_orderpriority AS dataset, 'LR' AS model, CAST(count(*) AS BIGINT) AS n_rows, 'completed' AS status, true AS scored
+FROM orders GROUP BY o_orderpriority""")
+def q_benchmark_loop(spark, sf):
+    """K7: the whole pipeline on the orders of each priority."""
+    o = orders_ml(spark, sf).withColumnRenamed("o_orderpriority", "dataset")
+    board = J.benchmark_loop(o, "dataset", lambda rows: J.end_to_end(rows, "o_orderstatus", "o_orderkey", families=["LR"]))
+    sizes = o.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"))
+    return board.join(sizes, "dataset").select("dataset", "model", "n_rows", "status", F.col("score_test").between(0, 1).alias("scored"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import scalar as N
+from quarry.operators import constraints as CON
 from quarry.operators import registry as G
 from quarry.operators import scores as K
 from quarry.operators import telemetry as M
@@ -190,6 +194,59 @@ def q_cascade(spark, sf):
     return runs_left.select("id", "model_id")
 
 
+RUN_LOGS = R.duck(lambda e: R.training_logs_sql(e))
+VERSIONS = R.duck(lambda e: R.versions_sql(e))
+
+
+def _registry(spark, sf):
+    return {"datasets": R.datasets(spark, sf), "models": R.models(spark, sf), "training_runs": R.runs(spark, sf),
+            "training_logs": R.training_logs(spark, sf), "model_versions": R.versions(spark, sf), "jobs": R.jobs(spark, sf)}
+
+
+@register("cascade_graph", f"""WITH dd AS (SELECT id FROM {DS} WHERE readiness = 'error'), dm AS (SELECT id FROM {MODELS} WHERE status = 'failed'),
+dr AS (SELECT id FROM {RUNS} WHERE model_id IN (SELECT id FROM dm))
+SELECT 'datasets' AS "table", id, NULL AS model_id, NULL AS dataset_id, NULL AS training_run_id FROM {DS} WHERE id NOT IN (SELECT id FROM dd)
+UNION ALL SELECT 'models', id, NULL, CASE WHEN dataset_id NOT IN (SELECT id FROM dd) THEN dataset_id END, NULL FROM {MODELS} WHERE id NOT IN (SELECT id FROM dm)
+UNION ALL SELECT 'training_runs', id, model_id, CASE WHEN dataset_id NOT IN (SELECT id FROM dd) THEN dataset_id END, NULL FROM {RUNS} WHERE id NOT IN (SELECT id FROM dr)
+UNION ALL SELECT 'training_logs', id, NULL, NULL, training_run_id FROM {RUN_LOGS} WHERE training_run_id NOT IN (SELECT id FROM dr)
+UNION ALL SELECT 'model_versions', id, model_id, NULL, CASE WHEN training_run_id NOT IN (SELECT id FROM dr) THEN training_run_id END FROM {VERSIONS}
+  WHERE model_id NOT IN (SELECT id FROM dm)
+UNION ALL SELECT 'jobs', id, model_id, dataset_id, NULL FROM {JOBS} WHERE model_id NOT IN (SELECT id FROM dm) AND dataset_id NOT IN (SELECT id FROM dd)""")
+def q_cascade_graph(spark, sf):
+    """What failed models and broken datasets leave of all six tables, keys as they are afterwards."""
+    t = _registry(spark, sf)
+    left = CON.delete(t, {"datasets": t["datasets"].filter(F.col("readiness") == "error"), "models": t["models"].filter(F.col("status") == "failed")})
+    refs = ["model_id", "dataset_id", "training_run_id"]
+    parts = [df.select(F.lit(name).alias("table"), "id", *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in refs]) for name, df in left.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("registry_constraints", f"""SELECT 'datasets' AS "table", 'domain' AS rule, id FROM {DS} WHERE domain NOT IN ('vision', 'tabular')
+UNION ALL SELECT 'datasets', 'readiness', id FROM {DS} WHERE readiness NOT IN ('draft', 'processing', 'ready', 'failed')
+UNION ALL SELECT 'datasets', 'total_samples', id FROM {DS} WHERE total_samples < 0
+UNION ALL SELECT 'datasets', 'file_size', id FROM {DS} WHERE file_size <= 0
+UNION ALL SELECT 'models', 'task', id FROM {MODELS} WHERE task NOT IN ('classification', 'regression', 'clustering', 'detection', 'unknown')
+UNION ALL SELECT 'models', 'framework', id FROM {MODELS} WHERE framework NOT IN ('pytorch', 'tensorflow', 'sklearn')
+UNION ALL SELECT 'models', 'status', id FROM {MODELS} WHERE status NOT IN ('draft', 'queued', 'training', 'ready', 'active', 'failed')
+UNION ALL SELECT 'models', 'accuracy', id FROM {MODELS} WHERE accuracy < 0 OR accuracy > 100
+UNION ALL SELECT 'models', 'fk_dataset', id FROM {MODELS} WHERE dataset_id NOT IN (SELECT id FROM {DS})
+UNION ALL SELECT 'training_runs', 'status', id FROM {RUNS} WHERE status NOT IN ('pending', 'queued', 'running', 'completed', 'failed', 'stopped')
+UNION ALL SELECT 'training_runs', 'epochs', id FROM {RUNS} WHERE current_epoch < 0 OR current_epoch > total_epochs
+UNION ALL SELECT 'training_runs', 'fk_model', id FROM {RUNS} WHERE model_id NOT IN (SELECT id FROM {MODELS})
+UNION ALL SELECT 'training_runs', 'fk_dataset', id FROM {RUNS} WHERE dataset_id NOT IN (SELECT id FROM {DS})
+UNION ALL SELECT 'training_logs', 'log_level', id FROM {RUN_LOGS} WHERE log_level NOT IN ('DEBUG', 'INFO', 'WARNING', 'ERROR', 'CRITICAL')
+UNION ALL SELECT 'training_logs', 'fk_run', id FROM {RUN_LOGS} WHERE training_run_id NOT IN (SELECT id FROM {RUNS})
+UNION ALL SELECT 'model_versions', 'unique_model_version', id FROM (SELECT id, count(*) OVER (PARTITION BY model_id, version) AS n FROM {VERSIONS}) WHERE n > 1
+UNION ALL SELECT 'model_versions', 'fk_model', id FROM {VERSIONS} WHERE model_id NOT IN (SELECT id FROM {MODELS})
+UNION ALL SELECT 'model_versions', 'fk_run', id FROM {VERSIONS} WHERE training_run_id NOT IN (SELECT id FROM {RUNS})
+UNION ALL SELECT 'jobs', 'status', id FROM {JOBS} WHERE status NOT IN ('pending', 'running', 'completed', 'failed')
+UNION ALL SELECT 'jobs', 'fk_model', id FROM {JOBS} WHERE model_id NOT IN (SELECT id FROM {MODELS})
+UNION ALL SELECT 'jobs', 'fk_dataset', id FROM {JOBS} WHERE dataset_id NOT IN (SELECT id FROM {DS})""")
+def q_registry_constraints(spark, sf):
+    """Every CHECK, UNIQUE and foreign key of all six tables."""
+    return CON.violations(_registry(spark, sf))
+
+
 @register("upsert", f"""SELECT j.id, coalesce(u.status, j.status) AS status, j.attempts FROM {JOBS} j LEFT JOIN
   (SELECT id, CASE WHEN attempts >= max_attempts THEN 'failed' END AS status FROM {JOBS} WHERE status = 'pending') u ON j.id = u.id""")
 def q_upsert(spark, sf):

@@ -127,6 +127,23 @@ def epochs_sql(engine: str, lineitem: str = "lineitem") -> str:
 FROM {lineitem}"""
 
 
+def training_logs_sql(engine: str, lineitem: str = "lineitem") -> str:
+    """One log row per line of the run's order; levels drift now and then, and some runs are unknown."""
+    return f"""SELECT 'l_' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) || '_' || CAST(l_partkey AS STRING) || '_' || CAST(l_suppkey AS STRING) AS id,
+  'r_' || CAST(l_orderkey + CASE WHEN l_partkey % 97 = 0 THEN 1000000000 ELSE 0 END AS STRING) AS training_run_id,
+  CASE WHEN l_suppkey % 29 = 0 THEN 'TRACE' ELSE {_case('l_partkey', ['DEBUG', 'INFO', 'WARNING', 'ERROR', 'CRITICAL'])} END AS log_level,
+  CAST(l_linenumber AS INT) AS epoch
+FROM {lineitem}"""
+
+
+def versions_sql(engine: str, orders: str = "orders") -> str:
+    """One version per training run; a model's versions repeat."""
+    return f"""SELECT 'v_' || CAST(o_orderkey AS STRING) AS id, 'm_' || CAST(o_custkey % 199 + 1 AS STRING) AS model_id,
+  CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE 'r_' || CAST(o_orderkey AS STRING) END AS training_run_id,
+  'v' || CAST(o_orderkey % 1009 AS STRING) AS version, o_orderkey % 11 = 0 AS is_current
+FROM {orders}"""
+
+
 def progress_sql(engine: str, events: str = "events") -> str:
     """events -> stage events: user = job, event_id orders them, type -> stage/event."""
     return f"""SELECT event_id, user_id AS job_id,
@@ -183,6 +200,14 @@ def jobs(spark, sf):
     return spark_table(spark, sf, lambda e, t: jobs_sql(e, t), "orders")
 
 
+def training_logs(spark, sf):
+    return spark_table(spark, sf, lambda e, t: training_logs_sql(e, t), "lineitem")
+
+
+def versions(spark, sf):
+    return spark_table(spark, sf, lambda e, t: versions_sql(e, t), "orders")
+
+
 def epochs(spark, sf):
     return spark_table(spark, sf, lambda e, t: epochs_sql(e, t), "lineitem")
 
