@@ -497,26 +497,29 @@ def benchmark_loop(df: DataFrame, group: str, run, names: list | None = None, wo
 # J13 image normalisation
 # ---------------------------------------------------------------------------
 
-def image_normalize(images: DataFrame, size: tuple[int, int] = (64, 64)) -> DataFrame:
+def image_normalize(images: DataFrame, size: tuple[int, int] = (64, 64), flip: float = 0.0, seed: int = 42) -> DataFrame:
     """Image rows -> resized (nearest), channel-normalised float array, one row per image.
 
-    Input is the ``image`` source (BGR bytes, height x width x channels).
+    Input is the ``image`` source (BGR bytes, height x width x channels). A share
+    ``flip`` of the images is mirrored left to right, chosen by a hash of the origin,
+    so a repeated task makes the same choice. Images of one shape are worked on together.
     """
     h_out, w_out = size
-    mean = np.array(IMAGE_MEAN[::-1], dtype=np.float32)  # source bytes are BGR
-    std = np.array(IMAGE_STD[::-1], dtype=np.float32)
+    mean = np.array(IMAGE_MEAN, dtype=np.float32)[:, None, None]
+    std = np.array(IMAGE_STD, dtype=np.float32)[:, None, None]
 
     def norm(batches):
         for pdf in batches:
-            out = []
-            for _, r in pdf.iterrows():
-                h, w, c = int(r["height"]), int(r["width"]), int(r["nChannels"])
-                arr = np.frombuffer(r["data"], dtype=np.uint8).reshape(h, w, c)[:, :, :3].astype(np.float32) / 255.0
-                yi = (np.arange(h_out) * h // h_out)
-                xi = (np.arange(w_out) * w // w_out)
-                res = (arr[yi][:, xi] - mean) / std
-                out.append(res[:, :, ::-1].transpose(2, 0, 1).reshape(-1).astype(float).tolist())
-            yield pd.DataFrame({"origin": pdf["origin"], "tensor": out})
-
-    flat = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+            out = np.empty((len(pdf), 3 * h_out * w_out), np.float32)
+            for (h, w, c), part in pdf.reset_index(drop=True).groupby(["height", "width", "nChannels"]):
+                pixels = np.frombuffer(b"".join(part["data"]), np.uint8).reshape(len(part), h, w, c)
+                resized = pixels[:, (np.arange(h_out) * h // h_out)[:, None], np.arange(w_out) * w // w_out, 2::-1]  # BGR to RGB
+                resized = resized.transpose(0, 3, 1, 2).astype(np.float32) / 255.0
+                mirrored = part["flip"].to_numpy(bool)
+                resized[mirrored] = resized[mirrored][..., ::-1]
+                out[part.index] = ((resized - mean) / std).reshape(len(part), -1)
+            yield pd.DataFrame({"origin": pdf["origin"], "tensor": list(out.astype(float))})
+
+    chosen = F.pmod(F.xxhash64("image.origin", F.lit(seed)), F.lit(1_000_000)) < int(flip * 1_000_000)
+    flat = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data", chosen.alias("flip"))
     return flat.mapInPandas(norm, "origin string, tensor array<double>")

@@ -39,17 +39,23 @@ _PAIR_SCHEMA = T.StructType([
 
 
 def _pair_stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sufficient statistics of consecutive pairs inside one sorted partition."""
+    """Sufficient statistics of consecutive pairs inside one sorted partition, batch by batch."""
     import pyspark
     pid = pyspark.TaskContext.get().partitionId()
-    vals = [b["x"].to_numpy(dtype="float64") for b in batches]
-    v = np.concatenate(vals) if vals else np.empty(0)
-    if v.size == 0:
-        return
-    a, b = v[:-1], v[1:]
-    yield pd.DataFrame({"pid": [pid], "n": [a.size], "sa": [a.sum()], "sb": [b.sum()],
-                        "saa": [(a * a).sum()], "sbb": [(b * b).sum()], "sab": [(a * b).sum()],
-                        "first_v": [v[0]], "last_v": [v[-1]]})
+    sums, first, last = np.zeros(6), None, None
+    for b in batches:
+        v = b["x"].to_numpy(dtype="float64")
+        if not v.size:
+            continue
+        if first is None:
+            first = v[0]
+        else:
+            v = np.concatenate([[last], v])  # the pair across two batches
+        x, y, last = v[:-1], v[1:], v[-1]
+        sums += [x.size, x.sum(), y.sum(), (x * x).sum(), (y * y).sum(), (x * y).sum()]
+    if first is not None:
+        n, sa, sb, saa, sbb, sab = sums
+        yield pd.DataFrame({"pid": [pid], "n": [int(n)], "sa": [sa], "sb": [sb], "saa": [saa], "sbb": [sbb], "sab": [sab], "first_v": [first], "last_v": [last]})
 
 
 def lag1_autocorr(df: DataFrame, value: str, order: list[str], partitions: int | None = None,

@@ -22,9 +22,14 @@ TRAINER_IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff")
 MIN_IMAGE_SIDE = 32
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Driver table ``name`` from ``sf_dir`` (one parquet file per table), NaN as NULL."""
-    return nan_to_null(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+def load(spark: SparkSession, sf_dir: str, name: str, where: Column | str | None = None) -> DataFrame:
+    """Driver table ``name`` from ``sf_dir`` (one parquet file per table), NaN as NULL.
+
+    ``where`` filters the columns as stored, so that filters on doubles, too, reach
+    the Parquet reader. NaN is no NULL there yet; it is greater than any number.
+    """
+    rows = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return nan_to_null(rows if where is None else rows.where(where))
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

@@ -41,6 +41,13 @@ def test_filter_pushed_to_scan(spark):
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan
 
 
+def test_filter_on_doubles_pushed_to_scan(spark):
+    from pyspark.sql import functions as F
+    from quarry.sources.tables import load
+    plan = load(spark, SF, "orders", F.col("o_totalprice") > 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(o_totalprice,1000.0)" in plan
+
+
 @pytest.mark.parametrize("name", ["ffill", "ffill_keyless", "best_so_far", "next_run_number", "split_random",
                                   "stratified_sample", "latest_run_per_model", "best_epoch", "model_statistics"])
 def test_no_unpartitioned_window_over_raw_rows(spark, name):

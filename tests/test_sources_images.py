@@ -128,6 +128,30 @@ def test_image_split_and_normalize(spark, image_root):
     assert r == pytest.approx((200 / 255 - 0.485) / 0.229, rel=1e-5)
 
 
+def test_images_of_many_shapes_and_flips(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for i in range(40):
+        h, w, c = int(rng.integers(2, 9)), int(rng.integers(2, 9)), int(rng.choice([3, 4]))
+        px = rng.integers(0, 256, (h, w, c), dtype=np.uint8)
+        rows.append((f"img{i}", h, w, c, 16 if c == 3 else 24, bytearray(px.tobytes())))
+        rgb = px[np.arange(5) * h // 5][:, np.arange(4) * w // 4][..., 2::-1] / 255.0
+        want[f"img{i}"] = (rgb - [0.485, 0.456, 0.406]) / [0.229, 0.224, 0.225]
+    schema = "image struct<origin string, height int, width int, nChannels int, mode int, data binary>"
+    images = spark.createDataFrame([(r,) for r in rows], schema).repartition(3)
+
+    def tensors(flip):
+        return {r["origin"]: np.array(r["tensor"]).reshape(3, 5, 4).transpose(1, 2, 0) for r in image_normalize(images, (5, 4), flip).collect()}
+
+    plain, all_flipped, some = tensors(0.0), tensors(1.0), tensors(0.5)
+    assert set(plain) == set(want)
+    for k, v in want.items():
+        assert np.allclose(plain[k], v, atol=1e-5) and np.allclose(all_flipped[k], v[:, ::-1], atol=1e-5)
+    flipped = sum(np.allclose(some[k], want[k][:, ::-1], atol=1e-5) and not np.allclose(some[k], want[k], atol=1e-5) for k in want)
+    assert 8 < flipped < 32 and all(np.array_equal(tensors(0.5)[k], some[k]) for k in want)
+
+
 def test_restore_catalog(spark, tmpdir_path):
     root = os.path.join(tmpdir_path, "cat")
     for ds, classes in (("ds1", ["a", "b"]), ("ds2", ["x"])):
