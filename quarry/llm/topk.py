@@ -2,11 +2,12 @@
 
 Vectors are integers. A cell block approximates its vectors by one byte per
 component (256 cells between the block's least and largest value). Query blocks
-meet cell blocks, never single vectors: the cells give a lower and an upper
-bound of every score, and a vector whose upper bound is below the k-th best
+meet cell blocks on a grid, never single vectors: the cells give a lower and an
+upper bound of every score, and a vector whose upper bound is below the k-th best
 lower bound of its block can't be in the result. The surviving (query, vector)
-pairs are cut again by the k-th best lower bound over all blocks; only then are
-exact vectors read, those of all pairs left, in one join and in no order.
+pairs are cut again by the k-th best lower bound over all blocks. Exact vectors are
+then read in the order of their upper bounds, some for every query at a time; a
+query is done as soon as its k-th exact score is above the next bound.
 """
 
 from __future__ import annotations
@@ -82,12 +83,13 @@ def bounds(q: np.ndarray, low: np.ndarray, width: np.ndarray, codes: np.ndarray)
 
 
 def search(rows: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding",
-           query_block: int = 256, cell_block: int = 4096) -> DataFrame:
+           query_block: int = 256, cell_block: int = 4096, grid: int = 4, first: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query row with all other rows, ties to the smaller id.
 
     ``is_query`` is a condition on vec_id. Vectors of another dimension than the
     query's don't take part in it. Of equal vectors only the k + 1 smallest ids
     can be in a result, so only those are searched. Scores must fit in 63 bits.
+    ``first`` vectors of a query (4 k) are read before the first look at its bounds.
     """
     vectors = keep(integer_vectors(rows, id_col, vector_col, scale), "va-vectors")
     alike = Window.partitionBy("v").orderBy("vec_id")
@@ -112,16 +114,53 @@ def search(rows: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col: st
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "lower", "upper"])
 
-    # A stated query set against all rows, in blocks: every query block meets every cell block of its dimension.
-    pairs = cells.join(queries, "dim").select("dim", "ids", "low", "width", "codes", "qids", "q")
-    near = keep(map_batches(pairs, scan, "query_id long, vec_id long, lower double, upper double"), "va-bounds")
+    near = keep(map_batches(_grid(cells, queries, grid), scan, "query_id long, vec_id long, lower double, upper double"), "va-bounds")
     best = Window.partitionBy("query_id").orderBy(F.desc("lower"), "vec_id")
     kth = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy("query_id").agg(
         F.when(F.count("*") >= k, F.min("lower")).alias("kth"))
     hopeful = near.join(kth, "query_id").where(F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))).select("query_id", "vec_id", "upper")
-    exact = (hopeful.join(vectors.withColumnRenamed("v", "cv"), "vec_id")
-             .join(wanted.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id"))
-    score = F.aggregate(F.zip_with("cv", "qv", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    scored = exact.select("query_id", "vec_id", score.alias("score"))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _in_bound_order(keep(hopeful, "va-hopeful"), vectors, wanted, k, 4 * k if first is None else first)
+
+
+def _grid(cells: DataFrame, queries: DataFrame, side: int) -> DataFrame:
+    """All pairs of a cell block and a query block of one dimension: a stated query set against all rows, in blocks.
+
+    Both are dealt to groups of about ``side`` blocks, and every pair of groups is a key of its own.
+    """
+    groups = {d: (-(-c // side), -(-q // side)) for d, c, q in cells.groupBy("dim").agg(F.count("*").alias("c")).join(
+        queries.groupBy("dim").agg(F.count("*").alias("q")), "dim").collect()}  # one row per dimension
+    if not groups:
+        return cells.join(queries, "dim").select("dim", "ids", "low", "width", "codes", "qids", "q")
+    many = cells.sparkSession.createDataFrame([(d, c, q) for d, (c, q) in groups.items()], "dim int, n_c int, n_q int")
+    left = (cells.join(F.broadcast(many), "dim").withColumn("c", F.pmod(F.xxhash64("ids"), "n_c")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)))
+            .select("dim", "c", "g", "ids", "low", "width", "codes"))
+    right = (queries.join(F.broadcast(many), "dim").withColumn("g", F.pmod(F.xxhash64("qids"), "n_q").cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("n_c") - 1)))
+             .select("dim", F.col("c").cast("long").alias("c"), "g", "qids", "q"))
+    return left.join(right, ["dim", "c", "g"]).select("dim", "ids", "low", "width", "codes", "qids", "q")
+
+
+def _in_bound_order(left: DataFrame, vectors: DataFrame, wanted: DataFrame, k: int, size: int) -> DataFrame:
+    """The k best of each query among ``left`` (query_id, vec_id, upper), exact vectors read by falling upper bound.
+
+    Each round reads the next ``size`` vectors of every query that isn't done, twice as many
+    as the round before; what lies below a query's k-th exact score is never read.
+    """
+    product = F.aggregate(F.zip_with("cv", "qv", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, x: a + x)
+    by_bound = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id")
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = None
+    while True:
+        # A limit per query runs in each task before rows meet.
+        now = keep(left.withColumn("n", F.row_number().over(by_bound)).where(F.col("n") <= size).drop("n"), "va-read")
+        scored = (now.join(vectors.withColumnRenamed("v", "cv"), "vec_id").join(wanted.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")), "query_id")
+                  .select("query_id", "vec_id", product.alias("score")))
+        so_far = scored if best is None else best.select("query_id", "vec_id", "score").union(scored)
+        best = keep(so_far.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k), "va-best")
+        last = now.groupBy("query_id").agg(F.min_by(F.struct("upper", "vec_id"), F.struct("upper", -F.col("vec_id"))).alias("last"))
+        kth = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+        behind = (F.col("upper") < F.col("last.upper")) | ((F.col("upper") == F.col("last.upper")) & (F.col("vec_id") > F.col("last.vec_id")))
+        open_ = left.join(last, "query_id").join(kth, "query_id").where(behind & (F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))))
+        left = keep(open_.select("query_id", "vec_id", "upper"), "va-hopeful")
+        if not left.limit(1).count():
+            return best.select("query_id", "rank", "vec_id", "score")
+        size *= 2

@@ -180,3 +180,35 @@ def test_topk_equals_brute_force(spark):
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:10])]
     assert got == sorted(want)
     assert topk.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+@pytest.mark.parametrize("first,grid", [(1, 1), (3, 2), (None, 4)])
+def test_topk_reads_exact_vectors_in_bound_order(spark, monkeypatch, first, grid):
+    """Vectors are read by falling bound and no further than needed: fewer than the bounds alone would let through."""
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(6)
+    base = np.abs(rng.normal(0, 1, (400, 4)))
+    base[5::20] = -400.0  # far vectors make cells wide, and bounds loose
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    held = {}
+    kept = topk.keep
+    monkeypatch.setattr(topk, "keep", lambda t, name: held.setdefault(name, []).append(kept(t, name)) or held[name][-1])
+    got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 100 == 0, k=3, query_block=2, cell_block=60, grid=grid, first=first).collect())
+    v = np.floor(1024 * base).astype(np.int64)
+    want = []
+    for q in range(0, 400, 100):
+        scored = sorted((-int(v[q] @ v[i]), i) for i in range(400) if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:3])]
+    assert got == sorted(want)
+    bounds = {(r["query_id"], r["vec_id"]): r["upper"] for r in held["va-hopeful"][0].collect()}
+    rounds = [[(r["query_id"], r["vec_id"]) for r in t.collect()] for t in held["va-read"]]
+    read = [x for r in rounds for x in r]
+    assert len(read) == len(set(read)) and set(read) <= set(bounds)
+    for q in range(0, 400, 100):  # each round reads lower bounds than the one before, and what is left can't matter
+        tops = [[bounds[x] for x in r if x[0] == q] for r in rounds]
+        tops = [t for t in tops if t]
+        assert all(min(a) >= max(b) for a, b in zip(tops, tops[1:], strict=False))
+        kth = [s for qq, r, _, s in got if qq == q and r == 3][0]
+        assert all(u < kth for (qq, i), u in bounds.items() if qq == q and (qq, i) not in set(read))
+    if first == 1:
+        assert len(rounds) > 1 and len(read) < len(bounds)
