@@ -33,7 +33,7 @@ def q_progress_stream(spark, sf):
     return SF.current(spark, out).select("job_id", "event_id", "stage", "event", "accuracy", "loss", "ts", "events")
 
 
-def _job_states(spark, sf, batches=4):
+def _job_states(spark, sf, batches=3):
     """The progress events as a stream of several micro-batches, each with events older than some that came before."""
     prog = R.progress(spark, sf)
     root = ST.stream_root(spark, "progress")
