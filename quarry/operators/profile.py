@@ -136,9 +136,9 @@ def basic_profile(df: DataFrame) -> DataFrame:
 def numeric_profile(df: DataFrame, cols: list[str] | None = None, approx: bool = False, sketches: DataFrame | None = None) -> DataFrame:
     """C4 (C17 with ``approx=True``): moments, exact quartiles, outliers, zero/missing share.
 
-    Quartiles come from radix selection (bucket counts are exchanged, no values), so
-    the fences are literals of the one aggregate that takes moments and outliers. Only
-    the exact number of distinct values exchanges values, once each per task. With
+    Quartiles come from radix selection (bucket counts are exchanged, no values); their
+    fences, one row a column, go into the one aggregate that takes moments and outliers.
+    Only the exact number of distinct values exchanges values, once each per task. With
     ``approx`` quartiles and distinct values are those of sketches, given (one merged
     row per column) or made in one scan.
     """
@@ -153,17 +153,21 @@ def numeric_profile(df: DataFrame, cols: list[str] | None = None, approx: bool =
     else:
         quart = quantiles(df, cols, [0.25, 0.5, 0.75])
 
-    def per_col(c):
-        x, (q1, mid, q3) = F.col(c).cast("double"), (quart[c][p] for p in (0.25, 0.5, 0.75))
-        outside = F.lit(False) if q1 is None else (x < F.lit(q1 - IQR_FENCE * (q3 - q1))) | (x > F.lit(q3 + IQR_FENCE * (q3 - q1)))
-        out = [("nn", F.count(x)), ("mean", F.avg(x)), ("std_dev", F.stddev_samp(x)),
-               ("skewness", F.skewness(x)), ("kurtosis", F.kurtosis(x)),
-               ("zeros", F.count_if(x == 0)), ("vmin", F.min(x)), ("vmax", F.max(x)), ("n_out", F.count_if(outside)),
-               *[(name, F.lit(v).cast("double")) for name, v in (("q1", q1), ("median", mid), ("q3", q3))]]
-        return out + [("unique_values", F.lit(distinct[c]))] if approx else out
-
-    stats = _long_stats(df, cols, per_col)
-    out = stats if approx else stats.join(distinct_counts(df, cols), "column", "left")
+    rows = []
+    for c in cols:
+        q1, mid, q3 = (quart[c][p] for p in (0.25, 0.5, 0.75))
+        rows.append((c, q1, mid, q3, *((None, None) if q1 is None else (q1 - IQR_FENCE * (q3 - q1), q3 + IQR_FENCE * (q3 - q1))), distinct.get(c)))
+    known = df.sparkSession.createDataFrame(rows, "column string, q1 double, median double, q3 double, lo double, hi double, unique_values long")
+    # One set of expressions for all columns: a wide aggregate of many moments is too large a method to be compiled.
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column", "value")
+    x = F.col("value")
+    stats = long.join(F.broadcast(known.select("column", "lo", "hi")), "column").groupBy("column").agg(  # a row per column
+        F.count(F.lit(1)).alias("rows"), F.count(x).alias("nn"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std_dev"),
+        F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"), F.count_if(x == 0).alias("zeros"), F.min(x).alias("vmin"), F.max(x).alias("vmax"),
+        F.count_if((x < F.col("lo")) | (x > F.col("hi"))).alias("n_out"))
+    if not approx:
+        known = known.drop("unique_values").join(distinct_counts(df, cols), "column", "left")
+    out = known.join(stats, "column", "left").withColumn("nn", F.coalesce("nn", F.lit(0)))
     dtype_col = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(dtypes[c]))])
     nn = F.col("nn")
     return out.select(

@@ -13,8 +13,8 @@ another result:
   counted one by one and collected.
 
 All ranks of all columns share the passes. The driver holds one number per
-column and rank, and the exchanges carry bucket counts: at most 65,536 for each
-column and bucket looked into, however many rows there are.
+column and rank, and up to ``DRIVER_ROWS`` bucket counts; the exchanges carry bucket
+counts: at most 65,536 for each column and bucket looked into, however many rows there are.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ BITS = 16
 HELD_KEYS = 4096
 #: Rows of all buckets looked into whose values may be collected.
 SMALL_ROWS = 50_000
+#: Bucket counts that are collected and summed up by the driver; beyond, a window does it.
+DRIVER_ROWS = 200_000
 #: Codes a task holds before it adds up equal ones.
 HELD_CODES = 500_000
 
@@ -148,6 +150,26 @@ def _next_pass(values: DataFrame, open_at: dict[int, list[int]], depth: int, who
     return values.mapInArrow(run, _COUNTS).groupBy("column", "whole", "above", "code").agg(F.sum("n").alias("n"))
 
 
+def _gathered(counts: DataFrame) -> list[tuple[int, int, int, int, bool]] | None:
+    """(column, above, code, n, whole) rows, if there are at most ``DRIVER_ROWS``."""
+    rows = counts.select("column", "above", "code", "n", "whole").limit(DRIVER_ROWS + 1).collect()
+    return [tuple(r) for r in rows] if len(rows) <= DRIVER_ROWS else None
+
+
+def _locate_rows(counts: Iterable[tuple[int, int, int, int]], wanted: list[tuple[int, int, int]]) -> dict[tuple[int, int, int], tuple[int, int, int]]:
+    """``_locate`` on gathered counts (column, above, code, n)."""
+    held: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for column, above, code, n in counts:
+        held.setdefault((column, above), []).append((code, n))
+    ends = {at: (found := sorted(rows), np.cumsum([n for _, n in found])) for at, rows in held.items()}
+    out = {}
+    for column, above, rank in set(wanted):
+        found, end = ends[column, above]
+        i = int(np.searchsorted(end, rank, side="right"))
+        out[column, above, rank] = (found[i][0], rank - int(end[i]) + found[i][1], found[i][1])
+    return out
+
+
 def _locate(counts: DataFrame, wanted: list[tuple[int, int, int]]) -> dict[tuple[int, int, int], tuple[int, int, int]]:
     """(column, above, rank) -> (code, rank within the code, n): a running sum over the bucket counts of each column."""
     if not wanted:
@@ -177,17 +199,33 @@ def _select(df: DataFrame, cols: list[str], wanted: Callable[[str, int], Iterabl
     columns = [_Column() for _ in cols]
     first = _first_pass(values, len(cols)).persist()  # at most 65,536 buckets, or HELD_KEYS keys of each task, for each column
     try:
-        buckets = (first.select("column", "above", F.when(F.col("whole"), F.shiftright("code", 64 - BITS)).otherwise(F.col("code")).alias("code"), "whole", "n")
-                   .groupBy("column", "above", "code").agg(F.sum("n").alias("n"), F.min("whole").alias("whole"), F.count("*").alias("keys")))
-        sizes = buckets.groupBy("column").agg(F.sum("n").alias("n"), F.min("whole").alias("whole"), F.sum("keys").alias("keys")).collect()
-        for r in sizes:
-            columns[r["column"]].n = r["n"]
+        rows = _gathered(first)
+        if rows is None:
+            buckets = (first.select("column", "above", F.when(F.col("whole"), F.shiftright("code", 64 - BITS)).otherwise(F.col("code")).alias("code"), "whole", "n")
+                       .groupBy("column", "above", "code").agg(F.sum("n").alias("n"), F.min("whole").alias("whole"), F.count("*").alias("keys")))
+            sizes = {r["column"]: (r["n"], r["whole"], r["keys"]) for r in
+                     buckets.groupBy("column").agg(F.sum("n").alias("n"), F.min("whole").alias("whole"), F.sum("keys").alias("keys")).collect()}
+        else:
+            sizes, upper = {}, {}
+            for i, above, code, n, whole in rows:
+                old = sizes.get(i, (0, True, 0))
+                sizes[i] = (old[0] + n, old[1] and whole, old[2] + 1)
+                at = (i, above, code >> (64 - BITS) if whole else code)
+                upper[at] = upper.get(at, 0) + n
+        for i, (n, _, _) in sizes.items():
+            columns[i].n = n
         ranks = {i: sorted({r for r in wanted(cols[i], c.n) if 0 <= r < c.n}) for i, c in enumerate(columns)}
-        done = {r["column"] for r in sizes if r["whole"] and r["keys"] <= 1 << BITS}
-        for (i, _, rank), (key, _, _) in _locate(first.where(F.col("column").isin(*done)) if done else first, [(i, 0, r) for i in done for r in ranks[i]]).items():
-            columns[i].found[rank] = from_bits(key + 2**63)
+        done = {i for i, (_, whole, keys) in sizes.items() if whole and keys <= 1 << BITS}
+        exact = [(i, 0, r) for i in done for r in ranks[i]]
         todo = [(i, 0, r) for i in range(len(cols)) if i not in done for r in ranks[i]]
-        hit = _locate(buckets.select("column", "above", "code", "n"), todo)
+        if rows is None:
+            keys = _locate(first.where(F.col("column").isin(*done)), exact) if done else {}
+            hit = _locate(buckets.select("column", "above", "code", "n"), todo)
+        else:
+            keys = _locate_rows(((i, above, code, n) for i, above, code, n, _ in rows if i in done), exact)
+            hit = _locate_rows(((*at, n) for at, n in upper.items()), todo)
+        for (i, _, rank), (key, _, _) in keys.items():
+            columns[i].found[rank] = from_bits(key + 2**63)
     finally:
         first.unpersist()
     rows = {(i, code): n for (i, _, _), (code, _, n) in hit.items()}
@@ -210,7 +248,9 @@ def _select(df: DataFrame, cols: list[str], wanted: Callable[[str, int], Iterabl
                     c.found[rank] = from_bits(found[int(np.searchsorted(end, left, side="right"))][0] + 2**63)
                 c.at = {}
             break
-        hit = _locate(counts.select("column", "above", "code", "n"), [(i, places[i, upper], left) for i, c in enumerate(columns) for upper, left in c.at.values()])
+        todo = [(i, places[i, upper], left) for i, c in enumerate(columns) for upper, left in c.at.values()]
+        held = _gathered(counts)
+        hit = _locate(counts.select("column", "above", "code", "n"), todo) if held is None else _locate_rows((r[:4] for r in held), todo)
         rows = {}
         for i, c in enumerate(columns):
             for rank, (upper, left) in c.at.items():

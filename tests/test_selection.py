@@ -26,15 +26,16 @@ def test_ordered_bits_keep_order_and_round_trip():
 @pytest.fixture()
 def all_ways(monkeypatch):
     """Sets how many keys a task holds and how many rows may be collected, so that every way through the passes is taken."""
-    def way(held, small):
+    def way(held, small, driver=200_000):
         monkeypatch.setattr(radix, "HELD_KEYS", held)
         monkeypatch.setattr(radix, "SMALL_ROWS", small)
+        monkeypatch.setattr(radix, "DRIVER_ROWS", driver)
     return way
 
 
-@pytest.mark.parametrize("held,small", [(4096, 50_000), (2, 50_000), (2, 40), (2, 0)])
-def test_quantiles_equal_numpy(spark, all_ways, held, small):
-    all_ways(held, small)
+@pytest.mark.parametrize("held,small,driver", [(4096, 50_000, 200_000), (4096, 50_000, 0), (2, 50_000, 0), (2, 40, 200_000), (2, 40, 0), (2, 0, 200_000)])
+def test_quantiles_equal_numpy(spark, all_ways, held, small, driver):
+    all_ways(held, small, driver)
     rng = random.Random(held + small)
     cols = {"few": [rng.choice([1.0, 2.0, 2.0, None]) for _ in range(700)], "wide": [rng.gauss(0, 1e6) if rng.random() > 0.1 else None for _ in range(700)],
             "odd": [rng.choice(SPECIAL[:8] + SPECIAL[10:]) for _ in range(700)], "none": [None] * 700, "same": [7.25] * 700,
