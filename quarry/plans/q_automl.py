@@ -42,7 +42,7 @@ def q_predict(spark, sf):
 
 @register("bagged_stack")
 def q_bagged_stack(spark, sf):
-    return J.bagged_stack(orders_ml(spark, sf), "o_orderstatus", "multiclass", "o_orderkey", families=("LR", "RF", "GBM"), folds=5)
+    return J.bagged_stack(orders_ml(spark, sf), "o_orderstatus", "multiclass", "o_orderkey", families=("LR", "RF", "GBM"), folds=5, iterations=5)
 
 
 @register("feature_importance")
