@@ -14,10 +14,13 @@ leaders, and each claims the unclaimed texts that look like it by a bottom-48
 sample of shingles; a bucket of more than ``bound`` texts does so in parts, and
 the leaders of its parts meet again in further rounds. Claims are verified, and
 verified links joined to classes: that unites most of a group with a few pairs
-a text. A claim settles nothing by itself. Afterwards all pairs of texts that
-share a bucket but no class are looked at, block against block where a bucket is
-large, and all that look at least PLAUSIBLE alike are verified, the likeliest
-first, except those that came into one class meanwhile. There is no cap.
+a text. A claim settles nothing by itself. Afterwards the texts of every bucket
+that still holds several classes meet, block against block where it is large.
+A task has the texts of its two blocks at hand and compares every pair of
+unlike classes: the shingles both have bound the similarity from above, and
+pairs that reach the threshold are aligned, the likeliest first, except those
+that came into one class meanwhile. So a task gives at most one link for each
+class that it unites, and no list of pairs is ever made. There is no cap.
 """
 
 from __future__ import annotations
@@ -37,8 +40,8 @@ from quarry.llm.components import components
 WORD = re.compile(r"\w+")
 #: Size of the sample of smallest shingle hashes that says how alike two texts look.
 SAMPLE = 48
-#: Texts that look less alike than this aren't verified: 5 standard deviations of the sample below 0.8.
-PLAUSIBLE = 0.5
+#: Mean number of shingles a text up to which blocks are cut by the number of texts alone.
+MEAN_SHINGLES = 2000
 
 
 def words(text: str) -> list[str]:
@@ -130,17 +133,63 @@ def lead(ids: np.ndarray, n: np.ndarray, samples: np.ndarray, threshold: float)
             yield int(ids[m]), int(ids[c])
 
 
-def apart(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...] | None) -> Iterator[tuple[int, int, float]]:
-    """Pairs (text, text, likeness) of two blocks (ids, labels, n, samples), or inside one, of unlike labels that look at least PLAUSIBLE alike."""
-    ids, labels, n, samples = right or left
-    for c in range(len(left[0])):
-        other = np.flatnonzero(labels != left[1][c])
-        if right is None:
-            other = other[other > c]
-        if len(other):
-            like = likeness(left[3][c][left[3][c] < 2**32], int(left[2][c]), samples[other], n[other])
-            for m in np.flatnonzero(like >= PLAUSIBLE):
-                yield int(left[0][c]), int(ids[other[m]]), float(like[m])
+class Block:
+    """Texts of a block: ids, labels of their classes, rows of sketches, sequences of shingles and, as numbers, the occurrences of these."""
+
+    def __init__(self, ids: list[int], labels: list[int], sketches: list[list[int]], seqs: list[np.ndarray]):
+        self.ids, self.labels, self.sketches, self.seqs = ids, np.array(labels), np.array(sketches), seqs
+        self.n = np.array([len(x) for x in seqs])
+        self.terms: list[np.ndarray] = []
+
+
+def number_terms(blocks: list[Block]) -> int:
+    """Number the occurrence-labelled shingles of all blocks that more than one text has; the others of a text match nothing."""
+    labelled = [label_occurrences(x) for b in blocks for x in b.seqs]
+    _, at, count = np.unique(np.concatenate(labelled), return_inverse=True, return_counts=True)
+    parts = iter(np.split(at, np.cumsum([len(x) for x in labelled])[:-1]))
+    for b in blocks:
+        b.terms = [p[count[p] > 1] for _, p in zip(b.seqs, parts)]  # noqa: B905  one part for each text of the block
+    return len(count)
+
+
+def united(blocks: list[Block], table: int, threshold: float) -> Iterator[tuple[int, int, float]]:
+    """Links (text, text, similarity) that unite classes of two blocks, or inside one.
+
+    All pairs of unlike labels are compared that agree in ``table`` and in no table
+    before it, where they would have met already. Two texts can't match more shingles
+    in order than they share; only pairs whose shared ones reach the threshold are aligned.
+    """
+    left, right = blocks[0], blocks[-1]
+    marked = np.zeros(number_terms(blocks), bool)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+    for c in range(len(left.ids)):
+        start = c + 1 if left is right else 0
+        meet = (right.labels[start:] != left.labels[c]) & (np.minimum(right.n[start:], left.n[c]) >= threshold * np.maximum(right.n[start:], left.n[c]) - 1e-9)
+        others = np.flatnonzero(meet) + start
+        if len(others):
+            others = others[(right.sketches[others] == left.sketches[c]).argmax(1) == table]
+        if not len(others):
+            continue
+        marked[left.terms[c]] = True
+        theirs = [right.terms[o] for o in others]
+        whose = np.repeat(np.arange(len(others)), [len(x) for x in theirs])
+        shared = np.bincount(whose[marked[np.concatenate(theirs)]], minlength=len(others))
+        marked[left.terms[c]] = False
+        most = shared / (left.n[c] + right.n[others] - shared)
+        for i in np.argsort(-most, kind="stable"):
+            if most[i] < threshold - 1e-12:
+                break
+            o = others[i]
+            x, y = find(int(left.labels[c])), find(int(right.labels[o]))
+            if x != y and (sim := aligned(left.seqs[c], right.seqs[o], threshold)) is not None:
+                parent[max(x, y)] = min(x, y)
+                yield int(left.ids[c]), int(right.ids[o]), sim
 
 
 def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> float | None:
@@ -240,9 +289,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 
 
 def _members(parts: DataFrame) -> DataFrame:
-    """(key, doc_id, size) of all buckets of more than one text."""
-    rows = keep(parts.select("doc_id", F.posexplode("parts").alias("t", "v")).select("doc_id", F.xxhash64("t", "v").alias("key")), "buckets")
-    return keep(rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "bucket-members")
+    """(key, t, doc_id, size) of all buckets of more than one text; of buckets that hold the same texts that of the first table t."""
+    rows = keep(parts.select("doc_id", F.posexplode("parts").alias("t", "v")).select(F.xxhash64("t", "v").alias("key"), "t", "doc_id"), "buckets")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("t").alias("t"),
+                                    *[F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"s{i}") for i in (1, 2)]).where("size > 1")
+    first = sizes.groupBy("s1", "s2", "size").agg(F.min(F.struct("t", "key")).alias("f")).select(F.col("f.key").alias("key"), "size")
+    return keep(rows.join(first, "key"), "bucket-members")
 
 
 def _claims(members: DataFrame, details: DataFrame, bound: int, threshold: float) -> DataFrame:
@@ -277,44 +329,49 @@ def _claims(members: DataFrame, details: DataFrame, bound: int, threshold: float
         "a", (F.col("x") + F.col("y") - F.col("a")).alias("b"))
 
 
-def _open_pairs(members: DataFrame, details: DataFrame, labels: DataFrame, checked: DataFrame, bound: int) -> DataFrame:
-    """(a, b, like) of all texts that share a bucket but no class, look at least PLAUSIBLE alike and haven't been compared yet.
+def _open_links(members: DataFrame, parts: DataFrame, labels: DataFrame, texts: DataFrame, bound: int, k: int, threshold: float) -> DataFrame:
+    """(a, b, sim): links that unite classes of texts that share a bucket.
 
-    Buckets are cut in blocks of about ``bound`` texts; a class that is larger
-    has blocks of its own, which needn't meet each other.
+    Buckets are cut in blocks of about ``bound`` texts, or of as many shingles as that
+    many texts of MEAN_SHINGLES; a class that is larger has blocks of its own, which
+    needn't meet each other.
     """
-    named = _labelled(members.select("key", "doc_id"), labels)
-    classes = keep(named.groupBy("key", "lab").agg(F.count("*").alias("n_class")), "bucket-classes")
-    mixed = (classes.groupBy("key").agg(F.count("*").alias("n_classes"), F.sum(F.when(F.col("n_class") <= bound, F.col("n_class")).otherwise(0)).alias("n_loose"))
-             .where("n_classes > 1").drop("n_classes"))
+    named = _labelled(members.select("key", "t", "doc_id"), labels).join(parts.select("doc_id", "n"), "doc_id")
+    classes = keep(named.groupBy("key", "lab").agg(F.count("*").alias("n_class"), F.sum("n").alias("n_shingles")), "bucket-classes")
     whole = F.col("n_class") > bound
+    loose = lambda c: F.sum(F.when(whole, 0).otherwise(F.col(c)))
+    mixed = (classes.groupBy("key").agg(F.count("*").alias("n_classes"), loose("n_class").alias("n_loose"), loose("n_shingles").alias("s_loose"))
+             .where("n_classes > 1").drop("n_classes"))
+    cuts = lambda n, s: F.greatest(F.ceil(F.col(n) / bound), F.ceil(F.col(s) / (bound * MEAN_SHINGLES)))
     of_class = classes.join(mixed, "key").select("key", "lab", whole.alias("whole"), F.when(whole, F.col("lab")).otherwise(0).alias("home"),
-                                                 F.ceil(F.when(whole, F.col("n_class")).otherwise(F.col("n_loose")) / bound).alias("cuts"))
+                                                 F.when(whole, cuts("n_class", "n_shingles")).otherwise(cuts("n_loose", "s_loose")).alias("cuts"))
     block = F.struct("whole", "home", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).alias("cut"))
-    rows = keep(named.join(of_class, ["key", "lab"]).select("key", "doc_id", "lab", block.alias("block")).join(details, "doc_id"), "bucket-blocks")
+    rows = keep(named.join(of_class, ["key", "lab"]).select("key", "t", "doc_id", "lab", block.alias("block")), "bucket-blocks")
     blocks = keep(rows.select("key", "block").distinct(), "blocks")
     meet = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "key").where(
         "x <= y and not (x.whole and y.whole and x.home = y.home)")
     meet = keep(meet.select("key", "x", "y", F.xxhash64("key", "x", "y").alias("g")), "blocks-met")
-    columns = ["g", "side", "doc_id", "lab", "n", "low"]
-    sides = (rows.join(meet.select("key", F.col("x").alias("block"), "g"), ["key", "block"]).withColumn("side", F.lit(0)).select(*columns)
-             .union(rows.join(meet.where("x <> y").select("key", F.col("y").alias("block"), "g"), ["key", "block"]).withColumn("side", F.lit(1)).select(*columns)))
+    columns = ["g", "t", "doc_id", "lab"]
+    sides = (rows.join(meet.select("key", F.col("x").alias("block"), "g"), ["key", "block"]).select(*columns, F.lit(0).alias("side"))
+             .union(rows.join(meet.where("x <> y").select("key", F.col("y").alias("block"), "g"), ["key", "block"]).select(*columns, F.lit(1).alias("side"))))
+    # Shuffled at every size, as in _verify.
+    full = (sides.join(parts.select("doc_id", "parts").hint("merge"), "doc_id").join(texts.hint("merge"), "doc_id")
+            .select("g", "side", "t", "doc_id", "lab", "parts", "text"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches):
+        read = (pa.RecordBatch.from_arrays(b.columns[:6] + [pa.array([shingles(x.as_py(), k).tobytes() for x in b.column(6)], pa.binary())], b.schema.names)
+                for b in batches)
+        for _, rows in _groups(read):
             blocks = []
             for s in (0, 1):
                 if side := [r[1:] for r in rows if r[0] == s]:
-                    ids, lab, n, low = zip(*side, strict=True)
-                    blocks.append((np.array(ids), np.array(lab), np.array(n), _matrix(low)))
-            if pairs := list(apart(blocks[0], blocks[1] if len(blocks) > 1 else None)):
-                a, b, like = zip(*pairs, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(like)], ["a", "b", "like"])
+                    t, ids, lab, sketches, seqs = zip(*side, strict=True)
+                    blocks.append(Block(ids, lab, sketches, [np.frombuffer(x, np.uint64) for x in seqs]))
+            if found := list(united(blocks, t[0], threshold)):
+                a, b, sim = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sim, pa.float64())], ["a", "b", "sim"])
 
-    pairs = sides.repartition("g").sortWithinPartitions("g", "side", "doc_id").mapInArrow(compared, "a long, b long, like double")
-    done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return (pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("like").alias("like"))
-            .join(done.hint("merge"), ["a", "b"], "left_anti"))
+    return full.repartition("g").sortWithinPartitions("g", "side", "doc_id").mapInArrow(compared, "a long, b long, sim double")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -339,17 +396,19 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
             .withColumn("lab", F.coalesce("class_id", "doc_id")).drop("class_id"))
 
 
-def _verified(pairs: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Verify the pairs of texts that aren't in one class yet: (links, labels) with what was found, and the pairs compared."""
+def _verified(pairs: DataFrame, labels: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The links among the pairs of texts that aren't in one class yet."""
     left = _labelled(pairs.withColumnRenamed("a", "doc_id"), labels).select(F.col("doc_id").alias("a"), F.col("lab").alias("la"), F.col("b").alias("doc_id"))
-    todo = keep(_labelled(left, labels).where("la <> lab").select("a", F.col("doc_id").alias("b")), "to-check")
-    if not todo.limit(1).count():
-        return links, labels, todo
-    found = keep(_verify(todo, texts, k, threshold), "checked").where("sim is not null")
-    if found.limit(1).count():
-        links = links.union(found)
-        labels = keep(components(links), "classes")
-    return links, labels, todo
+    todo = _labelled(left, labels).where("la <> lab").select("a", F.col("doc_id").alias("b"))
+    return keep(_verify(todo, texts, k, threshold), "checked").where("sim is not null")
+
+
+def _joined(links: DataFrame, labels: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, labels) with the links found."""
+    if not found.limit(1).count():
+        return links, labels
+    links = links.union(found)
+    return links, keep(components(links), "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8,
@@ -372,15 +431,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = claims.groupBy("a").agg(F.min(F.struct(F.xxhash64("b"), F.col("b").alias("id"))).alias("c")).select("a", F.col("c.id").alias("b"))
     links = keep(_verify(first, texts, k, threshold), "checked").where("sim is not null")
     labels = keep(components(links), "classes")
-    # Then the other claims of texts that aren't in one class yet, then all that is left open in the buckets, the likeliest first.
-    links, labels, tried = _verified(claims.join(first, ["a", "b"], "left_anti"), links, labels, texts, k, threshold)
-    pairs = keep(_open_pairs(members, details, labels, first.union(tried), bound), "open-pairs")
-    best = lambda x, y: pairs.groupBy(F.col(x).alias("t")).agg(F.max(F.struct("like", F.col(y).alias("o"))).alias("c"))
-    likeliest = best("a", "b").union(best("b", "a")).groupBy("t").agg(F.max("c").alias("c")).select(F.least("t", "c.o").alias("a"), F.greatest("t", "c.o").alias("b")).distinct()
-    links, labels, _ = _verified(likeliest, links, labels, texts, k, threshold)
-    rest = pairs.join(likeliest.hint("merge"), ["a", "b"], "left_anti")
-    for some in (F.col("like") >= threshold, F.col("like") < threshold):
-        links, labels, _ = _verified(rest.where(some).select("a", "b"), links, labels, texts, k, threshold)
+    # Then the other claims of texts that aren't in one class yet, then all that is left open in the buckets.
+    links, labels = _joined(links, labels, _verified(claims.join(first, ["a", "b"], "left_anti"), labels, texts, k, threshold))
+    links, labels = _joined(links, labels, keep(_open_links(members, parts, labels, texts, bound, k, threshold), "open-links"))
     n_links = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     rep_class = _labelled(reps.select(F.col("rep").alias("doc_id"), "digest"), labels).select("digest", F.col("lab").alias("class_id"))
     out = sk.select("doc_id", "digest").join(keep(rep_class, "rep-class"), "digest", "left")

@@ -146,6 +146,36 @@ def test_links_that_look_weak_are_verified(make):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(make(docs)).collect()} == brute_classes(docs)
 
 
+def test_no_table_holds_the_pairs_of_a_group(make, monkeypatch):
+    """Pages of one template look alike and are not: what is written grows with the texts, not with their pairs."""
+    docs, written, keep = template_pages(5, 4, n=100), {}, near_dedup.keep
+
+    def counted(df, name):
+        out = keep(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+    monkeypatch.setattr(near_dedup, "keep", counted)
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(make(docs)).collect()} == brute_classes(docs)
+    assert max(written.values()) <= 12 * len(docs)
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_blocks_unite_classes_with_one_link_each(split):
+    docs = [t for _, t in template_pages(6, 2, apart=1, n=6)]  # all alike
+    seqs = [near_dedup.shingles(t) for t in docs]
+    block = lambda at: near_dedup.Block([10 + i for i in at], [10 + i for i in at], [[i, 7, 7] for i in at], [seqs[i] for i in at])
+    blocks = [block(range(5)), block(range(5, 12))] if split else [block(range(12))]
+    links = list(near_dedup.united(blocks, 1, 0.8))
+    assert len(links) == 11 and all(s >= 0.8 and a != b for a, b, s in links)
+    assert not list(near_dedup.united(blocks, 2, 0.8))  # all agree in table 1, where they have met
+
+
+def test_buckets_of_the_same_texts_count_once(spark):
+    parts = spark.createDataFrame([(1, [5, 8, 9, 1]), (2, [5, 8, 9, 2]), (3, [6, 8, 4, 3])], "doc_id long, parts array<long>")
+    got = sorted((r["t"], r["doc_id"], r["size"]) for r in near_dedup._members(parts).collect())
+    assert got == [(0, 1, 2), (0, 2, 2), (1, 1, 3), (1, 2, 3), (1, 3, 3)]
+
+
 def test_near_duplicates_of_driver_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
