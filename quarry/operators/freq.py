@@ -61,6 +61,10 @@ def numeric_frequency(df: DataFrame, cols: list[str]) -> DataFrame:
             .groupBy("column", "value", "own").agg(F.count(F.lit(1)).alias("n")).drop("own"))
 
 
+#: Most columns whose distinct values are counted in plans of their own.
+NARROW = 16
+
+
 def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """``(column, unique_values)`` of numeric columns, NULL not counted: integers are grouped as longs, floating point
     numbers as doubles and decimals by their own type, so no value becomes text and none is rounded."""
@@ -69,9 +73,13 @@ def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
         t = df.schema[c].dataType
         own = "double" if isinstance(t, (T.FloatType, T.DoubleType)) else t.simpleString() if isinstance(t, T.DecimalType) else "bigint"
         carriers.setdefault(own, []).append(c)
-    parts = [df.select(*[F.col(c).cast(t).alias(c) for c in mine]).unpivot([], mine, "column", "value").filter(F.col("value").isNotNull())
-             .groupBy("column", "value").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("one").alias("unique_values"))
-             for t, mine in carriers.items()]
+    if len(cols) <= NARROW:  # a scan of one column each, grouped by the bare number; the last key is one constant
+        parts = [df.select(F.col(c).cast(t).alias("value")).filter(F.col("value").isNotNull()).groupBy("value").agg(F.lit(1).alias("one"))
+                 .groupBy(F.lit(c).alias("column")).agg(F.count("one").alias("unique_values")) for t, mine in carriers.items() for c in mine]
+    else:
+        parts = [df.select(*[F.col(c).cast(t).alias(c) for c in mine]).unpivot([], mine, "column", "value").filter(F.col("value").isNotNull())
+                 .groupBy("column", "value").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("one").alias("unique_values"))
+                 for t, mine in carriers.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -98,6 +98,15 @@ def test_distinct_counts_are_exact_by_type(spark):
     assert {r["column"]: r["unique_values"] for r in freq.distinct_counts(df, df.columns).collect()} == {"a": 2, "b": 2, "c": 2, "d": 2}
 
 
+def test_distinct_counts_of_few_columns_are_grouped_by_number(spark):
+    df = spark.createDataFrame([(1, 0.5, None), (1, -0.0, None), (2, 0.0, None)], "a long, b double, c int")
+    got = freq.distinct_counts(df, df.columns)
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    wide = df.select("*", *[F.col("a").alias(f"w{i}") for i in range(freq.NARROW)])
+    assert sorted(map(tuple, got.collect())) == [("a", 2), ("b", 2)]
+    assert sorted(map(tuple, freq.distinct_counts(wide, wide.columns).collect()))[:2] == [("a", 2), ("b", 2)]
+
+
 def test_profile_edges(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 1.0)], "a double, b double")
     rows = {r["column"]: r for r in profile.numeric_profile(df).collect()}
