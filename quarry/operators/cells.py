@@ -1,4 +1,4 @@
-"""Tree models over cells: rows that share the bins of all numbers, all categories and the class.
+"""Tree models over cells: rows that share the bins of all numbers, all categories and the class.
 
 A tree of Spark ML knows a number by its bin only, 32 a column, so rows of one cell are one
 row with a weight to it: boosting reads the cells' counts, and a bootstrap sample of
@@ -149,6 +149,17 @@ class Cells:
             out = scored.withColumn(f"m_{code}", answer(scored)).drop("prediction", "probability", "rawPrediction")
         return out
 
+    def accuracy(self, model, part: str) -> float:
+        """Share of the rows of ``part`` whose class the model says."""
+        total = sum(F.col(f"{part}_{k}") for k in range(self.n_classes))
+        right = sum(F.when(F.col("prediction") == float(k), F.col(f"{part}_{k}")).otherwise(0) for k in range(self.n_classes))
+        row = model.transform(self._vectors(self.table)).agg(F.sum(right).alias("right"), F.sum(total).alias("total")).first()
+        return row["right"] / row["total"]
+
+    def stages(self) -> list:
+        """Stages that follow ``prepared`` before a model of ``binned`` where rows are scored one by one."""
+        return [*self.binner, self.assembler]
+
 
 def _forest(est: RandomForestClassifier, train: DataFrame, each: Callable) -> RandomForestClassificationModel:
     """A forest whose trees are fitted one by one, each on its own sample of copies."""

@@ -1,4 +1,4 @@
-"""Tree models fitted on cells: rows that share bins, categories and class."""
+"""Tree models fitted on cells: rows that share bins, categories and class."""
 
 import random
 
@@ -76,6 +76,22 @@ def test_edges_are_values_or_quantiles_of_all_rows(spark):
     assert len(found["many"]) == 31 and max(abs(e - (i + 1) * 125) for i, e in enumerate(found["many"])) <= 4000 / C.ACCURACY + 1
 
 
+def test_automl_scores_by_cells_as_by_rows(spark, monkeypatch):
+    df = few_values(spark).drop("id").withColumn("id", F.monotonically_increasing_id() % 1)  # one value: no cell of its own
+    plain = {r["model"]: r["score_test"] for r in J.automl_fit(df, "y", "multiclass", families=("RF", "GBM"), id_cols=["a", "b", "c"])[1].collect()}
+    small_cells(monkeypatch)
+    kept = []
+    monkeypatch.setattr(J, "materialize", lambda d, name="table", write=J.materialize: kept.append(write(d, name)) or kept[-1])
+    models, board, _ = J.automl_fit(df, "y", "multiclass", families=("LR", "RF", "GBM"), id_cols=["a", "b", "c"])
+    mine = {r["model"]: r["score_test"] for r in board.collect()}
+    test = kept[0].filter("split = 'test'")
+    for code in ("LR", "RF", "GBM"):  # models answer rows, too
+        rows = models[code].transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+        assert abs(rows - mine[code]) < 1e-12
+    assert mine["GBM"] == plain["GBM"] and abs(mine["RF"] - plain["RF"]) < 0.05
+    assert any(type(s).__name__ == "Bucketizer" for s in models["GBM"].stages)
+
+
 def test_stack_answers_every_row_from_cells(spark, monkeypatch):
     df = few_values(spark)
     small_cells(monkeypatch)
